@@ -91,6 +91,209 @@ def fliers(source: str, columns: list[str]) -> str:
         WHERE v < lower_fence OR v > upper_fence"""
 
 
+WIDTH = {"bigint": 8, "int": 4, "double": 8, "timestamp_ntz": 8, "boolean": 1}
+FAMILY = {"bigint": "numeric", "int": "numeric", "double": "numeric", "timestamp_ntz": "datetime",
+          "boolean": "boolean", "string": "string"}
+BOOLEAN_WORDS = "('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n')"
+
+EVENTS = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+          ("event_type", "string"), ("value", "double"), ("props", "string")]
+DOCUMENTS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+             ("n_chars", "bigint")]
+CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+            ("c_acctbal", "double"), ("c_mktsegment", "string")]
+PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+        ("p_size", "int"), ("p_retailprice", "double")]
+ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+          ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+TYPED = [("order_id", "bigint"), ("is_final", "int"), ("final_count", "int"), ("final", "boolean"),
+         ("large", "string"), ("ordered_on", "string"), ("o_orderdate", "timestamp_ntz"),
+         ("o_totalprice", "double"), ("o_orderpriority", "string"), ("reference", "string")]
+ORDERS_TYPED = f"""(SELECT o_orderkey AS order_id, CAST(o_orderstatus = 'F' AS INT) AS is_final,
+    CAST(o_orderstatus = 'F' AS INT) AS final_count, o_orderstatus = 'F' AS final,
+    CASE WHEN o_totalprice > 200000 THEN ' Yes' ELSE 'no' END AS large,
+    strftime(o_orderdate, '%Y-%m-%d') AS ordered_on, o_orderdate, o_totalprice, o_orderpriority,
+    'ref ' || o_orderkey || '/' || o_custkey AS reference FROM {ORDERS_GAPS})"""
+
+
+def size_bytes(columns) -> str:
+    return "CAST(" + " + ".join(
+        f"count({c}) * {WIDTH[t]}" if t in WIDTH else f"coalesce(sum(strlen({c})), 0)"
+        for c, t in columns) + " AS BIGINT)"
+
+
+def table_profile(source: str, columns) -> str:
+    names = ", ".join(c for c, _ in columns)
+    return f"""SELECT rows, {len(columns)}::BIGINT AS columns, size_bytes,
+        round_even(size_bytes / 1048576, 2) AS size_mb,
+        rows - (SELECT count(*) FROM (SELECT DISTINCT {names} FROM {source} d)) AS duplicate_rows
+        FROM (SELECT count(*) AS rows, {size_bytes(columns)} AS size_bytes FROM {source} s)"""
+
+
+def missing(source: str, columns, keep_all: bool) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, "
+        f"round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct FROM {source} t{i}"
+        for i, (c, _) in enumerate(columns))
+    return f"SELECT * FROM ({each})" + ("" if keep_all else " WHERE missing > 0")
+
+
+def column_profile(source: str, columns) -> str:
+    parts = []
+    for i, (c, t) in enumerate(columns):
+        family = FAMILY[t]
+        lower = c.lower()
+        flag_name = lower.startswith(("is_", "has_", "flag_")) or lower in ("active", "enabled", "selected")
+        id_name = lower.endswith("_id") or lower in ("id", "identifier")
+        if family == "numeric":
+            typed = (f"CASE WHEN {flag_name} AND min({c}) = 0 AND max({c}) = 1 "
+                     f"AND count(DISTINCT {c}) = 2 THEN 'boolean' ELSE 'numeric' END")
+        elif family == "string":
+            typed = f"""CASE WHEN bool_and(lower(trim({c})) IN {BOOLEAN_WORDS}) THEN 'boolean'
+                WHEN bool_and(regexp_matches({c}, '[-/:]') AND try_strptime({c}, '%Y-%m-%d') IS NOT NULL)
+                THEN 'datetime'
+                WHEN count(DISTINCT {c}) <= 10 OR count(DISTINCT {c}) / count({c}) <= 0.5
+                THEN 'categorical' ELSE 'high_cardinality_text' END"""
+        else:
+            typed = f"'{family}'"
+        parts.append(f"""SELECT '{c}' AS "column", {i} AS position, '{t}' AS physical_type,
+            CASE WHEN count({c}) = 0 THEN 'high_cardinality_text' ELSE {typed} END AS semantic_type,
+            count(DISTINCT {c}) AS d, count(*) AS n, count(*) - count({c}) AS missing,
+            {id_name} AS id_name FROM {source} t{i}""")
+    return f"""SELECT "column", position, physical_type, semantic_type,
+        CASE WHEN semantic_type <> 'datetime' THEN d END AS n_unique, missing,
+        round_even(missing / n * 100, 2) AS missing_pct,
+        (semantic_type = 'high_cardinality_text' AND d / n > 0.95)
+            OR (id_name AND semantic_type <> 'datetime' AND d / n > 0.9) AS is_id
+        FROM ({" UNION ALL ".join(parts)})"""
+
+
+def group_columns(source: str, columns, most: int) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {i} AS position, count(DISTINCT {c}) AS n_unique, "
+        f"{t == 'boolean'} AS always FROM {source} t{i}"
+        for i, (c, t) in enumerate(columns) if t in ("string", "boolean"))
+    return f"""SELECT "column", position, n_unique FROM ({parts})
+        WHERE always OR n_unique BETWEEN 2 AND {most}"""
+
+
+KIND_COUNTS = """count(*) FILTER (semantic_type = 'numeric') AS numeric_columns,
+    count(*) FILTER (semantic_type IN ('categorical', 'boolean') AND NOT is_id) AS categorical_columns"""
+
+
+def frequencies(source: str, columns: list[tuple[str, str]], most: int) -> str:
+    """columns: (name, text expression)."""
+    each = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {e} AS value, count(*) AS count,
+        sum(count(*)) OVER () AS total, (SELECT count(*) - count({c}) FROM {source} m) AS missing,
+        row_number() OVER (ORDER BY count(*) DESC, {e})::INT AS rank,
+        least(count(*) OVER (), {most}) AS shown
+        FROM {source} t{i} WHERE {c} IS NOT NULL GROUP BY {e}""" for i, (c, e) in enumerate(columns))
+    return f"""SELECT "column", value, count, round(count / total * 100, 6) AS pct, rank, missing, shown
+        FROM ({each}) WHERE rank <= {most}"""
+
+
+def crosstab(source: str, a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS col1, '{b}' AS col2, {a} AS value1, {b} AS value2, count(*) AS count
+        FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL"""
+
+
+def cramers(source: str, pairs: list[tuple[str, str]]) -> str:
+    """Full-table chi-square over all cells, the empty ones too."""
+    parts = []
+    for i, (a, b) in enumerate(pairs):
+        rows = f"(SELECT {a} AS a, {b} AS b FROM {source} s WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        parts.append(f"""SELECT {i} AS ord, '{a}' AS col1, '{b}' AS col2, n, r, k, chi2 FROM (
+            SELECT max(n) AS n, count(DISTINCT ra.a) AS r, count(DISTINCT cb.b) AS k,
+                sum(pow(coalesce(o, 0) - rt * ct / n, 2) / (rt * ct / n)) AS chi2
+            FROM (SELECT a, count(*) AS rt FROM {rows} GROUP BY a) ra
+            CROSS JOIN (SELECT b, count(*) AS ct FROM {rows} GROUP BY b) cb
+            CROSS JOIN (SELECT count(*) AS n FROM {rows})
+            LEFT JOIN (SELECT a, b, count(*) AS o FROM {rows} GROUP BY a, b) x
+                ON x.a = ra.a AND x.b = cb.b)""")
+    return f"""SELECT ord, col1, col2, n, round(chi2, 6) AS chi2,
+        CASE WHEN n < 5 OR least(r, k) < 2 THEN -1.0::DOUBLE
+        ELSE round(least(1, sqrt(chi2 / (n * (least(r, k) - 1)))), 6) END AS v
+        FROM ({" UNION ALL ".join(parts)})"""
+
+
+def eta(source: str, cats: list[str], nums: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cats):
+        for j, x in enumerate(nums):
+            rows = (f"(SELECT {c} AS g, CAST({x} AS DOUBLE) AS v FROM {source} s "
+                    f"WHERE {c} IS NOT NULL AND {x} IS NOT NULL)")
+            parts.append(f"""SELECT {i} AS cat, {j} AS num, '{c}' AS cat_col, '{x}' AS num_col,
+                (SELECT count(*) FROM {rows}) AS n,
+                CASE WHEN (SELECT count(*) < 5 OR count(DISTINCT g) < 2 FROM {rows}) THEN -1.0
+                WHEN (SELECT min(v) = max(v) FROM {rows}) THEN 0.0
+                ELSE (SELECT sum(k * pow(m - (SELECT avg(v) FROM {rows}), 2)) FROM
+                    (SELECT count(*) AS k, avg(v) AS m FROM {rows} GROUP BY g))
+                    / (SELECT var_pop(v) * count(*) FROM {rows}) END AS score""")
+    return f"(SELECT cat, num, cat_col, num_col, n, score FROM ({' UNION ALL '.join(parts)}))"
+
+
+def grouped_box(source: str, pairs: list[tuple[str, str]]) -> str:
+    parts = []
+    for c, x in pairs:
+        parts.append(f"""SELECT '{c}' AS cat_col, '{x}' AS num_col, b.value, b.rank, b.n AS count, q25,
+            q50, q75, lower_fence, upper_fence, min(v) FILTER (v >= lower_fence) AS whisker_lo,
+            max(v) FILTER (v <= upper_fence) AS whisker_hi,
+            count(*) FILTER (v < lower_fence OR v > upper_fence) AS outliers
+            FROM (SELECT *, q25 - 1.5 * (q75 - q25) AS lower_fence, q75 + 1.5 * (q75 - q25) AS upper_fence
+                FROM (SELECT {c} AS value, count(*) AS n, quantile_cont({x}, 0.25) AS q25,
+                    quantile_cont({x}, 0.5) AS q50, quantile_cont({x}, 0.75) AS q75,
+                    row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rank
+                    FROM {source} s WHERE {c} IS NOT NULL AND {x} IS NOT NULL GROUP BY {c})
+                WHERE rank <= 8) b
+            JOIN (SELECT {c} AS g, {x} AS v FROM {source} y WHERE {x} IS NOT NULL) r ON r.g = b.value
+            GROUP BY ALL""")
+    return f"""SELECT cat_col, num_col, value, rank, count, round(q25, 6) AS q25, round(q50, 6) AS q50,
+        round(q75, 6) AS q75, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
+        round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi, outliers
+        FROM ({" UNION ALL ".join(parts)})"""
+
+
+def pairs_of(source: str, columns: list[str], diagonal: bool) -> str:
+    """Regression terms of every pair x = columns[i], y = columns[j], i > j (or >=)."""
+    parts = []
+    for i, x in enumerate(columns):
+        for j, y in enumerate(columns[:i + 1] if diagonal else columns[:i]):
+            parts.append(f"""SELECT {i} AS pos1, {j} AS pos2, '{x}' AS col1, '{y}' AS col2,
+                CAST(regr_count({y}, {x}) AS BIGINT) AS n,
+                CASE WHEN min({x}) FILTER ({y} IS NOT NULL) = max({x}) FILTER ({y} IS NOT NULL)
+                    OR min({y}) FILTER ({x} IS NOT NULL) = max({y}) FILTER ({x} IS NOT NULL) THEN NULL
+                    WHEN {i} = {j} THEN 1.0::DOUBLE
+                    ELSE regr_sxy({y}, {x}) / sqrt(regr_sxx({y}, {x}) * regr_syy({y}, {x})) END AS r,
+                CASE WHEN min({x}) FILTER ({y} IS NOT NULL) < max({x}) FILTER ({y} IS NOT NULL)
+                    THEN regr_slope({y}, {x}) END AS slope,
+                CASE WHEN min({x}) FILTER ({y} IS NOT NULL) < max({x}) FILTER ({y} IS NOT NULL)
+                    THEN regr_intercept({y}, {x}) END AS intercept
+                FROM {source} t WHERE {x} IS NOT NULL AND {y} IS NOT NULL""")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def correlation(source: str, columns: list[str]) -> str:
+    return f"""SELECT col1, col2, n, round(r, 6) AS r FROM {pairs_of(source, columns, True)}
+        WHERE n > 0"""
+
+
+TREND = """round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r * r, 6) AS r2"""
+ORDERS_COSTLY = f"(SELECT *, o_totalprice > 300000 AS costly FROM {ORDERS_GAPS})"
+COSTLY_TEXT = "CASE WHEN costly THEN 'True' ELSE 'False' END"
+ORDERS_CORR = f"""(SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_custkey % 10, 3) AS digit,
+    CASE WHEN o_totalprice IS NULL THEN 0.1 END AS mark, 0.1 AS flat FROM {ORDERS_GAPS})"""
+
+
+def draw(*texts: str) -> str:
+    return (f"('0x' || substr(md5(concat_ws('|', {', '.join(texts)}, '42')), 1, 13))::BIGINT"
+            " / 4503599627370496.0::DOUBLE")
+
+
+PART_DRAW = draw("p_partkey::VARCHAR", "p_size::VARCHAR", "round(p_retailprice * 100)::BIGINT::VARCHAR")
+PART_SAMPLE = f"(SELECT * FROM part ORDER BY {PART_DRAW}, p_partkey, p_size, p_retailprice LIMIT 1500)"
+
+
 def build() -> dict[str, str]:
     return {
         "describe_lineitem": describe("lineitem", LINEITEM_NUM),
@@ -105,4 +308,84 @@ def build() -> dict[str, str]:
         "outliers_events": outliers("events", EVENTS_NUM),
         "fliers_events": fliers("events", EVENTS_NUM),
         "fliers_customer": fliers("customer", CUSTOMER_NUM),
+        "table_profile_events": table_profile("events", EVENTS),
+        "table_profile_documents": table_profile("documents", DOCUMENTS),
+        "missing_orders_nulls": missing(ORDERS_GAPS, ORDERS, False),
+        "missing_counts_orders": missing(ORDERS_GAPS, ORDERS, True),
+        "duplicate_rows_labels": """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM
+            (SELECT DISTINCT quality, toxic FROM labels)) AS duplicate_rows FROM labels""",
+        "duplicate_rows_lineitem": """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM
+            (SELECT DISTINCT l_quantity, l_discount, l_tax, nullif(l_returnflag, 'N'),
+            nullif(l_linestatus, 'F') FROM lineitem)) AS duplicate_rows FROM lineitem""",
+        "column_profile_customer": column_profile("customer", CUSTOMER),
+        "column_profile_documents": column_profile("documents", DOCUMENTS),
+        "column_profile_events": column_profile("events", EVENTS),
+        "column_profile_orders_typed": column_profile(ORDERS_TYPED, TYPED),
+        "id_columns_part": f"""SELECT "column", position FROM ({column_profile("part", PART)})
+            WHERE is_id""",
+        "id_columns_events": f"""SELECT "column", position FROM ({column_profile("events", EVENTS)})
+            WHERE is_id""",
+        "group_columns_lineitem": group_columns(
+            "lineitem", [("l_returnflag", "string"), ("l_linestatus", "string")], 25
+        ).replace("0 AS position", "8 AS position").replace("1 AS position", "9 AS position"),
+        "group_columns_part": group_columns(
+            "(SELECT *, p_retailprice > 1000 AS costly FROM part)", [*PART, ("costly", "boolean")], 30),
+        "numeric_columns_lineitem": """SELECT "column", pos AS position, count(*) AS non_null FROM """
+            + long("lineitem", LINEITEM_NUM) + """ GROUP BY "column", pos""",
+        "exclude_ids_events": f"""SELECT "column", position, semantic_type FROM
+            ({column_profile("events", EVENTS)}) WHERE NOT is_id""",
+        "overview_orders": f"""SELECT rows, columns, numeric_columns, categorical_columns, size_bytes,
+            size_mb, duplicate_rows FROM ({table_profile("orders", ORDERS)}),
+            (SELECT {KIND_COUNTS} FROM ({column_profile("orders", ORDERS)}))""",
+        "category_freq_lineitem": frequencies(
+            "lineitem", [("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus")], 15),
+        "category_freq_events": frequencies("events", [("event_type", "event_type")], 15),
+        "category_freq_orders_gaps": frequencies(
+            ORDERS_COSTLY, [("o_orderstatus", "o_orderstatus"), ("o_orderpriority", "o_orderpriority"),
+                            ("costly", COSTLY_TEXT)], 3),
+        "crosstab_lineitem": crosstab("lineitem", "l_returnflag", "l_linestatus"),
+        "crosstab_part_names": crosstab("part", "p_name", "p_brand"),
+        "crosstab_pct_documents": """SELECT 'lang' AS col1, 'source' AS col2, value1, value2,
+            count(text) AS count, round(count(text) / sum(count(text)) OVER (PARTITION BY value1) * 100, 6)
+            AS pct FROM (SELECT DISTINCT lang AS value1 FROM documents)
+            CROSS JOIN (SELECT DISTINCT source AS value2 FROM documents)
+            LEFT JOIN documents ON lang = value1 AND source = value2 GROUP BY value1, value2""",
+        "cramers_lineitem": f"""SELECT col1, col2, n, chi2, v FROM
+            ({cramers("lineitem", [("l_returnflag", "l_linestatus")])})""",
+        "cramers_rank_orders": f"""SELECT col1, col2, n, chi2, v,
+            row_number() OVER (ORDER BY v DESC, ord)::INT AS rank FROM
+            ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
+                                      ("o_orderpriority", "costly")])})""",
+        "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM
+            {eta("lineitem", ["l_returnflag", "l_linestatus"], LINEITEM_NUM)}""",
+        "eta_rank_orders": f"""SELECT cat_col, num_col, n, round(score, 6) AS score,
+            row_number() OVER (ORDER BY score DESC, cat, num)::INT AS rank FROM
+            {eta(ORDERS_COSTLY, ["o_orderstatus", "o_orderpriority", "costly"], ORDERS_NUM)}""",
+        "eta_rank_part": f"""SELECT cat_col, num_col, n, round(score, 6) AS score,
+            row_number() OVER (ORDER BY score DESC, cat, num)::INT AS rank FROM
+            {eta("part", ["p_type"], ["p_partkey", "p_size", "p_retailprice"])}""",
+        "grouped_box_lineitem": grouped_box(
+            "lineitem", [("l_returnflag", "l_extendedprice"), ("l_linestatus", "l_quantity")]),
+        "grouped_box_part": grouped_box("part", [("p_brand", "p_retailprice")]),
+        "corr_lineitem": correlation("lineitem", LINEITEM_NUM),
+        "corr_orders_gaps": correlation(
+            ORDERS_CORR, ["o_orderkey", "o_custkey", "o_totalprice", "digit", "mark", "flat"]),
+        "corr_topvar_lineitem": correlation(
+            "lineitem", ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey"]),
+        "top_variance_lineitem": f"""SELECT "column", pos AS position,
+            round(var_samp(v), 4) AS variance FROM {long("lineitem", LINEITEM_NUM)}
+            GROUP BY "column", pos ORDER BY var_samp(v) DESC LIMIT 5""",
+        "pair_rank_lineitem": f"""SELECT col1, col2, n, round(r, 6) AS r, {TREND},
+            row_number() OVER (ORDER BY abs(r) DESC, pos1, pos2)::INT AS rank
+            FROM {pairs_of("lineitem", LINEITEM_NUM, False)}""",
+        "trend_lineitem": f"""SELECT col1, col2, n, round(r, 6) AS r, {TREND}
+            FROM {pairs_of("lineitem", LINEITEM_NUM, False)}""",
+        "sample_orders": f"""SELECT * FROM orders ORDER BY {draw(
+            "o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus",
+            "round(o_totalprice * 100)::BIGINT::VARCHAR", "o_orderpriority")},
+            o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority LIMIT 60""",
+        "scatter_part": " UNION ALL ".join(
+            f"SELECT '{x}' AS col1, 'p_partkey' AS col2, round({x}::DOUBLE, 6) AS x, p_partkey::DOUBLE AS y "
+            f"FROM {PART_SAMPLE}" for x in ("p_retailprice", "p_size")),
+        "kind_counts_orders_typed": f"SELECT {KIND_COUNTS} FROM ({column_profile(ORDERS_TYPED, TYPED)})",
     }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameprobe.operators import numeric
+from frameprobe.operators import (
+    categorical, columns, correlation, grouped, numeric, profile, sampling)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -92,3 +93,262 @@ def fliers_events(spark, sf_dir):
 @query
 def fliers_customer(spark, sf_dir):
     return numeric.fliers(table(spark, sf_dir, "customer"))
+
+
+# --- profile -----------------------------------------------------------------------------------
+
+@query
+def table_profile_events(spark, sf_dir):
+    return rounded(profile.table_profile(table(spark, sf_dir, "events")))
+
+
+@query
+def table_profile_documents(spark, sf_dir):
+    return rounded(profile.table_profile(table(spark, sf_dir, "documents")))
+
+
+@query
+def missing_orders_nulls(spark, sf_dir):
+    return rounded(profile.missing_values(orders_with_gaps(spark, sf_dir)))
+
+
+@query
+def missing_counts_orders(spark, sf_dir):
+    return rounded(profile.missing_counts(orders_with_gaps(spark, sf_dir)))
+
+
+@query
+def duplicate_rows_labels(spark, sf_dir):
+    return profile.duplicate_rows(table(spark, sf_dir, "labels").select("quality", "toxic"))
+
+
+@query
+def duplicate_rows_lineitem(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_discount", "l_tax", F.expr("nullif(l_returnflag, 'N')"),
+        F.expr("nullif(l_linestatus, 'F')"))
+    return profile.duplicate_rows(rows)
+
+
+@query
+def column_profile_customer(spark, sf_dir):
+    return rounded(profile.column_profile(table(spark, sf_dir, "customer")))
+
+
+@query
+def column_profile_documents(spark, sf_dir):
+    return rounded(profile.column_profile(table(spark, sf_dir, "documents")))
+
+
+@query
+def column_profile_events(spark, sf_dir):
+    return rounded(profile.column_profile(table(spark, sf_dir, "events")))
+
+
+def labelled_orders(spark, sf_dir):
+    """orders, with columns that the type rules must tell apart."""
+    return orders_with_gaps(spark, sf_dir).select(
+        F.col("o_orderkey").alias("order_id"),
+        F.expr("CAST(o_orderstatus = 'F' AS INT)").alias("is_final"),
+        F.expr("CAST(o_orderstatus = 'F' AS INT)").alias("final_count"),
+        F.expr("o_orderstatus = 'F'").alias("final"),
+        F.expr("CASE WHEN o_totalprice > 200000 THEN ' Yes' ELSE 'no' END").alias("large"),
+        F.expr("date_format(o_orderdate, 'yyyy-MM-dd')").alias("ordered_on"),
+        "o_orderdate", "o_totalprice", "o_orderpriority",
+        F.expr("concat('ref ', o_orderkey, '/', o_custkey)").alias("reference"))
+
+
+@query
+def column_profile_orders_typed(spark, sf_dir):
+    return rounded(profile.column_profile(labelled_orders(spark, sf_dir)))
+
+
+@query
+def id_columns_part(spark, sf_dir):
+    return profile.id_columns(table(spark, sf_dir, "part"))
+
+
+@query
+def id_columns_events(spark, sf_dir):
+    return profile.id_columns(table(spark, sf_dir, "events"))
+
+
+@query
+def group_columns_lineitem(spark, sf_dir):
+    return columns.grouping_columns(table(spark, sf_dir, "lineitem"))
+
+
+@query
+def group_columns_part(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("costly", F.col("p_retailprice") > 1000)
+    return columns.grouping_columns(df, max_cardinality=columns.BAR_LEVELS)
+
+
+@query
+def numeric_columns_lineitem(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    found = columns.numeric_column_table(df)
+    counts = profile.column_counts(df).select("position", "non_null")
+    return found.join(counts, "position")
+
+
+@query
+def exclude_ids_events(spark, sf_dir):
+    found = profile.column_profile(table(spark, sf_dir, "events"))
+    return columns.exclude_ids(found.select("column", "position", "semantic_type"),
+                               found.filter("is_id"))
+
+
+@query
+def overview_orders(spark, sf_dir):
+    return rounded(profile.overview(table(spark, sf_dir, "orders")))
+
+
+@query
+def kind_counts_orders_typed(spark, sf_dir):
+    return profile.kind_counts(profile.column_profile(labelled_orders(spark, sf_dir)))
+
+
+@query
+def fingerprint_lineitem(spark, sf_dir):
+    return profile.fingerprint(table(spark, sf_dir, "lineitem"), "lineitem")
+
+
+# --- grouping columns --------------------------------------------------------------------------
+
+@query
+def category_freq_lineitem(spark, sf_dir):
+    return rounded(categorical.category_frequencies(table(spark, sf_dir, "lineitem")))
+
+
+@query
+def category_freq_events(spark, sf_dir):
+    return rounded(categorical.category_frequencies(table(spark, sf_dir, "events")))
+
+
+@query
+def category_freq_orders_gaps(spark, sf_dir):
+    df = orders_with_gaps(spark, sf_dir).withColumn("costly", F.col("o_totalprice") > 300000)
+    return rounded(categorical.category_frequencies(df, max_categories=3))
+
+
+@query
+def crosstab_lineitem(spark, sf_dir):
+    return categorical.crosstab(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query
+def crosstab_part_names(spark, sf_dir):
+    return categorical.crosstab(table(spark, sf_dir, "part"), "p_name", "p_brand")
+
+
+@query
+def crosstab_pct_documents(spark, sf_dir):
+    return rounded(categorical.crosstab_percent(table(spark, sf_dir, "documents"), [("lang", "source")]))
+
+
+@query
+def cramers_lineitem(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return rounded(categorical.cramers_v(df, [("l_returnflag", "l_linestatus")]).drop("pair"))
+
+
+@query
+def cramers_rank_orders(spark, sf_dir):
+    df = orders_with_gaps(spark, sf_dir).withColumn("costly", F.col("o_totalprice") > 300000)
+    return rounded(categorical.cramers_ranking(df))
+
+
+@query
+def eta_lineitem(spark, sf_dir):
+    return rounded(grouped.eta_squared(table(spark, sf_dir, "lineitem")).drop("cat", "num"))
+
+
+@query
+def eta_rank_orders(spark, sf_dir):
+    df = orders_with_gaps(spark, sf_dir).withColumn("costly", F.col("o_totalprice") > 300000)
+    return rounded(grouped.eta_ranking(df))
+
+
+@query
+def eta_rank_part(spark, sf_dir):
+    return rounded(grouped.eta_ranking(table(spark, sf_dir, "part")))
+
+
+@query
+def grouped_box_lineitem(spark, sf_dir):
+    return rounded(grouped.grouped_box(
+        table(spark, sf_dir, "lineitem"),
+        [("l_returnflag", "l_extendedprice"), ("l_linestatus", "l_quantity")]))
+
+
+@query
+def grouped_box_part(spark, sf_dir):
+    return rounded(grouped.grouped_box(table(spark, sf_dir, "part"), [("p_brand", "p_retailprice")]))
+
+
+# --- numeric pairs -----------------------------------------------------------------------------
+
+@query
+def corr_lineitem(spark, sf_dir):
+    return rounded(correlation.correlation(table(spark, sf_dir, "lineitem")))
+
+
+@query
+def corr_orders_gaps(spark, sf_dir):
+    df = orders_with_gaps(spark, sf_dir).select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.expr("nullif(o_custkey % 10, 3)").alias("digit"),
+        F.expr("CASE WHEN o_totalprice IS NULL THEN 0.1D END").alias("mark"), F.lit(0.1).alias("flat"))
+    return rounded(correlation.correlation(df))
+
+
+@query
+def corr_topvar_lineitem(spark, sf_dir):
+    return rounded(correlation.correlation(table(spark, sf_dir, "lineitem"), max_correlated=4))
+
+
+@query
+def top_variance_lineitem(spark, sf_dir):
+    return rounded(correlation.top_variance(table(spark, sf_dir, "lineitem"), 5), 4)
+
+
+@query
+def pair_rank_lineitem(spark, sf_dir):
+    return rounded(correlation.pair_ranking(table(spark, sf_dir, "lineitem")))
+
+
+@query
+def trend_lineitem(spark, sf_dir):
+    return rounded(correlation.trend(table(spark, sf_dir, "lineitem")))
+
+
+def row_draw(*texts: str) -> "Column":
+    """A number in [0, 1) from the row's MD5, the same in any engine."""
+    row = F.md5(F.concat_ws("|", *[F.expr(t) for t in texts], F.lit("42")))
+    return F.conv(F.substring(row, 1, 13), 16, 10).cast("bigint") / F.lit(2.0 ** 52)
+
+
+ORDERS_TEXTS = ("CAST(o_orderkey AS STRING)", "CAST(o_custkey AS STRING)", "o_orderstatus",
+                "CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING)", "o_orderpriority")
+PART_TEXTS = ("CAST(p_partkey AS STRING)", "CAST(p_size AS STRING)",
+              "CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS STRING)")
+
+
+@query
+def sample_orders(spark, sf_dir):
+    return sampling.sample_rows(table(spark, sf_dir, "orders"), 60, draw=row_draw(*ORDERS_TEXTS))
+
+
+@query
+def scatter_part(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    sample = sampling.sample_rows(df, correlation.SCATTER_ROWS, draw=row_draw(*PART_TEXTS))
+    return rounded(correlation.scatter_points(
+        df, [("p_retailprice", "p_partkey"), ("p_size", "p_partkey")], sample))
+
+
+@query
+def trend_band_part(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    points = correlation.scatter_points(df, [("p_retailprice", "p_partkey")])
+    return rounded(correlation.trend_band(points))
