@@ -81,11 +81,11 @@ def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.sum(c).alias(c) for c in PAIR_SUMS[:6]],
         F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
         F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
-    table = F.broadcast(df.sparkSession.createDataFrame(
-        [(i, j, centres[i], centres[j]) for i, j in lower], "pos1 int, pos2 int, cx double, cy double"))
+    table = df.sparkSession.createDataFrame(
+        [(i, j, centres[i], centres[j]) for i, j in lower], "pos1 int, pos2 int, cx double, cy double")
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    return sums.join(table, ["pos1", "pos2"]).select(
-        "pos1", "pos2", n.cast("bigint").alias("n"),
+    return table.join(sums, ["pos1", "pos2"], "left").select(
+        "pos1", "pos2", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"),
         (sx / n + F.col("cx")).alias("mean_x"), (sy / n + F.col("cy")).alias("mean_y"),
         (F.col("sxx") - sx * sx / n).alias("sxx"), (F.col("syy") - sy * sy / n).alias("syy"),
         (F.col("sxy") - sx * sy / n).alias("sxy"),

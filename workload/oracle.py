@@ -274,8 +274,7 @@ def pairs_of(source: str, columns: list[str], diagonal: bool) -> str:
 
 
 def correlation(source: str, columns: list[str]) -> str:
-    return f"""SELECT col1, col2, n, round(r, 6) AS r FROM {pairs_of(source, columns, True)}
-        WHERE n > 0"""
+    return f"""SELECT col1, col2, n, round(r, 6) AS r FROM {pairs_of(source, columns, True)}"""
 
 
 TREND = """round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r * r, 6) AS r2"""
@@ -294,6 +293,86 @@ PART_DRAW = draw("p_partkey::VARCHAR", "p_size::VARCHAR", "round(p_retailprice *
 PART_SAMPLE = f"(SELECT * FROM part ORDER BY {PART_DRAW}, p_partkey, p_size, p_retailprice LIMIT 1500)"
 
 
+def delimiters(lines: str) -> str:
+    """Scores over a query that yields the lines as ``value``."""
+    each = " UNION ALL ".join(
+        f"""SELECT {i} AS choice, '{d}' AS delimiter, length(u) - length(replace(u, '{d}', '')) AS hits
+        FROM (SELECT regexp_replace(value, '"[^"]*"', '', 'g') AS u FROM ({lines}) WHERE trim(value) <> '')"""
+        for i, d in enumerate([",", ";", "\t", "|"]))
+    return f"""WITH c AS (SELECT choice, delimiter, hits, count(*) AS n,
+            sum(count(*)) OVER (PARTITION BY choice) AS total FROM ({each}) GROUP BY choice, delimiter, hits),
+        b AS (SELECT choice, delimiter, max(total) AS total, max(n) FILTER (hits > 0) AS n,
+            max_by(hits, n * 1000000 + hits) FILTER (hits > 0) AS hits FROM c GROUP BY choice, delimiter)
+        SELECT delimiter, CAST(coalesce(hits + 1, 1) AS INT) AS fields,
+            coalesce(round(n / total, 6), 0)::DOUBLE AS share,
+            row_number() OVER (ORDER BY coalesce(n / total, 0) DESC, choice)::INT AS rank FROM b"""
+
+
+RESERVED = ("('CON','PRN','AUX','NUL','CLOCK$','CONIN$','CONOUT$',"
+            + ",".join(f"'{p}{i}'" for p in ("COM", "LPT") for i in range(10)) + ")")
+
+
+def safe(name: str, most: int, fallback: str) -> str:
+    """Safe stem of a SQL text expression."""
+    kept = (f"trim(regexp_replace(nfc_normalize({name}), '[^\\p{{L}}\\p{{N}}-]+', '_', 'g'), '_')")
+    clean = f"coalesce(nullif({kept}, ''), '{fallback}')"
+    clean = f"CASE WHEN upper({clean}) IN {RESERVED} THEN {clean} || '_' ELSE {clean} END"
+    return f"""CASE WHEN length({clean}) > {most} THEN
+        regexp_replace(left({clean}, {most - 9}), '[._]+$', '') || '_..._' ||
+        upper(left(sha256({name}), 4)) ELSE {clean} END"""
+
+
+def audit(paths: str, most: int) -> str:
+    part_rules = [
+        ("empty_part", "part IN ('', '.')"), ("parent_part", "part = '..'"),
+        ("trailing_space", "part NOT IN ('', '.', '..') AND part LIKE '% '"),
+        ("trailing_dot", "part NOT IN ('', '.', '..') AND part LIKE '%.'"),
+        ("stem_trailing_space", "part NOT IN ('', '.', '..') AND regexp_matches(part, ' \\.[^.]*$')"),
+        ("stem_trailing_dot", "part NOT IN ('', '.', '..') AND regexp_matches(part, '\\.\\.[^.]*$')"),
+        ("leading_space", "part NOT IN ('', '.', '..') AND part LIKE ' %'"),
+        ("invalid_character", "regexp_matches(part, '[\\x00-\\x1f\\x7f<>:\"/\\\\|?*]')"),
+        ("reserved_name", f"upper(split_part(part, '.', 1)) IN {RESERVED} OR upper(part) IN {RESERVED}")]
+    parts = " UNION ".join(f"SELECT path, '{r}' AS rule FROM parts WHERE {w}" for r, w in part_rules)
+    return f"""WITH p AS ({paths}), d AS (SELECT path, count(*) AS copies FROM p GROUP BY path),
+        parts AS (SELECT path, unnest(string_split(regexp_replace(path, '/$', ''), '/')) AS part FROM d
+            WHERE trim(path) <> '')
+        SELECT path, 'exact_duplicate' AS rule FROM d WHERE copies > 1
+        UNION SELECT path, 'blank' FROM d WHERE trim(path) = ''
+        UNION SELECT path, 'folded_duplicate' FROM d WHERE lower(path) IN
+            (SELECT lower(path) FROM d GROUP BY 1 HAVING count(*) > 1)
+        UNION SELECT path, 'backslash' FROM d WHERE contains(path, chr(92))
+        UNION SELECT path, 'leading_slash' FROM d WHERE path LIKE '/%'
+        UNION SELECT path, 'too_long' FROM d WHERE length(path) > {most}
+        UNION {parts}"""
+
+
+TEXT_ORDERS = f"""(SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey,
+    o_orderstatus, o_totalprice::VARCHAR AS o_totalprice,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+    CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'false' END AS closed,
+    CASE WHEN o_custkey % 50 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
+        AS mostly_date,
+    CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
+        AS partly_date, o_orderkey || 'd' AS with_unit,
+    CASE WHEN o_custkey % 2 = 0 THEN 'N/A' ELSE o_custkey::VARCHAR END AS half FROM {ORDERS_GAPS})"""
+
+
+def csv_types(source: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count(v) = 0 THEN 'double'
+        WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN
+            CASE WHEN count(v) = count(*) THEN 'bigint' ELSE 'double' END
+        WHEN bool_and(regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')) THEN 'double'
+        WHEN bool_and(v IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean'
+        WHEN count(v) >= 5 AND count(try_strptime(v, '%Y-%m-%d %H:%M:%S')) / count(v) >= 0.9 THEN 'timestamp'
+        ELSE 'string' END AS verdict
+        FROM (SELECT CASE WHEN {c} NOT IN ('', 'NA', 'N/A') THEN {c} END AS v FROM {source} s)"""
+        for c in columns)
+
+
+URL_PARTS = "list_filter(string_split(trim(url, '/ '), '/'), lambda p: p NOT IN ('', '.', '..'))"
+
+
 def build() -> dict[str, str]:
     return {
         "describe_lineitem": describe("lineitem", LINEITEM_NUM),
@@ -387,5 +466,33 @@ def build() -> dict[str, str]:
         "scatter_part": " UNION ALL ".join(
             f"SELECT '{x}' AS col1, 'p_partkey' AS col2, round({x}::DOUBLE, 6) AS x, p_partkey::DOUBLE AS y "
             f"FROM {PART_SAMPLE}" for x in ("p_retailprice", "p_size")),
+        "csv_roundtrip_orders": f"SELECT * FROM {ORDERS_GAPS}",
+        "csv_roundtrip_customer": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+            c_acctbal, c_mktsegment FROM customer""",
+        "csv_types_orders": csv_types(TEXT_ORDERS, [
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+            "closed", "mostly_date", "partly_date", "with_unit", "half"]),
+        "datetime_probe_orders": f"""SELECT o_orderkey::BIGINT AS o_orderkey,
+            try_strptime(mostly_date, '%Y-%m-%d %H:%M:%S') AS mostly_date FROM {TEXT_ORDERS}""",
+        "delimiter_pick": delimiters("""SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey,
+            l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+            strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')) AS value FROM lineitem"""),
+        "delimiter_pick_documents": delimiters(
+            "SELECT unnest(string_split(text, chr(10))) AS value FROM documents"),
+        "safe_names_pages": f"SELECT page_id, url AS input, {safe('url', 55, 'item')} AS safe FROM pages",
+        "safe_names_documents": f"SELECT doc_id, {safe('text', 55, 'item')} AS safe FROM documents",
+        "safe_folders_pages": f"""SELECT page_id, string_agg(safe, '/' ORDER BY place) AS safe_folder
+            FROM (SELECT page_id, place, {safe("part", 40, "plots")} AS safe FROM (
+                SELECT page_id, unnest({URL_PARTS}) AS part, unnest(range(len({URL_PARTS}))) AS place
+                FROM pages)) GROUP BY page_id""",
+        "unique_paths_part": f"""SELECT position, folder, name, folder || '/' || stem ||
+            CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.png' AS path FROM (
+                SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY position) AS n FROM (
+                    SELECT p_partkey AS position, p_type AS folder, p_name AS name,
+                        {safe("p_name", 55, "item")} AS stem FROM part))""",
+        "path_audit_pages": audit("SELECT regexp_replace(url, '^https?:', '') AS path FROM pages", 40),
+        "path_audit_part": audit("""SELECT CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END
+            || '/' || p_brand || CASE WHEN p_size < 5 THEN '.' WHEN p_size = 7 THEN ' ' ELSE '.png' END
+            AS path FROM part""", 180),
         "kind_counts_orders_typed": f"SELECT {KIND_COUNTS} FROM ({column_profile(ORDERS_TYPED, TYPED)})",
     }

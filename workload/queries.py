@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.operators import (
-    categorical, columns, correlation, grouped, numeric, profile, sampling)
+    categorical, columns, correlation, grouped, numeric, paths, profile, sampling)
+from frameprobe.session import scratch_path
+from frameprobe.sources import csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -352,3 +354,104 @@ def trend_band_part(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     points = correlation.scatter_points(df, [("p_retailprice", "p_partkey")])
     return rounded(correlation.trend_band(points))
+
+
+# --- sources -----------------------------------------------------------------------------------
+
+def as_texts(df: DataFrame) -> DataFrame:
+    """Every column as text, as it would stand in a CSV file."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp")
+                       else F.col(c).cast("string").alias(c) for c, t in df.dtypes])
+
+
+def written_csv(df: DataFrame, sep: str = ",") -> str:
+    """The table written as CSV files in the shared folder."""
+    path = scratch_path(df.sparkSession, "csv")
+    as_texts(df).write.options(header=True, sep=sep, quote='"', escape='"', nullValue="NA").csv(path)
+    return path
+
+
+@query
+def csv_roundtrip_orders(spark, sf_dir):
+    return csv.load_csv(spark, written_csv(orders_with_gaps(spark, sf_dir), ";"))
+
+
+@query
+def csv_roundtrip_customer(spark, sf_dir):
+    return csv.load_csv(spark, written_csv(table(spark, sf_dir, "customer")))
+
+
+def text_orders(spark, sf_dir):
+    """orders as texts, with columns whose type is decided by few odd values."""
+    return as_texts(orders_with_gaps(spark, sf_dir)).select(
+        "*", F.expr("CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'false' END").alias("closed"),
+        F.expr("CASE WHEN o_custkey % 50 = 0 THEN 'unknown' ELSE o_orderdate END").alias("mostly_date"),
+        F.expr("CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE o_orderdate END").alias("partly_date"),
+        F.expr("concat(o_orderkey, 'd')").alias("with_unit"),
+        F.expr("CASE WHEN o_custkey % 2 = 0 THEN 'N/A' ELSE CAST(o_custkey AS STRING) END").alias("half"))
+
+
+@query
+def csv_types_orders(spark, sf_dir):
+    return csv.column_types(text_orders(spark, sf_dir)).select("column", "verdict")
+
+
+@query
+def datetime_probe_orders(spark, sf_dir):
+    typed = csv.apply_types(text_orders(spark, sf_dir).select("o_orderkey", "mostly_date"),
+                            csv.column_types(text_orders(spark, sf_dir)
+                                             .select("o_orderkey", "mostly_date")).collect())
+    return typed
+
+
+@query
+def delimiter_pick(spark, sf_dir):
+    lines = as_texts(table(spark, sf_dir, "lineitem"))
+    return rounded(csv.delimiter_scores(lines.select(F.concat_ws("|", *lines.columns).alias("value"))))
+
+
+@query
+def delimiter_pick_documents(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return rounded(csv.delimiter_scores(lines))
+
+
+# --- names and paths ---------------------------------------------------------------------------
+
+@query
+def safe_names_pages(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("input"))
+    return paths.safe_names(df, "input")
+
+
+@query
+def safe_names_documents(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paths.safe_names(df, "text").select("doc_id", "safe")
+
+
+@query
+def safe_folders_pages(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("folder"), F.lit("x").alias("name"))
+    return paths.safe_paths(df).select("page_id", "safe_folder")
+
+
+@query
+def unique_paths_part(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("position"), F.col("p_type").alias("folder"), F.col("p_name").alias("name"))
+    return paths.unique_paths(df)
+
+
+@query
+def path_audit_pages(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?:", "").alias("path"))
+    return paths.path_audit(df, max_path_len=40)
+
+
+@query
+def path_audit_part(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(
+        F.expr("concat(CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END, '/', p_brand, "
+               "CASE WHEN p_size < 5 THEN '.' WHEN p_size = 7 THEN ' ' ELSE '.png' END)").alias("path"))
+    return paths.path_audit(df)
