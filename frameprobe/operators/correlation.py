@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -201,50 +202,50 @@ def scatter_points(df: DataFrame, pairs: Sequence[tuple[str, str]],
 def trend_band(points: DataFrame, bootstraps: int = BOOTSTRAPS, seed: int = 42) -> DataFrame:
     """(col1, col2, grid, x, y, lower, upper): 95 % band of the trend line on 100 points.
 
-    ``points`` is a scatter table, so it is bounded by the sample size. Every point is drawn a
-    Poisson(1) number of times in each refit; the weights come from a hash of point and refit.
+    In each refit every point is drawn a Poisson(1) number of times, by a hash of point and refit,
+    so the refits need no pass of their own: a batch of points adds to the sums of all refits at
+    once, and only (pair, refit) sums are shuffled.
     """
     pair = ["col1", "col2"]
-    draw = F.explode(F.sequence(F.lit(0), F.lit(bootstraps - 1))).alias("draw")
-    numbered = points.withColumn(
-        "point", F.row_number().over(Window.partitionBy(*pair).orderBy("x", "y")))
-    uniform = (F.xxhash64(F.lit(seed), "col1", "col2", "point", "draw").cast("double")
-               / F.lit(2.0 ** 64) + F.lit(0.5))
-    weight, passed, chance = F.lit(0), 0.0, float(np.exp(-1.0))
-    for times in range(1, 13):
-        passed += chance
-        weight = weight + (F.col("u") >= F.lit(passed)).cast("int")
-        chance /= times
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    drawn = (numbered.select(*pair, "point", "x", "y", draw).withColumn("u", uniform)
-             .withColumn("w", weight).filter(w > 0))
-    fits = drawn.groupBy(*pair, "draw").agg(
-        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
-    fitted = _line(fits)
-    plain = _line(points.withColumn("w", F.lit(1)).groupBy(*pair).agg(
-        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy")))
-    ends = points.groupBy(*pair).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    gap = (F.col("hi") - F.col("lo")) / (BAND_POINTS - 1)
-    grid = (ends.select(*pair, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(BAND_POINTS - 1))).alias("grid"))
-            .withColumn("x", F.col("lo") + F.col("grid") * gap).select(*pair, "grid", "x"))
-    line = grid.join(plain, pair).withColumn("y", F.col("intercept") + F.col("slope") * x).select(
-        *pair, "grid", "x", "y")
-    band = (
-        fitted.join(line.groupBy(*pair).agg(F.collect_list(F.struct("grid", "x")).alias("at")), pair)
-        .select(*pair, "slope", "intercept", F.explode("at").alias("at"))
-        .groupBy(*pair, F.col("at.grid").alias("grid"))
-        .agg(F.percentile(F.col("intercept") + F.col("slope") * F.col("at.x"),
-                          F.array(*[F.lit(t) for t in BAND_TAILS])).alias("tails")))
-    return line.join(band, [*pair, "grid"]).select(
-        *pair, "grid", "x", "y", F.col("tails")[0].alias("lower"), F.col("tails")[1].alias("upper"))
-
-
-def _line(sums: DataFrame) -> DataFrame:
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chances = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
+        refits = np.arange(bootstraps + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        for frame in frames:
+            for (col1, col2), rows in frame.groupby(["col1", "col2"]):
+                for start in range(0, len(rows), 4096):
+                    part = rows.iloc[start:start + 4096]
+                    x, y = part["x"].to_numpy(), part["y"].to_numpy()
+                    mixed = part["point"].to_numpy().view(np.uint64)[None, :] + refits
+                    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    mixed ^= mixed >> np.uint64(31)
+                    weight = np.searchsorted(chances, mixed / 2.0 ** 64, side="right").astype(float)
+                    weight[0] = 1.0  # refit 0 is the line through the points themselves
+                    sums = weight @ np.column_stack([np.ones_like(x), x, y, x * x, x * y])
+                    out = pd.DataFrame(sums, columns=["n", "sx", "sy", "sxx", "sxy"])
+                    out.insert(0, "draw", np.arange(bootstraps + 1))
+                    out.insert(0, "col2", col2)
+                    out.insert(0, "col1", col1)
+                    yield out
+
+    marked = points.select(*pair, "x", "y", F.xxhash64(F.rand(seed)).alias("point"))
+    sums = marked.mapInPandas(partial, "col1 string, col2 string, draw int, n double, sx double, "
+                                       "sy double, sxx double, sxy double")
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    spread = F.col("sxx") - sx * sx / n
-    return (sums.withColumn("slope", F.try_divide(F.col("sxy") - sx * sy / n, spread))
-            .withColumn("intercept", (sy - F.col("slope") * sx) / n)
-            .filter(F.col("slope").isNotNull())
-            .select("col1", "col2", "slope", "intercept"))
+    lines = (sums.groupBy(*pair, "draw").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+             .withColumn("slope", F.try_divide(F.col("sxy") - sx * sy / n, F.col("sxx") - sx * sx / n))
+             .withColumn("intercept", (sy - F.col("slope") * sx) / n)
+             .filter(F.col("slope").isNotNull()))
+    ends = points.groupBy(*pair).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    x = F.col("lo") + F.col("grid") * (F.col("hi") - F.col("lo")) / (BAND_POINTS - 1)
+    at = (lines.join(ends, pair)
+          .select(*pair, "draw", "slope", "intercept", "lo", "hi",
+                  F.explode(F.sequence(F.lit(0), F.lit(BAND_POINTS - 1))).alias("grid"))
+          .select(*pair, "draw", "grid", x.alias("x"),
+                  (F.col("intercept") + F.col("slope") * x).alias("fit")))
+    tails = F.percentile(F.when(F.col("draw") > 0, F.col("fit")), F.array(*[F.lit(t) for t in BAND_TAILS]))
+    return at.groupBy(*pair, "grid").agg(
+        F.max("x").alias("x"), F.max(F.when(F.col("draw") == 0, F.col("fit"))).alias("y"),
+        tails.alias("tails")).select(
+            *pair, "grid", "x", "y", F.col("tails")[0].alias("lower"), F.col("tails")[1].alias("upper"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.operators import (
     categorical, columns, correlation, grouped, numeric, paths, profile, sampling)
+from frameprobe.plans import analysis
 from frameprobe.session import scratch_path
 from frameprobe.sources import csv
 
@@ -455,3 +456,23 @@ def path_audit_part(spark, sf_dir):
         F.expr("concat(CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END, '/', p_brand, "
                "CASE WHEN p_size < 5 THEN '.' WHEN p_size = 7 THEN ' ' ELSE '.png' END)").alias("path"))
     return paths.path_audit(df)
+
+
+# --- report ------------------------------------------------------------------------------------
+
+@query
+def report_manifest_lineitem(spark, sf_dir):
+    return analysis.analyze(table(spark, sf_dir, "lineitem")).manifest
+
+
+@query
+def report_manifest_orders_capped(spark, sf_dir):
+    return analysis.analyze(orders_with_gaps(spark, sf_dir), max_items=12).manifest
+
+
+@query
+def written_report_orders(spark, sf_dir):
+    """The sink: write a report, read its frequency table back."""
+    path = scratch_path(spark, "report")
+    analysis.write_report(analysis.analyze(orders_with_gaps(spark, sf_dir), max_items=12), path)
+    return rounded(spark.read.parquet(f"{path}/03_categorical_distributions/cats"))
