@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 # Any of these must occur in a text that is taken for a date.
 DATE_SEPARATOR = "[-/:]"
+# The outline that all formats below share; one cheap test spares other texts the rest.
+DATE_OUTLINE = r"^\s*\d{1,4}[-/][0-9A-Za-z]{1,3}[-/]\d{1,4}([ T][0-9:.]+)?\s*$"
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,14 @@ DATE_FORMATS: tuple[DateFormat, ...] = (
 )
 
 
+def date_like(value: Column) -> Column:
+    """The trimmed text where it has the outline of a date, else NULL."""
+    return F.when(value.rlike(DATE_OUTLINE), F.trim(value))
+
+
 def parse(value: Column, form: DateFormat) -> Column:
-    """The text as a timestamp, NULL where it does not fit the format."""
-    text = F.trim(value)
-    return F.when(text.rlike(form.shape), F.try_to_timestamp(text, F.lit(form.pattern)))
+    """A trimmed text as a timestamp, NULL where it does not fit the format."""
+    return F.when(value.rlike(form.shape), F.try_to_timestamp(value, F.lit(form.pattern)))
 
 
 def parses_as(value: Column, form: DateFormat) -> Column:

@@ -44,21 +44,31 @@ def collision_key(path: Column) -> Column:
     return _fold_udf()(path)
 
 
-def stem_of_normal(raw: Column, normal: Column, max_len: int, fallback: str) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def stem_of_normal(raw: Column, normal: Column, max_len: int, fallback: str, bind=_let) -> Column:
     """A safe stem from a name and its NFC form."""
     blank = F.coalesce(raw, F.lit("")) == ""
     name = F.when(blank, F.lit(fallback)).otherwise(raw)
     spelled = F.when(blank, F.lit(fallback)).otherwise(normal)
-    kept = F.regexp_replace(spelled, r"[^\p{L}\p{N}\-]+", "_")
-    trimmed = F.regexp_replace(kept, "^_+|_+$", "")
-    clean = F.when(trimmed == "", F.lit(fallback)).otherwise(trimmed)
-    clean = F.when(F.upper(clean).isin(RESERVED_NAMES), F.concat(clean, F.lit("_"))).otherwise(clean)
-    mark = F.concat(F.lit(TRUNCATION_MARK), F.upper(F.left(F.sha2(name, 256), F.lit(4))))
     keep = max(1, max_len - len(TRUNCATION_MARK) - 4)
-    head = F.left(clean, F.lit(keep))
-    short = F.regexp_replace(head, r"[._]+$", "")
-    cut = F.concat(F.when(short == "", head).otherwise(short), mark)
-    return F.when(F.length(clean) > max_len, cut).otherwise(clean)
+
+    def shortened(clean: Column) -> Column:
+        mark = F.concat(F.lit(TRUNCATION_MARK), F.upper(F.left(F.sha2(name, 256), F.lit(4))))
+        head = F.left(clean, F.lit(keep))
+        short = F.regexp_replace(head, r"[._]+$", "")
+        cut = F.concat(F.when(short == "", head).otherwise(short), mark)
+        return F.when(F.length(clean) > max_len, cut).otherwise(clean)
+
+    def unreserved(trimmed: Column) -> Column:
+        clean = F.when(trimmed == "", F.lit(fallback)).otherwise(trimmed)
+        return F.when(F.upper(clean).isin(RESERVED_NAMES), F.concat(clean, F.lit("_"))).otherwise(clean)
+
+    kept = F.btrim(F.regexp_replace(spelled, r"[^\p{L}\p{N}\-]+", "_"), F.lit("_"))
+    return bind(bind(kept, unreserved), shortened)
 
 
 def safe_stem(name: Column, max_len: int = STEM_LENGTH, fallback: str = STEM_FALLBACK) -> Column:
@@ -75,10 +85,12 @@ def folder_parts(folder: Column) -> Column:
 def safe_folder(folder: Column, max_len: int = FOLDER_LENGTH, fallback: str = FOLDER_FALLBACK) -> Column:
     """A safe folder path: every part is a safe stem; the fallback when no part is left."""
     # Normalising first keeps the Python step outside the array expression; '/' and '.' are ASCII
-    # and survive it. The hash mark needs the parts as they were written.
+    # and survive it. The hash mark needs the parts as they were written. Folder parts are short
+    # and already inside an array function, so steps are not bound again.
     parts, normal = folder_parts(folder), folder_parts(nfc(folder))
     safe = F.transform(F.arrays_zip(parts.alias("raw"), normal.alias("normal")),
-                       lambda p: stem_of_normal(p["raw"], p["normal"], max_len, fallback))
+                       lambda p: stem_of_normal(p["raw"], p["normal"], max_len, fallback,
+                                                bind=lambda value, use: use(value)))
     return F.when(F.size(F.coalesce(parts, F.array().cast("array<string>"))) == 0, F.lit(fallback)
                   ).otherwise(F.array_join(safe, "/"))
 

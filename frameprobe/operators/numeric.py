@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from frameprobe.functions import moments
 from frameprobe.functions.columns import as_double, kind, melt, melt_numeric, round_half_even
@@ -16,7 +18,6 @@ MAX_COLUMNS = 50
 QUARTILES = (0.25, 0.5, 0.75)
 WHISKER_REACH = 1.5
 GRID_POINTS = 200
-FEW_DISTINCT = 10_000
 # Beyond this many bandwidths a Gaussian is below 1e-16 of its peak.
 KERNEL_REACH = 8.7
 
@@ -147,49 +148,38 @@ def auto_bins(s: ColumnStats) -> Bins:
     return Bins(s.min, s.max, max(1, math.ceil(spread / width)))
 
 
-def _edge(bins: Bins, index: Column) -> Column:
-    inner = index * F.lit(bins.step) + F.lit(bins.lo)
-    return F.when(index == bins.count, F.lit(bins.hi)).otherwise(inner)
-
-
-def _bin_of(value: Column, bins: Bins) -> Column:
-    """Bin number, settled against the printed edges so that counts agree with them exactly."""
-    guess = F.least(F.floor((value - bins.lo) / (bins.hi - bins.lo) * bins.count).cast("int"),
-                    F.lit(bins.count - 1))
-    return F.when(
-        value.isNotNull(),
-        F.when(value < _edge(bins, guess), guess - 1)
-        .when((value >= _edge(bins, guess + 1)) & (guess != bins.count - 1), guess + 1)
-        .otherwise(guess),
-    )
-
-
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
               stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, bin, lo, hi, count) per automatic bin, empty bins included.
 
-    Edges are constants in the plan, so binning is one scan with a map-side combine.
+    The edges come from a table of one row per column, so binning is one scan with a map-side
+    combine. A guessed bin is settled against the printed edges: counts agree with them exactly.
     """
     found = _stats(df, columns, max_cols, stats)
-    schema = "column string, bin int, lo double, hi double, count long"
     if not found:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame(
+            [], "column string, bin int, lo double, hi double, count long")
     bins = [auto_bins(s) for s in found]
-    records = [(F.lit(i), _bin_of(as_double(df, s.column), b))
-               for i, (s, b) in enumerate(zip(found, bins))]
-    rows = melt(df, records, ("position", "bin")).filter(F.col("bin").isNotNull())
     table = df.sparkSession.createDataFrame(
         [(i, s.column, b.lo, b.hi, b.step, b.count) for i, (s, b) in enumerate(zip(found, bins))],
         "position int, column string, first double, last double, step double, bins int")
-    empty = table.select("position", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
-                         F.lit(0).alias("one"))
-    counted = (rows.withColumn("one", F.lit(1)).unionByName(empty)
-               .groupBy("position", "bin").agg(F.sum("one").alias("count")))
-    low = F.col("bin") * F.col("step") + F.col("first")
-    high = (F.col("bin") + 1) * F.col("step") + F.col("first")
+    first, step, last_bin = F.col("first"), F.col("step"), F.col("bins") - 1
+    v, guess = F.col("v"), F.col("guess")
+    share = (v - first) / (F.col("last") - first)
+    settled = (F.when(v < guess * step + first, guess - 1)
+               .when((guess < last_bin) & (v >= (guess + 1) * step + first), guess + 1)
+               .otherwise(guess))
+    rows = (
+        melt_numeric(df, [s.column for s in found]).join(F.broadcast(table.drop("column")), "position")
+        .select("position", "v", "first", "step", "bins",
+                F.least(F.floor(share * F.col("bins")).cast("int"), last_bin).alias("guess"))
+        .groupBy("position", settled.alias("bin")).agg(F.count("*").alias("count")))
+    empty = table.select("position", F.explode(F.sequence(F.lit(0), last_bin)).alias("bin"),
+                         F.lit(0).cast("bigint").alias("count"))
+    counted = rows.unionByName(empty).groupBy("position", "bin").agg(F.sum("count").alias("count"))
     return counted.join(F.broadcast(table), "position").select(
-        "column", "bin", low.alias("lo"),
-        F.when(F.col("bin") == F.col("bins") - 1, F.col("last")).otherwise(high).alias("hi"),
+        "column", "bin", (F.col("bin") * step + first).alias("lo"),
+        F.when(F.col("bin") == last_bin, F.col("last")).otherwise((F.col("bin") + 1) * step + first).alias("hi"),
         "count")
 
 
@@ -199,60 +189,45 @@ def kde(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX
         stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, grid, x, density): Gaussian kernel with Scott's bandwidth on 200 points.
 
-    Every value adds to the grid points within reach of its kernel and the sums are combined on the
-    map side, so only (column, grid point) partial sums are shuffled. The reach shrinks with the
-    bandwidth: the larger the table, the fewer points per value. Columns with few distinct values
-    are counted by value first.
+    Each Arrow batch is sorted, and a grid point sums the kernel over the values within its reach;
+    only (column, grid point) sums are shuffled. The reach shrinks with the bandwidth: the larger
+    the table, the fewer points a value adds to. Nothing is binned.
     """
     found = [s for s in _stats(df, columns, max_cols, stats) if s.count > 1 and s.std]
-    schema = "column string, grid int, x double, density double"
     if not found:
-        return df.sparkSession.createDataFrame([], schema)
-    names = [s.column for s in found]
-    repeated = _few_distinct(df, names)
-    values = melt_numeric(df, names).withColumn("weight", F.lit(1).cast("bigint"))
-    few = [i for i, n in enumerate(names) if n in repeated]
-    many = [i for i, n in enumerate(names) if n not in repeated]
-    counted = (values.filter(F.col("position").isin(few))
-               .groupBy("position", "v").agg(F.sum("weight").alias("weight")))
-    weighted = (counted.unionByName(values.filter(F.col("position").isin(many)))
-                if few and many else counted if few else values)
-
+        return df.sparkSession.createDataFrame([], "column string, grid int, x double, density double")
+    curves = [(s.min, s.max, s.std * s.count ** (-0.2)) for s in found]
+    points, reach = GRID_POINTS, KERNEL_REACH
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros((len(curves), points))
+        for batch in batches:
+            for i, (lo, hi, bandwidth) in enumerate(curves):
+                values = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                values, weight = np.unique(values[~np.isnan(values)], return_counts=True)
+                grid = np.linspace(lo, hi, points)
+                first = np.searchsorted(values, grid - reach * bandwidth)
+                last = np.searchsorted(values, grid + reach * bandwidth, side="right")
+                for g in range(points):
+                    z = (grid[g] - values[first[g]:last[g]]) / bandwidth
+                    mass[i, g] += weight[first[g]:last[g]] @ np.exp(-0.5 * z * z)
+        at, g = np.nonzero(mass)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(g, pa.int32()), pa.array(mass[at, g])],
+            names=["position", "grid", "mass"])
+
+    sums = (df.select(*[as_double(df, s.column).alias(f"c{i}") for i, s in enumerate(found)])
+            .mapInArrow(partial, "position int, grid int, mass double")
+            .groupBy("position", "grid").agg(F.sum("mass").alias("mass")))
     table = df.sparkSession.createDataFrame(
-        [(i, s.column, s.min, s.max, (s.max - s.min) / (GRID_POINTS - 1),
-          s.std * s.count ** (-0.2), float(s.count)) for i, s in enumerate(found)],
-        "position int, column string, lo double, hi double, gap double, bandwidth double, n double")
-    at = F.col("grid") * F.col("gap") + F.col("lo")
-    x = F.when(F.col("grid") == GRID_POINTS - 1, F.col("hi")).otherwise(at)
-    reach = F.lit(KERNEL_REACH) * F.col("bandwidth")
-    first = F.greatest(F.lit(0), F.floor((F.col("v") - reach - F.col("lo")) / F.col("gap")).cast("int"))
-    last = F.least(F.lit(GRID_POINTS - 1),
-                   F.ceil((F.col("v") + reach - F.col("lo")) / F.col("gap")).cast("int"))
-    z = (F.col("x") - F.col("v")) / F.col("bandwidth")
-    near = (
-        weighted.join(F.broadcast(table), "position")
-        .select("position", "v", "weight", "lo", "hi", "gap", "bandwidth",
-                F.explode(F.sequence(first, last)).alias("grid"))
-        .withColumn("x", x)
-        .groupBy("position", "grid")
-        .agg(F.sum(F.col("weight") * F.exp(z * z * -0.5)).alias("mass"))
-    )
+        [(i, s.column, s.min, s.max, s.count * h * math.sqrt(2 * math.pi))
+         for i, (s, (_, _, h)) in enumerate(zip(found, curves))],
+        "position int, column string, lo double, hi double, scale double")
     every = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("grid"))
-    density = F.coalesce(F.col("mass"), F.lit(0.0)) / (
-        F.col("n") * F.col("bandwidth") * F.lit(math.sqrt(2 * math.pi)))
-    return every.join(near, ["position", "grid"], "left").select(
-        "column", "grid", x.alias("x"), density.alias("density"))
-
-
-def _few_distinct(df: DataFrame, names: Sequence[str]) -> set[str]:
-    """Columns worth counting by value first: few distinct values in a 32,768-bit hash map.
-
-    Only the speed of the density curve depends on it, not its values.
-    """
-    slot = lambda n: F.pmod(F.xxhash64(as_double(df, n)), F.lit(32_768))
-    row = df.agg(*[F.bitmap_count(F.bitmap_construct_agg(slot(n))).alias(f"c{i}")
-                   for i, n in enumerate(names)]).first()
-    return {n for i, n in enumerate(names) if row[i] <= FEW_DISTINCT}
+    at = F.col("grid") * ((F.col("hi") - F.col("lo")) / (GRID_POINTS - 1)) + F.col("lo")
+    return every.join(sums, ["position", "grid"], "left").select(
+        "column", "grid", F.when(F.col("grid") == GRID_POINTS - 1, F.col("hi")).otherwise(at).alias("x"),
+        (F.coalesce("mass", F.lit(0.0)) / F.col("scale")).alias("density"))
 
 
 # --- box summary -------------------------------------------------------------------------------

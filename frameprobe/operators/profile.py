@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from frameprobe.functions.columns import (
     FLOATING, as_double, col, kind, melt, round_half_even)
-from frameprobe.functions.dates import DATE_FORMATS, DATE_SEPARATOR, parses_as
+from frameprobe.functions.dates import DATE_FORMATS, date_like, parses_as
 
 # Fixed values of the type rules.
 BOOLEAN_WORDS = ["true", "false", "t", "f", "yes", "no", "y", "n"]
@@ -177,18 +177,17 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     parts = [p for p in (_number_facts(df, whole), _number_facts(df, floating)) if p is not None]
     if text:
         v = F.col("v")
-        parsed = [F.bool_and(parses_as(v, f)).alias(f"d{k}") for k, f in enumerate(DATE_FORMATS)]
+        # Every format has a separator, so a column that parses has one in each value.
+        parsed = [F.bool_and(parses_as(F.col("date"), f)).alias(f"d{k}") for k, f in enumerate(DATE_FORMATS)]
         # A SHA-256 key stands for a long text, which is neither a boolean word nor a date.
         parts.append(
             melt(df, [(F.lit(i), c) for i, c in text.items()], ("position", "v"))
             .filter(v.isNotNull()).groupBy("position", "v").agg(F.lit(1).alias("_"))
-            .groupBy("position").agg(
+            .withColumn("date", date_like(v)).groupBy("position").agg(
                 F.count("*").alias("n_unique"),
-                F.bool_and(F.lower(F.trim(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"),
-                F.bool_and(v.rlike(DATE_SEPARATOR)).alias("separated"), *parsed)
+                F.bool_and(F.lower(F.trim(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"), *parsed)
             .select("position", "n_unique", "all_boolean_words",
-                    (F.col("separated") & F.greatest(*[F.col(f"d{k}") for k in range(len(DATE_FORMATS))])
-                     ).alias("all_dates")))
+                    F.greatest(*[F.col(f"d{k}") for k in range(len(DATE_FORMATS))]).alias("all_dates")))
     schema = ("position int, n_unique long, lo double, hi double, all_boolean_words boolean, "
               "all_dates boolean")
     out = df.sparkSession.createDataFrame([], schema)

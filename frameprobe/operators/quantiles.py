@@ -98,12 +98,23 @@ def select_ranks(values: DataFrame, wanted: dict[tuple[int, int], Span],
     return found
 
 
+def _tail(value: float) -> float:
+    """Signed logarithm: spreads long tails over the cells, and is finite for every double."""
+    finite = max(-LARGEST, min(LARGEST, value))
+    return math.copysign(math.log1p(abs(finite)), finite)
+
+
 def _intervals(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> tuple[list[Span], DataFrame]:
     """The distinct spans as a small table; at most two per group and wanted quantile."""
     spans = sorted(set(ranks.values()), key=lambda s: (s.group, s.start))
-    rows = [(i, s.group, s.lo, s.hi, s.start, s.log) for i, s in enumerate(spans)]
+    rows = []
+    for i, s in enumerate(spans):
+        log = (s.log or math.isinf(s.hi - s.lo)) and _tail(s.hi) > _tail(s.lo)
+        bottom, top = (_tail(s.lo), _tail(s.hi)) if log else (s.lo, s.hi)
+        rows.append((i, s.group, s.lo, s.hi, s.start, log, bottom, top - bottom))
     table = values.sparkSession.createDataFrame(
-        rows, "span int, position int, lo double, hi double, start long, log boolean")
+        rows, "span int, position int, lo double, hi double, start long, log boolean, bottom double, "
+              "width double")
     return spans, F.broadcast(table)
 
 
@@ -113,14 +124,13 @@ def _rank_table(values: DataFrame, spans: list[Span], ranks: dict[tuple[int, int
     return F.broadcast(values.sparkSession.createDataFrame(rows, "span int, rank long"))
 
 
-def _finite(value: Column) -> Column:
-    return F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), value))
-
-
-def _scaled(value: Column) -> Column:
-    """Order-preserving position of a value: itself, or its signed logarithm for long tails."""
-    finite = _finite(value)
-    return F.when(F.col("log"), F.signum(finite) * F.log1p(F.abs(finite))).otherwise(finite / 2)
+def _place(value: Column, any_log: bool) -> Column:
+    """Order-preserving place of a value within its span, 0 to 1."""
+    if not any_log:
+        return (value - F.col("bottom")) / F.col("width")
+    finite = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), value))
+    scaled = F.when(F.col("log"), F.signum(finite) * F.log1p(F.abs(finite))).otherwise(value)
+    return F.greatest(F.lit(0.0), (scaled - F.col("bottom")) / F.col("width"))
 
 
 def _narrow(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> dict[tuple[int, int], Span]:
@@ -128,10 +138,8 @@ def _narrow(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> dict[tuple
     spans, intervals = _intervals(values, ranks)
     cells = max(MIN_CELLS, min(MAX_CELLS, CELLS_PER_PASS // len(spans)))
     inside = values.join(intervals, "position").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    bottom, top = _scaled(F.col("lo")), _scaled(F.col("hi"))
-    ratio = F.when(top > bottom, (_scaled(F.col("v")) - bottom) / (top - bottom)).otherwise(
-        F.when(F.col("v") > F.col("lo"), 1.0).otherwise(0.0))
-    cell = F.least(F.floor(ratio * cells), F.lit(cells - 1)).cast("int")
+    place = _place(F.col("v"), any(s.log or math.isinf(s.hi - s.lo) for s in spans))
+    cell = F.least((place * cells).cast("int"), F.lit(cells - 1))
     counted = (
         inside.groupBy("span", F.col("start").alias("base"), cell.alias("cell"))
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
