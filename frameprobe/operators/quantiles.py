@@ -13,6 +13,7 @@ The driver holds one interval per group and wanted rank, never rows.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ CELLS_PER_PASS = 200_000
 MAX_CELLS = 4_096
 MIN_CELLS = 64
 RESIDUE_ROWS = 50_000
-LARGEST = 1.7e308
+LARGEST = sys.float_info.max
 
 
 @dataclass(frozen=True)
@@ -109,11 +110,15 @@ def _intervals(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> tuple[l
     spans = sorted(set(ranks.values()), key=lambda s: (s.group, s.start))
     rows = []
     for i, s in enumerate(spans):
-        log = (s.log or math.isinf(s.hi - s.lo)) and _tail(s.hi) > _tail(s.lo)
-        bottom, top = (_tail(s.lo), _tail(s.hi)) if log else (s.lo, s.hi)
-        rows.append((i, s.group, s.lo, s.hi, s.start, log, bottom, top - bottom))
+        endless = math.isinf(s.hi - s.lo)
+        mode, bottom, top = "linear", s.lo, s.hi
+        if (s.log or endless) and _tail(s.hi) > _tail(s.lo):
+            mode, bottom, top = "log", _tail(s.lo), _tail(s.hi)
+        elif endless:  # infinity beside the largest numbers: only tell it from the rest
+            mode, bottom, top = "apart", 0.0, 1.0
+        rows.append((i, s.group, s.lo, s.hi, s.start, mode, bottom, top - bottom))
     table = values.sparkSession.createDataFrame(
-        rows, "span int, position int, lo double, hi double, start long, log boolean, bottom double, "
+        rows, "span int, position int, lo double, hi double, start long, mode string, bottom double, "
               "width double")
     return spans, F.broadcast(table)
 
@@ -124,12 +129,14 @@ def _rank_table(values: DataFrame, spans: list[Span], ranks: dict[tuple[int, int
     return F.broadcast(values.sparkSession.createDataFrame(rows, "span int, rank long"))
 
 
-def _place(value: Column, any_log: bool) -> Column:
+def _place(value: Column, plain: bool) -> Column:
     """Order-preserving place of a value within its span, 0 to 1."""
-    if not any_log:
+    if plain:
         return (value - F.col("bottom")) / F.col("width")
     finite = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), value))
-    scaled = F.when(F.col("log"), F.signum(finite) * F.log1p(F.abs(finite))).otherwise(value)
+    scaled = (F.when(F.col("mode") == "log", F.signum(finite) * F.log1p(F.abs(finite)))
+              .when(F.col("mode") == "apart", (value > F.col("lo")).cast("double"))
+              .otherwise(value))
     return F.greatest(F.lit(0.0), (scaled - F.col("bottom")) / F.col("width"))
 
 
@@ -138,7 +145,7 @@ def _narrow(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> dict[tuple
     spans, intervals = _intervals(values, ranks)
     cells = max(MIN_CELLS, min(MAX_CELLS, CELLS_PER_PASS // len(spans)))
     inside = values.join(intervals, "position").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    place = _place(F.col("v"), any(s.log or math.isinf(s.hi - s.lo) for s in spans))
+    place = _place(F.col("v"), not any(s.log or math.isinf(s.hi - s.lo) for s in spans))
     cell = F.least((place * cells).cast("int"), F.lit(cells - 1))
     counted = (
         inside.groupBy("span", F.col("start").alias("base"), cell.alias("cell"))
