@@ -101,7 +101,20 @@ def _suffix(stem: Column, number: Column) -> Column:
 
 
 def _settle_families(work: DataFrame) -> DataFrame:
-    """(position, __number) of families that each fit a task."""
+    """(position, __number) of families that each fit a task.
+
+    A family of one stem, or of stems that do not repeat, is numbered by windows alone. Only where
+    copies meet other stems (``a``, ``a``, ``a_2``) does the outcome hang on the sequence.
+    """
+    family = ["__folder", "__family"]
+    whole = Window.partitionBy(*family)
+    counted = (
+        work.repartition(*family)
+        .withColumn("__number", F.row_number().over(
+            Window.partitionBy(*family, "__stem").orderBy("position")).cast("bigint"))
+        .withColumn("__rows", F.count("*").over(whole))
+        .withColumn("__stems", F.count_if(F.col("__number") == 1).over(whole)))
+    plain = (F.col("__stems") == 1) | (F.col("__stems") == F.col("__rows"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position")
@@ -119,7 +132,9 @@ def _settle_families(work: DataFrame) -> DataFrame:
             numbers.append(number)
         return pd.DataFrame({"position": rows["position"].to_numpy(), "__number": numbers})
 
-    return work.groupBy("__folder", "__family").applyInPandas(settle, "position long, __number long")
+    mixed = counted.filter(~plain).select(*family, "__stem", "position").groupBy(*family).applyInPandas(
+        settle, "position long, __number long")
+    return counted.filter(plain).select("position", "__number").unionByName(mixed)
 
 
 def _settle_rounds(work: DataFrame) -> DataFrame:
