@@ -25,19 +25,22 @@ BAND_TAILS = (0.025, 0.975)
 PAIR_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "min_x", "max_x", "min_y", "max_y")
 
 
-def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pair_moments(df: DataFrame, columns: Sequence[str],
+                 centres: Sequence[float | None] | None = None) -> DataFrame:
     """(pos1, pos2, n, mean_x, mean_y, sxx, syy, sxy, constant) for every pair pos1 >= pos2.
 
     x is column ``pos1``, y is column ``pos2``; only rows where both are there count, so with
     missing values every pair has its own means. Each Arrow batch is reduced to p x p matrix
     products, and the partial matrices are added up: one scan, p^2 numbers per task, against one
     aggregate expression or one row copy per pair. Values are centred on the column means first,
-    which keeps the sums well conditioned.
+    which keeps the sums well conditioned; ``centres`` saves the scan that finds the means.
     """
     names = list(columns)
     values = [as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)]
     wide = df.select(*values)
-    centres = [r or 0.0 for r in wide.agg(*[F.avg(c).alias(c) for c in wide.columns]).first()]
+    if centres is None:
+        centres = wide.agg(*[F.avg(c).alias(c) for c in wide.columns]).first()
+    centres = [c or 0.0 for c in centres]
     lower = [(i, j) for i in range(len(names)) for j in range(i + 1)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +137,21 @@ def heatmap_columns(df: DataFrame, max_correlated: int = MAX_CORRELATED) -> list
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None,
-                max_correlated: int = MAX_CORRELATED) -> DataFrame:
+                max_correlated: int = MAX_CORRELATED, moments: DataFrame | None = None) -> DataFrame:
     """(col1, col2, n, r): lower triangle with diagonal of the Pearson matrix, all rows.
 
-    ``r`` is NULL where a column is constant on the pair's rows.
+    ``r`` is NULL where a column is constant on the pair's rows. ``moments`` are the pair moments of
+    the same columns, when they are there already.
     """
     names = heatmap_columns(df, max_correlated) if columns is None else list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, n long, r double")
-    return _named(df, _r(pair_moments(df, names)), names).orderBy("pos1", "pos2").select(
-        "col1", "col2", "n", "r")
+    moments = pair_moments(df, names) if moments is None else moments
+    return _named(df, _r(moments), names).orderBy("pos1", "pos2").select("col1", "col2", "n", "r")
 
 
 def pair_ranking(df: DataFrame, max_pairs: int = MAX_SCATTER_PAIRS,
-                 sample_size: int | None = None) -> DataFrame:
+                 sample_size: int | None = None, moments: DataFrame | None = None) -> DataFrame:
     """(col1, col2, n, r, slope, intercept, r2, rank): numeric pairs by |r|, strongest first.
 
     col1 is the later column (x), col2 the earlier one (y). Pairs with under 3 complete rows leave
@@ -158,9 +162,11 @@ def pair_ranking(df: DataFrame, max_pairs: int = MAX_SCATTER_PAIRS,
               "r2 double, rank int")
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    source = df if sample_size is None else sample_rows(df.select(*[col(n) for n in names]), sample_size)
+    if moments is None:
+        source = df if sample_size is None else sample_rows(df.select(*[col(n) for n in names]), sample_size)
+        moments = pair_moments(source, names)
     order = (F.desc(F.abs("r")), "pos1", "pos2")
-    top = (_r(pair_moments(source, names)).filter((F.col("pos1") > F.col("pos2")) & F.col("r").isNotNull())
+    top = (_r(moments).filter((F.col("pos1") > F.col("pos2")) & F.col("r").isNotNull())
            .orderBy(*order).limit(max_pairs).filter(F.col("n") >= MIN_PAIR_ROWS))
     # One row per column pair, so a single ordered partition is small.
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -143,22 +143,32 @@ def _text_key(name: str) -> Column:
     return F.when(long_text, F.concat(F.lit("#"), F.sha2(col(name), 256))).otherwise(col(name))
 
 
-def _number_facts(df: DataFrame, numbers: dict[int, Column]) -> DataFrame | None:
+def _values(df: DataFrame, columns: dict[int, Column], approximate: bool) -> tuple[DataFrame, Column]:
+    """Values to look at per column, each once unless only an estimate is wanted, and their number."""
+    long = melt(df, [(F.lit(i), c) for i, c in columns.items()], ("position", "v"))
+    there = long.filter(F.col("v").isNotNull())
+    if approximate:
+        return there, F.approx_count_distinct("v")
+    return there.groupBy("position", "v").agg(F.lit(1).alias("_")), F.count("*")
+
+
+def _number_facts(df: DataFrame, numbers: dict[int, Column], approximate: bool) -> DataFrame | None:
     if not numbers:
         return None
-    long = melt(df, [(F.lit(i), c) for i, c in numbers.items()], ("position", "v"))
-    return (long.filter(F.col("v").isNotNull()).groupBy("position", "v").agg(F.lit(1).alias("_"))
-            .groupBy("position").agg(F.count("*").alias("n_unique"),
-                                     F.min("v").cast("double").alias("lo"),
-                                     F.max("v").cast("double").alias("hi")))
+    values, unique = _values(df, numbers, approximate)
+    return values.groupBy("position").agg(unique.alias("n_unique"),
+                                          F.min("v").cast("double").alias("lo"),
+                                          F.max("v").cast("double").alias("hi"))
 
 
-def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def column_facts(df: DataFrame, columns: Sequence[str] | None = None,
+                 approximate: bool = False) -> DataFrame:
     """(position, n_unique, lo, hi, all_boolean_words, all_dates) from the distinct values.
 
     Each type family is unpivoted and grouped by (column, value) apart, so keys stay in their own
     type, every column is read once and repeated values collapse before the shuffle. Text rules run
-    on distinct values only. Dates and nested values have no cardinality.
+    on distinct values only. Dates and nested values have no cardinality. ``approximate=True``
+    estimates the cardinality instead and shuffles no values at all.
     """
     wanted = set(df.columns if columns is None else columns)
     whole, floating, text = {}, {}, {}
@@ -174,17 +184,17 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             floating[i] = as_double(df, field.name)
         elif family == "string":
             text[i] = _text_key(field.name)
-    parts = [p for p in (_number_facts(df, whole), _number_facts(df, floating)) if p is not None]
+    parts = [p for p in (_number_facts(df, whole, approximate),
+                          _number_facts(df, floating, approximate)) if p is not None]
     if text:
         v = F.col("v")
+        values, unique = _values(df, text, approximate)
         # Every format has a separator, so a column that parses has one in each value.
         parsed = [F.bool_and(parses_as(F.col("date"), f)).alias(f"d{k}") for k, f in enumerate(DATE_FORMATS)]
         # A SHA-256 key stands for a long text, which is neither a boolean word nor a date.
         parts.append(
-            melt(df, [(F.lit(i), c) for i, c in text.items()], ("position", "v"))
-            .filter(v.isNotNull()).groupBy("position", "v").agg(F.lit(1).alias("_"))
-            .withColumn("date", date_like(v)).groupBy("position").agg(
-                F.count("*").alias("n_unique"),
+            values.withColumn("date", date_like(v)).groupBy("position").agg(
+                unique.alias("n_unique"),
                 F.bool_and(F.lower(F.trim(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"), *parsed)
             .select("position", "n_unique", "all_boolean_words",
                     F.greatest(*[F.col(f"d{k}") for k in range(len(DATE_FORMATS))]).alias("all_dates")))
@@ -220,10 +230,10 @@ def is_id(kind_of: Column, id_name: Column, n_unique: Column, rows: Column) -> C
             | (id_name & (ratio > NAMED_ID_RATIO)))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: column, position, physical_type, semantic_type, n_unique, missing,
-    missing_pct, is_id."""
-    facts = column_facts(df)
+    missing_pct, is_id. ``approximate=True`` estimates n_unique and what follows from it."""
+    facts = column_facts(df, approximate=approximate)
     joined = (column_counts(df).join(_names(df), "position").join(facts, "position", "left"))
     typed = joined.withColumn("semantic_type", semantic_type(F.col("family"), F.col("non_null")))
     # Dates have no cardinality; a column without any value has none distinct.

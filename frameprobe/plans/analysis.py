@@ -136,13 +136,24 @@ class Analysis:
     def cats(self) -> DataFrame:
         return categorical.category_frequencies(self.df, list(self.grouping(BAR_LEVELS)))
 
+    @cached_property
+    def pair_moments(self) -> DataFrame:
+        """Moments of all numeric pairs, one row per pair, kept for correlation and ranking."""
+        names = numeric.numeric_columns(self.df)
+        known = {s.column: s.mean for s in self.stats} if "stats" in self.__dict__ else None
+        centres = [known[n] for n in names] if known else None
+        return correlation.pair_moments(self.df, names, centres).persist()
+
     @property
     def corr(self) -> DataFrame:
-        return correlation.correlation(self.df)
+        shared = 2 <= len(numeric.numeric_columns(self.df)) <= correlation.MAX_CORRELATED
+        return correlation.correlation(self.df, moments=self.pair_moments if shared else None)
 
     @cached_property
     def scatter_rows(self) -> list:
-        return correlation.pair_ranking(self.df, sample_size=self.sample_size).collect()
+        shared = self.sample_size is None and len(numeric.numeric_columns(self.df)) >= 2
+        return correlation.pair_ranking(self.df, sample_size=self.sample_size,
+                                        moments=self.pair_moments if shared else None).collect()
 
     @property
     def scatters(self) -> DataFrame:
@@ -209,10 +220,8 @@ class Analysis:
         add("summary", [SUMMARY_ITEM])
         if any(r.missing for r in self.column_rows):
             add("missing", [MISSING_ITEM])
-        there = [r for r in self.column_rows if r.column in set(
-            numeric.numeric_columns(self.df, numeric.MAX_COLUMNS)) and r.missing_pct is not None]
-        counts = {s.column: s.count for s in self.stats} if there and not full() else {}
-        charted = [r.column for r in there if counts.get(r.column)]
+        numbers = set(numeric.numeric_columns(self.df, numeric.MAX_COLUMNS))
+        charted = [r.column for r in self.column_rows if r.column in numbers and r.n_unique]
         add("dists", [(f"dist_{c}", f"Distribution: {c}", f"distribution_{c}") for c in charted])
         if not full():
             add("boxplots", [(f"boxplot_{c}", f"Boxplot: {c}", f"boxplot_{c}") for c in charted])

@@ -138,3 +138,15 @@ def test_grouping_columns(spark):
     assert found == {"grp": 3, "flag": 2, "always": 1}
     assert [r.column for r in columns.grouping_columns(df, 40, ["grp"]).collect()] == ["flag", "always", "many"]
     assert [r.column for r in columns.numeric_column_table(df).collect()] == ["n"]
+
+
+def test_estimated_cardinality_is_close(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 7 AS few", "CAST(id % 5000 AS STRING) AS t", "id % 2 = 0 AS f")
+    exact = {r.column: r.n_unique for r in columns_of(df, False)}
+    found = {r.column: r.n_unique for r in columns_of(df, True)}
+    assert exact == {"id": 20_000, "few": 7, "t": 5_000, "f": 2}
+    assert all(found[c] == pytest.approx(n, rel=0.15) for c, n in exact.items())
+
+
+def columns_of(df, approximate):
+    return profile.column_profile(df, approximate).collect()

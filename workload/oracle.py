@@ -373,6 +373,47 @@ def csv_types(source: str, columns: list[str]) -> str:
 URL_PARTS = "list_filter(string_split(trim(url, '/ '), '/'), lambda p: p NOT IN ('', '.', '..'))"
 
 
+SECTIONS = [("summary", "00_summary"), ("missing", "00_summary"),
+            ("dists", "01_univariate_numeric_distributions"), ("boxplots", "02_outlier_boxplots"),
+            ("cats", "03_categorical_distributions"), ("corr", "04_correlation_heatmap"),
+            ("scatters", "05_numeric_relationships"), ("cat_num", "06_cat_vs_numeric"),
+            ("cat_cat", "07_cat_vs_cat")]
+
+
+def manifest(source: str, nums: list[str], cats: list[str], cap: int) -> str:
+    """Manifest of a table whose names are safe and whose text columns all group."""
+    items = ["SELECT 0 AS s, 0 AS i, 'summary_statistics_table' AS name, 'Summary Statistics Table' AS title, "
+             "'summary_statistics' AS download"]
+    every = ", ".join(nums + cats)
+    items.append(f"""SELECT 1, 0, 'missing_values_breakdown', 'Missing Values Breakdown (%)', 'missing_values'
+        WHERE EXISTS (SELECT * FROM {source} m WHERE concat_ws('', {every}) IS NULL OR
+            {" OR ".join(f"{c} IS NULL" for c in nums + cats)})""")
+    for i, c in enumerate(nums):
+        items.append(f"SELECT 2, {i}, 'dist_{c}', 'Distribution: {c}', 'distribution_{c}'")
+        items.append(f"SELECT 3, {i}, 'boxplot_{c}', 'Boxplot: {c}', 'boxplot_{c}'")
+    for i, c in enumerate(cats):
+        items.append(f"""SELECT 4, {i}, 'cat_distribution_{i + 1}', 'Frequency: {c} (Top ' || least(15, count(DISTINCT {c}))
+            || CASE WHEN count({c}) < count(*) THEN ', ' || (count(*) - count({c})) || ' missing' ELSE '' END || ')',
+            'cat_dist_{i + 1}' FROM {source} c{i}""")
+    items.append("SELECT 5, 0, 'correlation_matrix', 'Correlation Matrix', 'correlation_heatmap'")
+    items.append(f"""SELECT 6, k, 'scatter_pair_' || k, format('{{}} vs {{}} (r = {{:+.2f}})', col1, col2, r),
+        'scatter_pair_' || k FROM (SELECT *, row_number() OVER (ORDER BY abs(r) DESC, pos1, pos2)::INT AS k
+            FROM {pairs_of(source, nums, False)} WHERE r IS NOT NULL) WHERE k <= 50""")
+    items.append(f"""SELECT 7, k, 'cat_num_' || num_col || '_by_' || cat_col,
+        format('{{}} by {{}} (η² = {{:.2f}})', num_col, cat_col, score), 'cat_num_' || num_col || '_by_' || cat_col
+        FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cat, num)::INT AS k
+            FROM {eta(source, cats, nums)} WHERE score >= 0) WHERE k <= 60""")
+    pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
+    items.append(f"""SELECT 8, k, 'cat_cat_' || col1 || '_vs_' || col2,
+        format('{{}} vs {{}} (Cramér''s V = {{:.2f}})', col1, col2, v), 'cat_cat_' || col1 || '_vs_' || col2
+        FROM (SELECT *, row_number() OVER (ORDER BY v DESC, ord)::INT AS k FROM ({cramers(source, pairs)})
+            WHERE v >= 0) WHERE k <= 30""")
+    sections = ", ".join(f"({i}, '{s}', '{f}')" for i, (s, f) in enumerate(SECTIONS))
+    return f"""SELECT ordinal, section, folder, name, title, download, folder || '/' || name || '.png' AS path
+        FROM (SELECT *, row_number() OVER (ORDER BY s, i)::INT AS ordinal FROM ({" UNION ALL ".join(items)}))
+        JOIN (VALUES {sections}) AS x(number, section, folder) ON number = s WHERE ordinal <= {cap}"""
+
+
 def build() -> dict[str, str]:
     return {
         "describe_lineitem": describe("lineitem", LINEITEM_NUM),
@@ -494,5 +535,10 @@ def build() -> dict[str, str]:
         "path_audit_part": audit("""SELECT CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END
             || '/' || p_brand || CASE WHEN p_size < 5 THEN '.' WHEN p_size = 7 THEN ' ' ELSE '.png' END
             AS path FROM part""", 180),
+        "report_manifest_lineitem": manifest("lineitem", LINEITEM_NUM, ["l_returnflag", "l_linestatus"], 100),
+        "report_manifest_orders_capped": manifest(
+            ORDERS_GAPS, ORDERS_NUM, ["o_orderstatus", "o_orderpriority"], 12),
+        "written_report_orders": frequencies(
+            ORDERS_GAPS, [("o_orderstatus", "o_orderstatus"), ("o_orderpriority", "o_orderpriority")], 15),
         "kind_counts_orders_typed": f"SELECT {KIND_COUNTS} FROM ({column_profile(ORDERS_TYPED, TYPED)})",
     }
