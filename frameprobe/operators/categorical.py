@@ -93,16 +93,16 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]],
     only: chi2 = n * (sum of count^2 / (row total * column total) - 1).
     """
     cells = contingency(df, pairs, levels)
-    count = F.col("count")
-    by1, by2 = Window.partitionBy("pair", "value1"), Window.partitionBy("pair", "value2")
-    marked = cells.select(
-        "pair", "count", F.sum("count").over(by1).alias("r"), F.sum("count").over(by2).alias("c"),
-        (F.row_number().over(by1.orderBy("value2")) == 1).alias("new1"),
-        (F.row_number().over(by2.orderBy("value1")) == 1).alias("new2"))
-    summed = marked.groupBy("pair").agg(
-        F.sum("count").alias("n"), F.count_if("new1").alias("levels1"),
-        F.count_if("new2").alias("levels2"),
-        F.sum(count.cast("double") * count / (F.col("r").cast("double") * F.col("c"))).alias("ratio"))
+    # Joins rather than windows: a value with unboundedly many partners must not fill one task, and
+    # adaptive execution splits it here. Totals of grouping columns are small and get broadcast.
+    rows = cells.groupBy("pair", "value1").agg(F.sum("count").alias("r"))
+    columns = cells.groupBy("pair", "value2").agg(F.sum("count").alias("c"))
+    count = F.col("count").cast("double")
+    ratio = (cells.join(rows, ["pair", "value1"]).join(columns, ["pair", "value2"]).groupBy("pair")
+             .agg(F.sum(count * count / (F.col("r").cast("double") * F.col("c"))).alias("ratio")))
+    summed = (rows.groupBy("pair").agg(F.sum("r").alias("n"), F.count("*").alias("levels1"))
+              .join(columns.groupBy("pair").agg(F.count("*").alias("levels2")), "pair")
+              .join(ratio, "pair"))
     n = F.col("n")
     narrow = F.least("levels1", "levels2")
     chi2 = F.greatest(F.lit(0.0), n * (F.col("ratio") - 1))

@@ -63,9 +63,9 @@ def _merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def eta_from_moments(moments: DataFrame) -> DataFrame:
     """(cat, num, n, groups, score) from the group moments."""
     n, mean = F.col("n"), F.col("mean")
-    whole = Window.partitionBy("cat", "num")
-    centre = F.sum(n * mean).over(whole) / F.sum(n).over(whole)
-    summed = moments.withColumn("centre", centre).groupBy("cat", "num").agg(
+    # One row per column pair, so the centres can be broadcast.
+    centres = moments.groupBy("cat", "num").agg((F.sum(n * mean) / F.sum(n)).alias("centre"))
+    summed = moments.join(F.broadcast(centres), ["cat", "num"]).groupBy("cat", "num").agg(
         F.sum(n).alias("n"), F.count("*").alias("groups"),
         F.sum(n * (mean - F.col("centre")) * (mean - F.col("centre"))).alias("between"),
         F.sum("ss").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -9,8 +9,14 @@ from frameprobe.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared_folder(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
     session = build_session("tests", "local[8]", 8, spark__ui__enabled="false",
+                            spark__checkpoint__dir=shared_folder,
                             spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -24,7 +24,7 @@ def con():
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).count() == 8
+    assert entry.entry(spark).count() == 11
 
 
 def test_every_oracle_has_a_query():

@@ -280,7 +280,7 @@ def correlation(source: str, columns: list[str]) -> str:
 TREND = """round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r * r, 6) AS r2"""
 ORDERS_COSTLY = f"(SELECT *, o_totalprice > 300000 AS costly FROM {ORDERS_GAPS})"
 COSTLY_TEXT = "CASE WHEN costly THEN 'True' ELSE 'False' END"
-ORDERS_CORR = f"""(SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_custkey % 10, 3) AS digit,
+ORDERS_CORR = f"""(SELECT o_orderkey, o_custkey, o_totalprice, length(o_orderpriority) AS width,
     CASE WHEN o_totalprice IS NULL THEN 0.1 END AS mark, 0.1 AS flat FROM {ORDERS_GAPS})"""
 
 
@@ -350,11 +350,11 @@ TEXT_ORDERS = f"""(SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR
     o_orderstatus, o_totalprice::VARCHAR AS o_totalprice,
     strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
     CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'false' END AS closed,
-    CASE WHEN o_custkey % 50 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
+    CASE WHEN o_totalprice < 20000 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
         AS mostly_date,
-    CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
+    CASE WHEN o_totalprice < 100000 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
         AS partly_date, o_orderkey || 'd' AS with_unit,
-    CASE WHEN o_custkey % 2 = 0 THEN 'N/A' ELSE o_custkey::VARCHAR END AS half FROM {ORDERS_GAPS})"""
+    CASE WHEN o_orderstatus = 'F' THEN 'N/A' ELSE o_custkey::VARCHAR END AS half FROM {ORDERS_GAPS})"""
 
 
 def csv_types(source: str, columns: list[str]) -> str:
@@ -489,7 +489,7 @@ def build() -> dict[str, str]:
         "grouped_box_part": grouped_box("part", [("p_brand", "p_retailprice")]),
         "corr_lineitem": correlation("lineitem", LINEITEM_NUM),
         "corr_orders_gaps": correlation(
-            ORDERS_CORR, ["o_orderkey", "o_custkey", "o_totalprice", "digit", "mark", "flat"]),
+            ORDERS_CORR, ["o_orderkey", "o_custkey", "o_totalprice", "width", "mark", "flat"]),
         "corr_topvar_lineitem": correlation(
             "lineitem", ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey"]),
         "top_variance_lineitem": f"""SELECT "column", pos AS position,

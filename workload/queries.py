@@ -300,7 +300,7 @@ def corr_lineitem(spark, sf_dir):
 @query
 def corr_orders_gaps(spark, sf_dir):
     df = orders_with_gaps(spark, sf_dir).select(
-        "o_orderkey", "o_custkey", "o_totalprice", F.expr("nullif(o_custkey % 10, 3)").alias("digit"),
+        "o_orderkey", "o_custkey", "o_totalprice", F.expr("length(o_orderpriority)").alias("width"),
         F.expr("CASE WHEN o_totalprice IS NULL THEN 0.1D END").alias("mark"), F.lit(0.1).alias("flat"))
     return rounded(correlation.correlation(df))
 
@@ -386,10 +386,12 @@ def text_orders(spark, sf_dir):
     """orders as texts, with columns whose type is decided by few odd values."""
     return as_texts(orders_with_gaps(spark, sf_dir)).select(
         "*", F.expr("CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'false' END").alias("closed"),
-        F.expr("CASE WHEN o_custkey % 50 = 0 THEN 'unknown' ELSE o_orderdate END").alias("mostly_date"),
-        F.expr("CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE o_orderdate END").alias("partly_date"),
+        F.expr("CASE WHEN try_cast(o_totalprice AS DOUBLE) < 20000 THEN 'unknown' ELSE o_orderdate END")
+        .alias("mostly_date"),
+        F.expr("CASE WHEN try_cast(o_totalprice AS DOUBLE) < 100000 THEN 'unknown' ELSE o_orderdate END")
+        .alias("partly_date"),
         F.expr("concat(o_orderkey, 'd')").alias("with_unit"),
-        F.expr("CASE WHEN o_custkey % 2 = 0 THEN 'N/A' ELSE CAST(o_custkey AS STRING) END").alias("half"))
+        F.expr("CASE WHEN o_orderstatus = 'F' THEN 'N/A' ELSE CAST(o_custkey AS STRING) END").alias("half"))
 
 
 @query
