@@ -15,7 +15,7 @@ def shared_folder(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def spark(shared_folder):
-    session = build_session("tests", "local[8]", 8, spark__ui__enabled="false",
+    session = build_session("tests", "local[8]", 4, spark__ui__enabled="false",
                             spark__checkpoint__dir=shared_folder,
                             spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
