@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-# Any of these must occur in a text that is taken for a date.
-DATE_SEPARATOR = "[-/:]"
 # The outline that all formats below share; one cheap test spares other texts the rest.
 DATE_OUTLINE = r"^\s*\d{1,4}[-/][0-9A-Za-z]{1,3}[-/]\d{1,4}([ T][0-9:.]+)?\s*$"
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from frameprobe.functions.columns import col, kind
+from frameprobe.functions.columns import col, fold_nan, kind
 from frameprobe.operators.profile import column_facts
 
 # Grouping limits: bars show up to 15 of at most 30 levels.
@@ -70,3 +70,8 @@ def grouping_names(df: DataFrame, max_cardinality: int,
 def exclude_ids(columns: DataFrame, ids: DataFrame) -> DataFrame:
     """A table of columns without the identifiers."""
     return columns.join(ids.select("column"), "column", "left_anti")
+
+
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows where every one of the columns is there, neither NULL nor NaN."""
+    return fold_nan(df).na.drop(subset=list(columns))

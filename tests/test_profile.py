@@ -150,3 +150,9 @@ def test_estimated_cardinality_is_close(spark):
 
 def columns_of(df, approximate):
     return profile.column_profile(df, approximate).collect()
+
+
+def test_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, s string")
+    assert columns.complete_rows(df, ["x"]).count() == 2
+    assert columns.complete_rows(df, ["x", "s"]).count() == 1

@@ -452,6 +452,8 @@ def build() -> dict[str, str]:
             "(SELECT *, p_retailprice > 1000 AS costly FROM part)", [*PART, ("costly", "boolean")], 30),
         "numeric_columns_lineitem": """SELECT "column", pos AS position, count(*) AS non_null FROM """
             + long("lineitem", LINEITEM_NUM) + """ GROUP BY "column", pos""",
+        "complete_rows_orders": f"""SELECT * FROM {ORDERS_GAPS}
+            WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL""",
         "exclude_ids_events": f"""SELECT "column", position, semantic_type FROM
             ({column_profile("events", EVENTS)}) WHERE NOT is_id""",
         "overview_orders": f"""SELECT rows, columns, numeric_columns, categorical_columns, size_bytes,

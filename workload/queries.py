@@ -195,6 +195,11 @@ def numeric_columns_lineitem(spark, sf_dir):
     return found.join(counts, "position")
 
 
+@query
+def complete_rows_orders(spark, sf_dir):
+    return columns.complete_rows(orders_with_gaps(spark, sf_dir), ["o_totalprice", "o_orderstatus"])
+
+
 @query
 def exclude_ids_events(spark, sf_dir):
     found = profile.column_profile(table(spark, sf_dir, "events"))
