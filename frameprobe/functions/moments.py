@@ -31,3 +31,8 @@ def std(value: Column) -> Column:
 def clip01(value: Column) -> Column:
     """Clip a score to [0, 1]; NULL stays NULL (least and greatest alone would skip it)."""
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+
+def ranked(score: str) -> Column:
+    """A score as rankings compare it: what differs by summation order only is a tie."""
+    return F.round(F.col(score), 12)

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from frameprobe.functions.columns import as_text, melt
-from frameprobe.functions.moments import clip01
+from frameprobe.functions.moments import clip01, ranked
 from frameprobe.operators.columns import CAT_CAT_LEVELS, grouping_names
 from frameprobe.operators.profile import column_facts
 
@@ -123,11 +123,11 @@ def cramers_ranking(df: DataFrame, max_pairs: int = MAX_CAT_CAT_PAIRS,
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "col1 string, col2 string, n long, chi2 double, v double, rank int")
-    order = Window.orderBy(F.desc("v"), "pair")
+    order = (F.desc(ranked("v")), "pair")
     # One row per column pair, so a single ordered partition is small.
     return (cramers_v(df, pairs, levels).filter(F.col("v") >= 0)
-            .orderBy(F.desc("v"), "pair").limit(max_pairs)
-            .withColumn("rank", F.row_number().over(order))
+            .orderBy(*order).limit(max_pairs)
+            .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("col1", "col2", "n", "chi2", "v", "rank"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from frameprobe.functions.columns import as_double, col, melt
-from frameprobe.functions.moments import std
+from frameprobe.functions.moments import ranked, std
 from frameprobe.operators.numeric import numeric_columns
 from frameprobe.operators.sampling import sample_rows
 
@@ -165,12 +165,12 @@ def pair_ranking(df: DataFrame, max_pairs: int = MAX_SCATTER_PAIRS,
     if moments is None:
         source = df if sample_size is None else sample_rows(df.select(*[col(n) for n in names]), sample_size)
         moments = pair_moments(source, names)
-    order = (F.desc(F.abs("r")), "pos1", "pos2")
+    order = (F.desc(F.abs(ranked("r"))), "pos1", "pos2")
     top = (_r(moments).filter((F.col("pos1") > F.col("pos2")) & F.col("r").isNotNull())
            .orderBy(*order).limit(max_pairs).filter(F.col("n") >= MIN_PAIR_ROWS))
     # One row per column pair, so a single ordered partition is small.
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return _named(df, _trend(ranked), names).orderBy("rank").select(
+    placed = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return _named(df, _trend(placed), names).orderBy("rank").select(
         "col1", "col2", "n", "r", "slope", "intercept", "r2", "rank")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from frameprobe.functions.columns import as_double, as_text, melt
-from frameprobe.functions.moments import clip01
+from frameprobe.functions.moments import clip01, ranked
 from frameprobe.operators.columns import CAT_NUM_LEVELS, grouping_names
 from frameprobe.operators.numeric import QUARTILES, WHISKER_REACH, numeric_columns
 from frameprobe.operators.quantiles import Span, exact_quantiles
@@ -111,7 +111,7 @@ def eta_ranking(df: DataFrame, max_pairs: int = MAX_CAT_NUM_PAIRS, id_cols: Iter
                 cats: dict[str, int] | None = None, nums: Sequence[str] | None = None) -> DataFrame:
     """(cat_col, num_col, n, score, rank): pairs with a score, strongest first."""
     scored = eta_squared(df, cats, nums, id_cols).filter(F.col("score") >= 0)
-    order = (F.desc("score"), "cat", "num")
+    order = (F.desc(ranked("score")), "cat", "num")
     # One row per column pair, so a single ordered partition is small.
     return (scored.orderBy(*order).limit(max_pairs)
             .withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -397,16 +397,16 @@ def manifest(source: str, nums: list[str], cats: list[str], cap: int) -> str:
             'cat_dist_{i + 1}' FROM {source} c{i}""")
     items.append("SELECT 5, 0, 'correlation_matrix', 'Correlation Matrix', 'correlation_heatmap'")
     items.append(f"""SELECT 6, k, 'scatter_pair_' || k, format('{{}} vs {{}} (r = {{:+.2f}})', col1, col2, r),
-        'scatter_pair_' || k FROM (SELECT *, row_number() OVER (ORDER BY abs(r) DESC, pos1, pos2)::INT AS k
+        'scatter_pair_' || k FROM (SELECT *, row_number() OVER (ORDER BY abs(round(r, 12)) DESC, pos1, pos2)::INT AS k
             FROM {pairs_of(source, nums, False)} WHERE r IS NOT NULL) WHERE k <= 50""")
     items.append(f"""SELECT 7, k, 'cat_num_' || num_col || '_by_' || cat_col,
         format('{{}} by {{}} (η² = {{:.2f}})', num_col, cat_col, score), 'cat_num_' || num_col || '_by_' || cat_col
-        FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cat, num)::INT AS k
+        FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, cat, num)::INT AS k
             FROM {eta(source, cats, nums)} WHERE score >= 0) WHERE k <= 60""")
     pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
     items.append(f"""SELECT 8, k, 'cat_cat_' || col1 || '_vs_' || col2,
         format('{{}} vs {{}} (Cramér''s V = {{:.2f}})', col1, col2, v), 'cat_cat_' || col1 || '_vs_' || col2
-        FROM (SELECT *, row_number() OVER (ORDER BY v DESC, ord)::INT AS k FROM ({cramers(source, pairs)})
+        FROM (SELECT *, row_number() OVER (ORDER BY round(v, 12) DESC, ord)::INT AS k FROM ({cramers(source, pairs)})
             WHERE v >= 0) WHERE k <= 30""")
     sections = ", ".join(f"({i}, '{s}', '{f}')" for i, (s, f) in enumerate(SECTIONS))
     return f"""SELECT ordinal, section, folder, name, title, download, folder || '/' || name || '.png' AS path
@@ -475,16 +475,16 @@ def build() -> dict[str, str]:
         "cramers_lineitem": f"""SELECT col1, col2, n, chi2, v FROM
             ({cramers("lineitem", [("l_returnflag", "l_linestatus")])})""",
         "cramers_rank_orders": f"""SELECT col1, col2, n, chi2, v,
-            row_number() OVER (ORDER BY v DESC, ord)::INT AS rank FROM
+            row_number() OVER (ORDER BY round(v, 12) DESC, ord)::INT AS rank FROM
             ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
                                       ("o_orderpriority", "costly")])})""",
         "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM
             {eta("lineitem", ["l_returnflag", "l_linestatus"], LINEITEM_NUM)}""",
         "eta_rank_orders": f"""SELECT cat_col, num_col, n, round(score, 6) AS score,
-            row_number() OVER (ORDER BY score DESC, cat, num)::INT AS rank FROM
+            row_number() OVER (ORDER BY round(score, 12) DESC, cat, num)::INT AS rank FROM
             {eta(ORDERS_COSTLY, ["o_orderstatus", "o_orderpriority", "costly"], ORDERS_NUM)}""",
         "eta_rank_part": f"""SELECT cat_col, num_col, n, round(score, 6) AS score,
-            row_number() OVER (ORDER BY score DESC, cat, num)::INT AS rank FROM
+            row_number() OVER (ORDER BY round(score, 12) DESC, cat, num)::INT AS rank FROM
             {eta("part", ["p_type"], ["p_partkey", "p_size", "p_retailprice"])}""",
         "grouped_box_lineitem": grouped_box(
             "lineitem", [("l_returnflag", "l_extendedprice"), ("l_linestatus", "l_quantity")]),
@@ -492,13 +492,18 @@ def build() -> dict[str, str]:
         "corr_lineitem": correlation("lineitem", LINEITEM_NUM),
         "corr_orders_gaps": correlation(
             ORDERS_CORR, ["o_orderkey", "o_custkey", "o_totalprice", "width", "mark", "flat"]),
-        "corr_topvar_lineitem": correlation(
-            "lineitem", ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey"]),
+        "corr_topvar_lineitem": f"""WITH v AS (SELECT "column" AS c,
+                row_number() OVER (ORDER BY var_samp(v) DESC, pos) AS k
+                FROM {long("lineitem", LINEITEM_NUM)} GROUP BY "column", pos)
+            SELECT CASE WHEN a.k >= b.k THEN col1 ELSE col2 END AS col1,
+                CASE WHEN a.k >= b.k THEN col2 ELSE col1 END AS col2, n, round(r, 6) AS r
+            FROM {pairs_of("lineitem", LINEITEM_NUM, True)} p JOIN v a ON a.c = col1 JOIN v b ON b.c = col2
+            WHERE a.k <= 4 AND b.k <= 4""",
         "top_variance_lineitem": f"""SELECT "column", pos AS position,
             round(var_samp(v), 4) AS variance FROM {long("lineitem", LINEITEM_NUM)}
             GROUP BY "column", pos ORDER BY var_samp(v) DESC LIMIT 5""",
         "pair_rank_lineitem": f"""SELECT col1, col2, n, round(r, 6) AS r, {TREND},
-            row_number() OVER (ORDER BY abs(r) DESC, pos1, pos2)::INT AS rank
+            row_number() OVER (ORDER BY abs(round(r, 12)) DESC, pos1, pos2)::INT AS rank
             FROM {pairs_of("lineitem", LINEITEM_NUM, False)}""",
         "trend_lineitem": f"""SELECT col1, col2, n, round(r, 6) AS r, {TREND}
             FROM {pairs_of("lineitem", LINEITEM_NUM, False)}""",
