@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frameprobe.llm.tables import settled, small
+from frameprobe.llm.tables import guarded, settled, small
 
 #: A word: a run of anything but a blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +78,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 
 def emitted(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mixed`` says, with its own columns."""
-    renamed = docs.select("doc_id", "text", "source", F.struct("*").alias("__row"))
-    copies = F.col("copies").cast("int")
-    return (mixed(renamed, **settings).where("copies > 0")
-            .select("__row", F.explode(F.sequence(F.lit(1), copies))).select("__row.*"))
+    rows, back = guarded(docs, "doc_id", "text", "source")
+    copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
+    return back(mixed(rows, **settings).where("copies > 0").withColumn("__copy", F.explode(copies)))

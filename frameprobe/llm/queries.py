@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameprobe.llm import mixing, warc
+from frameprobe.llm import mixing, quality, secrets, simhash, warc
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,29 @@ def op3_warc(spark, sf_dir):
         warc.page_of("id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"),
         F.when(F.col("type") == "revisit", warc.page_of("refers")).alias("refers_to"))
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+
+    def number(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return secrets.secrets(docs).select(
+        "doc_id", number(0), number(1), number(2),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(spans).alias("spans"))
+
+
+@query
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.judged(docs).select("doc_id", *quality.COUNTS, "removed_words", "base_failed", "kept")
+
+
+@query
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -40,6 +40,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``needed`` under names that no operator uses, and the way back."""
+    names = {c: c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)}
+    frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return frame, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def map_texts(df: DataFrame, text: str, fields: list[StructField],
               function: Callable[[pa.Array], list], drop: bool = False) -> DataFrame:
     """The rows with the columns that ``function`` makes from each Arrow batch of ``text``.
