@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameprobe.llm import mixing, quality, secrets, simhash, warc
+from frameprobe.llm import mixing, packing, quality, secrets, simhash, topk, warc
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +64,15 @@ def op9_quality(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
