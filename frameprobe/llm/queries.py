@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameprobe.llm import mixing, packing, quality, secrets, simhash, topk, warc
+from frameprobe.llm import mixing, packing, quality, repeats, secrets, simhash, topk, warc
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op8_packing(spark, sf_dir):
 def op6_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query
+def op5_repeats(spark, sf_dir):
+    found = repeats.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
