@@ -50,3 +50,21 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id,
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 WHERE rank <= 5"""
+
+ORACLE["op4_chat"] = """
+WITH t AS (SELECT *, conv_id || ':' || turn AS own,
+                  last_value(CASE WHEN role = 'user' THEN conv_id || ':' || turn END IGNORE NULLS) OVER w AS call
+           FROM conversations
+           WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT conv_id, call, turn, text, row_number() OVER (PARTITION BY conv_id, call ORDER BY turn, text) AS k
+      FROM t WHERE role = 'assistant')
+SELECT c.conv_id, c.own AS call_id, c.turn AS position,
+       row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.own)::INTEGER AS seq, r.turn AS result_position,
+       CASE WHEN r.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       coalesce(length(c.text) >= 1, false) AS valid,
+       '{"arguments":' || json_merge_patch('{}', json_object('text', c.text, 'turn', c.turn))
+         || ',"id":' || to_json(c.own) || ',"name":"reply"' || coalesce(',"result":' || to_json(r.text), '') || '}' AS json
+FROM t c LEFT JOIN r ON c.conv_id = r.conv_id AND c.own = r.call AND r.k = 1 WHERE c.role = 'user'
+UNION ALL
+SELECT conv_id, call, NULL, NULL, turn, 'orphan', false, json_merge_patch('{}', json_object('id', call, 'result', text))
+FROM t WHERE role = 'assistant' AND call IS NULL"""

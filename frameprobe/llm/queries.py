@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameprobe.llm import mixing, packing, quality, repeats, secrets, simhash, topk, warc
+from frameprobe.llm import (
+    chat, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,15 @@ def op6_topk(spark, sf_dir):
 def op5_repeats(spark, sf_dir):
     found = repeats.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_chat(spark, sf_dir):
+    calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat.linked(calls, results, chat.REPLY)
