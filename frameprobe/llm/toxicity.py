@@ -90,7 +90,7 @@ class Model:
     which matter in many texts move and those of a single text hardly do.
     """
 
-    RATE, GAIN = (0.5, 0.05, 0.05), 30.0
+    RATE, GAIN = (0.7, 0.05, 0.05), 30.0
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -144,7 +144,7 @@ class Scorer:
         return np.add.reduceat(scores, starts) / np.maximum(lengths, STRETCH // 2) + self.constant
 
 
-def trained(rows: list[tuple[str, int]], starts: int = 20, rounds: int = 4, steps: int = 10) -> tuple[np.ndarray, float]:
+def trained(rows: list[tuple[str, int]], starts: int = 25, rounds: int = 6, steps: int = 10) -> tuple[np.ndarray, float]:
     """Scores of subwords and a constant from labelled texts.
 
     The first steps take the distinct words of a text as one bag. Each round after that scores all
