@@ -6,6 +6,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from frameprobe.llm.tables import small, written
 CAPACITY = 2048
 
 #: Steps that the search for fillings may take in all; the best packing so far stands then.
-SEARCH_STEPS = 2_000_000
+SEARCH_STEPS = 1_500_000
 
 #: Entries of a worker's cache from words to ids; a full cache is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class _Encoder:
@@ -49,8 +50,7 @@ class _Encoder:
         return cls._open[path]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -152,6 +152,23 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [(held, n) for group in open_bins.values() for held, n in group]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each t up to half a bin, the lengths above capacity - t are
+    alone, those above half a bin are apart, and the lengths from t on fill what those leave."""
+    number = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        number[length] = n
+    count, size = np.cumsum(number), np.cumsum(number * np.arange(capacity + 1))
+    half = capacity // 2
+    least = -(-int(size[-1]) // capacity)
+    for t in range(1, half + 1):
+        middle = int(count[capacity - t] - count[half])
+        room = middle * capacity - int(size[capacity - t] - size[half])
+        rest = int(size[half] - size[t - 1]) - room
+        least = max(least, int(count[-1] - count[half]) + max(0, -(-rest // capacity)))
+    return least
+
+
 class _Search:
     """Steps that are left."""
 
@@ -159,43 +176,44 @@ class _Search:
         self.steps = steps
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], waste: int, search: _Search,
-             steps: int = 3_000) -> Iterator[list[int]]:
+def fillings(room: int, lengths: list[int], counts: dict[int, int], waste: int, search: _Search) -> Iterator[list[int]]:
     """Undominated fillings of ``room`` that waste ``waste`` at most, fullest first.
 
     One length that fits dominates every shorter one and every set that it outweighs, so sets
-    count only above the longest length that fits. ``lengths`` ascend; each sum is
-    searched for ``steps`` steps.
+    count only above the longest length that fits. ``lengths`` ascend. The sums that the first j
+    lengths can make, as bits of one number for each j, keep the search for a sum off dead ends.
     """
-    k = bisect_right(lengths, room)
-    longest = lengths[k - 1] if k else 0
-
-    def exact(total: int, top: int, used: dict[int, int], budget: list[int]) -> Iterator[list[int]]:
-        for j in range(min(top, bisect_right(lengths, total)) - 1, -1, -1):
-            budget[0] -= 1
-            if budget[0] < 0:
-                return
-            a = lengths[j]
-            if used.get(a, 0) >= counts[a]:
-                continue
-            if a == total:
-                yield [a]
-            elif total - a >= lengths[0]:
-                used[a] = used.get(a, 0) + 1
-                for more in exact(total - a, j + 1, used, budget):
-                    yield [a, *more]
-                used[a] -= 1
-
-    for total in range(room, max(longest, room - waste) - 1, -1):
+    fit = lengths[:bisect_right(lengths, room)]
+    longest = fit[-1] if fit else 0
+    all_sums = (1 << (room + 1)) - 1
+    sums = [1]
+    for a in fit:
+        now, left, step = sums[-1], min(counts[a], room // a), 1
+        while left:
+            step = min(step, left)
+            now |= (now << (a * step)) & all_sums
+            left -= step
+            step *= 2
+        sums.append(now)
+    search.steps -= len(fit) + 1
+
+    def exact(total: int, j: int) -> Iterator[list[int]]:
+        search.steps -= 1
         if total == 0:
             yield []
             return
-        budget = [min(steps, search.steps)]
-        before = budget[0]
-        yield from exact(total, len(lengths), {}, budget)
-        search.steps -= before - max(budget[0], 0)
-    if not k and room <= waste:
-        yield []
+        for i in range(min(j, bisect_right(fit, total)) - 1, -1, -1):  # the longest length of the rest
+            a = fit[i]
+            for k in range(min(counts[a], total // a), 0, -1):
+                if (sums[i] >> (total - k * a)) & 1:
+                    for more in exact(total - k * a, i):
+                        yield [a] * k + more
+            if not (sums[i] >> total) & 1:
+                return
+
+    for total in range(room, max(longest, room - waste) - 1, -1):
+        if (sums[-1] >> total) & 1:
+            yield from exact(total, len(fit))
 
 
 def complete_bins(counts: dict[int, int], capacity: int, steps: int = SEARCH_STEPS) -> Packing:
@@ -207,7 +225,7 @@ def complete_bins(counts: dict[int, int], capacity: int, steps: int = SEARCH_STE
     is finished by best fit. The search ends at the lower bound or after ``steps`` steps.
     """
     total = sum(k * n for k, n in counts.items())
-    least = -(-total // capacity)
+    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     most = sum(n for _, n in best)
     search = _Search(steps)
