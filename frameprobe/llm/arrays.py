@@ -13,7 +13,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes handled at a time, unless one text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ so equal windows pick equal triggers at equal places. A phrase is the stretch of
 windows share a trigger; every window lies in exactly one phrase. Equal phrases are one entry of
 the dictionary: all but the first are repeated as a whole. Windows of two different phrases can
 only be equal if they share the trigger, so a phrase whose trigger occurs in no other phrase is
-settled, and only the windows of the others are put in order: by fingerprint of the window, then
-by place in the corpus.
+settled. The others are gathered by trigger with their bytes, and their windows are put in order: by
+fingerprint of the window, then by place in the corpus. A trigger with very many phrases would
+make one task large; the windows of those phrases are dealt out by fingerprint instead.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from frameprobe.llm.tables import BROADCAST_ROWS, settled, written
 GRAM = 24
 
 #: Bytes of text that a task parses before it hands on its phrases.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 16 << 20
+
+#: Phrases of one trigger that are gathered in one place: from one task's text, and from all.
+HOT_HERE, HOT_IN_ALL = 64, 4_096
 
 #: Buckets of phrases for each shuffle partition.
 BUCKETS = 8
@@ -42,7 +46,12 @@ SUM = (1 << 26) - 1
 PHRASE = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("place", "<u8")])
 PLACE = np.dtype([("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("place", "<u8")])
 
-PHRASES, WINDOWS, REMOVED, OPEN = range(4)
+TEXT = np.dtype([("trigger", "<u4"), ("doc", "<i8"), ("place", "<u8")])
+
+PHRASES, TEXTS, WINDOWS, REMOVED, OPEN, OPEN_HOT = range(6)
+
+# What a record without windows says of its trigger: its phrases are sent with their bytes, or as windows.
+HAS_TEXTS, IS_HOT = 0, 1
 RESULT = "kind int, bucket int, doc long, mark int, start long, end long, data binary"
 
 
@@ -89,17 +98,21 @@ def _rows(kind: int, doc, place, ends) -> pa.RecordBatch:
         names=["kind", "bucket", "doc", "mark", "start", "end", "data"])
 
 
+def _data_rows(kind: int, buckets: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    n = len(blobs)
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.array(buckets.astype(np.int32)), none, pa.nulls(n, pa.int32()),
+         none, none, pa.array(blobs, pa.binary())],
+        names=["kind", "bucket", "doc", "mark", "start", "end", "data"])
+
+
 def _blobs(kind: int, bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     names, starts = np.unique(bucket[order], return_index=True)
     cuts = np.append(starts, len(order))
     records = records[order]
-    n = len(names)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(names.astype(np.int32)), none, pa.nulls(n, pa.int32()),
-         none, none, pa.array([records[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-        names=["kind", "bucket", "doc", "mark", "start", "end", "data"])
+    return _data_rows(kind, names, [records[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 
 
 def _removed(doc: np.ndarray, place: np.ndarray, match: int) -> pa.RecordBatch:
@@ -209,26 +222,73 @@ class _Held:
         gone, held = order[later], order[stay]
         yield _removed(doc[gone], place[gone], self.match)
         trigger, phrase, doc, place, at = (x[held] for x in (trigger, phrase, doc, place, at))
-        several = _shared(trigger, phrase)
-        own = np.flatnonzero(several)
+        several, number = _shared(trigger, phrase)
+        hot = several & (number > HOT_HERE)
+        own = np.flatnonzero(hot)
         yield from _window_rows(data, at[own], _count(place[own]), doc[own], place[own], self.match, self.buckets)
-        lead = several & np.concatenate([[True], trigger[1:] != trigger[:-1]]) if len(trigger) else several
+        own = np.flatnonzero(several & ~hot)
+        yield from _text_rows(data, at[own], trigger[own], doc[own], place[own], self.match, self.buckets)
+        if not len(trigger):
+            return
+        lead = several & np.concatenate([[True], trigger[1:] != trigger[:-1]])
+        phrase = np.where(several, np.where(hot, np.uint64(IS_HOT), np.uint64(HAS_TEXTS)), phrase)
         place = np.where(several, np.uint64(0), place)
         send = ~several | lead
         records = np.empty(int(send.sum()), PHRASE)
-        low = trigger & np.uint64(0xFFFFFFFF)
+        low = trigger & LOW
         records["trigger"], records["phrase"], records["doc"], records["place"] = low[send], phrase[send], doc[send], place[send]
-        yield _blobs(PHRASES, (trigger[send] >> np.uint64(32)) % np.uint64(self.buckets), records)
+        yield _blobs(PHRASES, _bucket(trigger[send], self.buckets), records)
+
+
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    return (trigger >> np.uint64(32)) % np.uint64(buckets)
+
 
+def _gathered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of ``data``, one after another."""
+    begin = np.cumsum(sizes) - sizes
+    return data[np.arange(int(sizes.sum())) + np.repeat(at - begin, sizes)]
 
-def _shared(trigger: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Whether the trigger of an entry occurs with more than one phrase; sorted by both."""
+
+def _text_rows(data, at, trigger, doc, place, match: int, buckets: int, bucket=None) -> Iterator[pa.RecordBatch]:
+    """Phrases with their bytes for the bucket of their trigger: number, TEXT records, bytes."""
+    if not len(at):
+        return
+    bucket = _bucket(trigger, buckets) if bucket is None else bucket
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    blobs = []
+    for part in np.split(order, starts[1:]):
+        records = np.empty(len(part), TEXT)
+        records["trigger"], records["doc"], records["place"] = trigger[part] & LOW, doc[part], place[part]
+        text = _gathered(data, at[part], _count(place[part]) - 1 + match)
+        blobs.append(np.int64(len(part)).tobytes() + records.tobytes() + text.tobytes())
+    yield _data_rows(TEXTS, names, blobs)
+
+
+def _texts(blobs: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TEXT records, their bytes one after another, and where each begins."""
+    records, texts = [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        records.append(np.frombuffer(blob, TEXT, n, 8))
+        texts.append(np.frombuffer(blob, np.uint8, offset=8 + n * TEXT.itemsize))
+    records = np.concatenate(records)
+    sizes = _count(records["place"]) - 1 + match
+    return records, np.concatenate(texts), np.cumsum(sizes) - sizes
+
+
+def _shared(trigger: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the trigger of an entry occurs with more than one phrase, and with how many; sorted by both."""
     if not len(trigger):
-        return np.zeros(0, bool)
-    new = np.concatenate([[True], trigger[1:] != trigger[:-1]])
-    group = np.cumsum(new) - 1
+        return np.zeros(0, bool), np.zeros(0)
+    group = np.cumsum(np.concatenate([[True], trigger[1:] != trigger[:-1]])) - 1
     differs = np.concatenate([[False], (trigger[1:] == trigger[:-1]) & (phrase[1:] != phrase[:-1])])
-    return (np.bincount(group, differs) > 0)[group]
+    number = np.bincount(group, differs)[group]
+    return number > 0, number + 1
 
 
 def _parse(match: int, gram: int, buckets: int):
@@ -259,67 +319,112 @@ def _parse(match: int, gram: int, buckets: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], dtype: np.dtype, kind: int) -> Iterator[np.ndarray | pa.RecordBatch]:
-    """Records of each bucket of a sorted partition; batches of rows of other kinds as they are."""
-    bucket, parts = None, []
+def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple | pa.RecordBatch]:
+    """(bucket, blobs of each of ``kinds``) of a sorted partition; rows of other kinds as they are."""
+    bucket, parts = None, None
     for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        other = np.flatnonzero(kinds != kind)
+        kind = batch.column("kind").to_numpy()
+        other = np.flatnonzero(~np.isin(kind, kinds))
         if len(other):
             yield batch.take(pa.array(other))
-        for i in np.flatnonzero(kinds == kind):
+        for i in np.flatnonzero(np.isin(kind, kinds)):
             name = batch.column("bucket")[int(i)].as_py()
-            if name != bucket and parts:
-                yield np.concatenate(parts)
-                parts = []
-            bucket = name
-            parts.append(np.frombuffer(batch.column("data")[int(i)].as_py(), dtype))
-    if parts:
-        yield np.concatenate(parts)
+            if parts is None or name != bucket:
+                if parts is not None:
+                    yield bucket, *parts
+                bucket, parts = name, [[] for _ in kinds]
+            parts[kinds.index(int(kind[i]))].append(batch.column("data")[int(i)].as_py())
+    if parts is not None:
+        yield bucket, *parts
 
 
-def _settle_phrases(match: int):
+def _settle_phrases(match: int, buckets: int):
+    """Phrases of each trigger: repeated ones are removed, those of triggers with one phrase are done."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in _by_bucket(batches, PHRASE, PHRASES):
-            if isinstance(records, pa.RecordBatch):
-                yield records
+        for found in _by_bucket(batches, (PHRASES, TEXTS)):
+            if isinstance(found, pa.RecordBatch):
+                yield found
                 continue
-            marker = _count(records["place"]) == 0
-            marked = np.unique(records["trigger"][marker])
-            trigger, phrase, doc, place = (records[c][~marker].copy() for c in PHRASE.names)
+            bucket, phrases, texts = found
+            records = np.concatenate([np.frombuffer(x, PHRASE) for x in phrases])
+            sign = _count(records["place"]) == 0
+            marked = records["trigger"][sign]
+            hot = marked[records["phrase"][sign] == IS_HOT]
+            trigger, phrase, doc, place = (records[c][~sign].copy() for c in PHRASE.names)
             order, later, stay = in_order([trigger, phrase], doc, place)
             gone, held = order[later], order[stay]
             yield _removed(doc[gone], place[gone], match)
             trigger, phrase, doc, place = (x[held] for x in (trigger, phrase, doc, place))
-            unsettled = _shared(trigger, phrase) | np.isin(trigger, marked)
-            yield _rows(OPEN, doc[unsettled], place[unsettled], _count(place[unsettled]))
+            several, number = _shared(trigger, phrase)
+            hot = np.union1d(hot, trigger[number > HOT_IN_ALL])
+            unsettled = several | np.isin(trigger, marked)
+            for kind, some in ((OPEN_HOT, unsettled & np.isin(trigger, hot)), (OPEN, unsettled & ~np.isin(trigger, hot))):
+                rows = _rows(kind, doc[some], place[some], (trigger[some].astype(np.int64) << 7) | _count(place[some]))
+                yield rows.set_column(1, "bucket", pa.array(np.full(rows.num_rows, bucket, np.int32)))
+            if texts:
+                records, data, at = _texts(texts, match)
+                warm = np.isin(records["trigger"], hot)
+                for some in (np.flatnonzero(warm),):
+                    yield from _window_rows(data, at[some], _count(records["place"][some]), records["doc"][some],
+                                            records["place"][some], match, buckets)
+                some = np.flatnonzero(~warm)
+                yield from _text_rows(data, at[some], records["trigger"][some].astype(np.uint64), records["doc"][some],
+                                      records["place"][some], match, buckets, np.full(len(some), bucket))
 
     return run
 
 
 def _settle_windows(match: int):
+    """Windows of gathered phrases, and windows dealt out by fingerprint: all but the first are removed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in _by_bucket(batches, PLACE, WINDOWS):
-            doc, place = records["doc"].copy(), records["place"].copy()
-            order, later, _ = in_order([records["low"].copy(), records["high"].copy()], doc, place)
-            yield _removed(doc[order[later]], place[order[later]], match)
+        for _, texts, blobs in _by_bucket(batches, (TEXTS, WINDOWS)):
+            if blobs:
+                records = np.concatenate([np.frombuffer(x, PLACE) for x in blobs])
+                doc, place = records["doc"].copy(), records["place"].copy()
+                order, later, _ = in_order([records["low"].copy(), records["high"].copy()], doc, place)
+                yield _removed(doc[order[later]], place[order[later]], match)
+            if texts:
+                records, data, at = _texts(texts, match)
+                order = np.argsort(records["trigger"], kind="stable")
+                new = np.flatnonzero(np.diff(records["trigger"][order], prepend=-1))
+                cuts = [0, *new[np.searchsorted(new, np.arange(TOGETHER, len(order), TOGETHER), "right") - 1], len(order)]
+                for a, b in zip(cuts, cuts[1:]):
+                    some = order[a:b]
+                    if not len(some):
+                        continue
+                    low, high, of, nth = (np.concatenate(x) for x in zip(*windows(
+                        data, at[some], _count(records["place"][some]), match)))
+                    place, doc = records["place"][some][of], records["doc"][some][of]
+                    where = _place(_start(place) + nth, np.ones(len(of), np.int64), _mark(place))
+                    order_, later, _ = in_order([low, high], doc, where)
+                    yield _removed(doc[order_[later]], where[order_[later]], match)
 
     return run
 
 
+#: Phrases whose windows are ordered at a time; those of one trigger stay together.
+TOGETHER = 5_000
+
+
 def _open_windows(match: int, buckets: int):
-    """Texts with their open phrases (starts, counts) to window rows."""
+    """Texts with their open phrases (kind, bucket, start, end) to rows with their bytes or windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                some = batch.slice(first, 2000)
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
                 data, offsets = bytes_of(some.column("text"))
-                starts, counts = some.column("starts"), some.column("counts")
-                row = np.repeat(np.arange(some.num_rows), np.asarray(starts.value_lengths()))
-                start, count = starts.flatten().to_numpy(), counts.flatten().to_numpy()
+                lists = some.column("phrases")
+                row = np.repeat(np.arange(some.num_rows), np.asarray(lists.value_lengths()))
+                flat = lists.flatten()
+                kind, bucket, start, end = (flat.field(i).to_numpy() for i in range(4))
                 doc = some.column("doc").to_numpy()[row]
                 mark = some.column("mark").to_numpy()[row]
-                yield from _window_rows(data, offsets[row] + start, count, doc, _place(start, count, mark), match, buckets)
+                place, at = _place(start, end & 127, mark), offsets[row] + start
+                warm = np.flatnonzero(kind == OPEN_HOT)
+                yield from _window_rows(data, at[warm], end[warm] & 127, doc[warm], place[warm], match, buckets)
+                cold = np.flatnonzero(kind == OPEN)
+                yield from _text_rows(data, at[cold], (end[cold] >> 7).astype(np.uint64), doc[cold], place[cold],
+                                      match, buckets, bucket[cold])
 
     return run
 
@@ -364,15 +469,14 @@ def repeated_spans(docs: DataFrame, match: int = 100, gram: int = GRAM) -> DataF
     # rows that need no bucket stay spread over all of them
     spread = F.coalesce("bucket", F.pmod(F.hash("doc", "start"), F.lit(buckets)))
     settled_phrases = written(parse.repartition(parts, spread).sortWithinPartitions("bucket")
-                              .mapInArrow(_settle_phrases(match), RESULT), "phrases")
-    unsettled = (settled_phrases.where(F.col("kind") == OPEN).groupBy("doc", "mark")
-                 .agg(F.collect_list(F.struct("start", "end")).alias("phrases"))
-                 .select("doc", "mark", F.col("phrases.start").alias("starts"), F.col("phrases.end").alias("counts")))
-    texts = (_with_mark(docs).drop("doc_id").join(_sized(unsettled, F.size("starts")), ["doc", "mark"])
-             .select("doc", "mark", "text", "starts", "counts"))
-    made = texts.mapInArrow(_open_windows(match, buckets), RESULT)
-    made = written(made, "windows")
-    every = settled_phrases.where(F.col("kind") == WINDOWS).unionByName(made.where(F.col("kind") == WINDOWS))
+                              .mapInArrow(_settle_phrases(match, buckets), RESULT), "phrases")
+    unsettled = (settled_phrases.where(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc", "mark")
+                 .agg(F.collect_list(F.struct("kind", "bucket", "start", "end")).alias("phrases")))
+    texts = (_with_mark(docs).drop("doc_id").join(_sized(unsettled, F.size("phrases")), ["doc", "mark"])
+             .select("doc", "mark", "text", "phrases"))
+    made = written(texts.mapInArrow(_open_windows(match, buckets), RESULT), "windows")
+    kinds = F.col("kind").isin(TEXTS, WINDOWS)
+    every = settled_phrases.where(kinds).unionByName(made.where(kinds))
     last = (every.repartition(parts, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_settle_windows(match), RESULT))
     gone = (settled_phrases.where(F.col("kind") == REMOVED).unionByName(made.where(F.col("kind") == REMOVED))

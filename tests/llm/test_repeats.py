@@ -39,10 +39,12 @@ def test_awkward_rows(awkward, nothing):
     assert repeats.deduplicated(nothing).count() == 0
 
 
-@pytest.mark.parametrize("chunk, held", [(4 << 20, 24 << 20), (700, 1500)])
-def test_shared_passages(spark, monkeypatch, chunk, held):
+@pytest.mark.parametrize("chunk, held, hot", [(1 << 20, 16 << 20, 64), (700, 1500, 64), (5000, 9000, 2)])
+def test_shared_passages(spark, monkeypatch, chunk, held, hot):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(repeats, "HELD_BYTES", held)
+    monkeypatch.setattr(repeats, "HOT_HERE", hot)
+    monkeypatch.setattr(repeats, "HOT_IN_ALL", hot)
     r = random.Random(4)
     passages = [prose(100 + i, 40) for i in range(6)]
     rows = []
