@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from frameprobe.llm.arrays import CHUNK_BYTES, SpanHash, bytes_of, mix64
-from frameprobe.llm.tables import BROADCAST_ROWS, settled, written
+from frameprobe.llm.tables import settled, written
 
 #: Bytes of a trigger.
 GRAM = 24
@@ -472,7 +472,7 @@ def repeated_spans(docs: DataFrame, match: int = 100, gram: int = GRAM) -> DataF
                               .mapInArrow(_settle_phrases(match, buckets), RESULT), "phrases")
     unsettled = (settled_phrases.where(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc", "mark")
                  .agg(F.collect_list(F.struct("kind", "bucket", "start", "end")).alias("phrases")))
-    texts = (_with_mark(docs).drop("doc_id").join(_sized(unsettled, F.size("phrases")), ["doc", "mark"])
+    texts = (_with_mark(docs).drop("doc_id").join(settled(unsettled), ["doc", "mark"])
              .select("doc", "mark", "text", "phrases"))
     made = written(texts.mapInArrow(_open_windows(match, buckets), RESULT), "windows")
     kinds = F.col("kind").isin(TEXTS, WINDOWS)
@@ -486,13 +486,6 @@ def repeated_spans(docs: DataFrame, match: int = 100, gram: int = GRAM) -> DataF
     return merged.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def _sized(lists: DataFrame, entries) -> DataFrame:
-    """The table with the broadcast hint if its rows and all their entries are few enough."""
-    lists = settled(lists)
-    rows, total = lists.agg(F.count("*"), F.sum(entries)).first()
-    return F.broadcast(lists) if rows <= BROADCAST_ROWS and (total or 0) <= 4 * BROADCAST_ROWS else lists
-
-
 def deduplicated(docs: DataFrame, match: int = 100, with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end), kept_sha256 and, if asked for, kept (binary).
 
@@ -503,7 +496,7 @@ def deduplicated(docs: DataFrame, match: int = 100, with_kept: bool = False) ->
     are kept.
     """
     spans = repeated_spans(docs, match)
-    joined = (_with_mark(docs).join(_sized(spans, F.size("spans")), ["doc", "mark"], "left")
+    joined = (_with_mark(docs).join(settled(spans), ["doc", "mark"], "left")
               .select("doc_id", "text", "spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
