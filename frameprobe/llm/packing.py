@@ -22,7 +22,7 @@ CAPACITY = 2048
 SEARCH_STEPS = 1_500_000
 
 #: Entries of a worker's cache from words to ids; a full cache is emptied.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 class _Encoder:
@@ -42,6 +42,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first, self.later = {}, {}
+        self.marks = dict(zip(",.", self._raw([",", "."])))
 
     @classmethod
     def at(cls, path: str) -> "_Encoder":
@@ -62,8 +63,12 @@ class _Encoder:
                 known.clear()
         heads = list({p[0] for p in parts.values()} - self.first.keys())
         self.first.update(zip(heads, self._raw(heads)))
-        tails = list(set().union(*(p[1:] for p in parts.values())) - self.later.keys())
-        self.later.update(zip(tails, self._raw([" " + w for w in tails])))
+        tails = set().union(*(p[1:] for p in parts.values())) - self.later.keys()
+        # letters and one mark are two tokens' worth of text for the pattern, so the letters are encoded once
+        ended = {w for w in tails if w[-1:] in (",", ".") and w[:-1].isalpha()}
+        plain = list((tails - ended) | ({w[:-1] for w in ended} - self.later.keys()))
+        self.later.update(zip(plain, self._raw([" " + w for w in plain])))
+        self.later.update((w, self.later[w[:-1]] + self.marks[w[-1]]) for w in ended)
         get = self.later.__getitem__
         for i, p in parts.items():
             out[i] = self.first[p[0]] + b"".join(map(get, p[1:]))
