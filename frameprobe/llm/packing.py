@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from frameprobe.llm.tables import small, written
+from frameprobe.llm.tables import short_batches, small, written
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -325,6 +325,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     the input, and a piece finds its bin by its rank among those of its length. Repeated
     rows are packed each.
     """
+    short_batches(docs.sparkSession)
     table = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     parts = table.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

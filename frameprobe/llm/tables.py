@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from frameprobe.session import ensure_checkpoint_dir, scratch_path
@@ -15,6 +15,9 @@ BROADCAST_ROWS = 200_000
 
 ROW = "__row_id"
 
+#: Rows of an Arrow batch of texts; Spark's own default of ten thousand long texts is a lot for a worker.
+BATCH_ROWS = 1_000
+
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows as checkpointed in the shared folder, so that a lost executor costs nothing."""
@@ -47,12 +50,20 @@ def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFra
     return frame, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows from here on, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, text: str, fields: list[StructField],
               function: Callable[[pa.Array], list], drop: bool = False) -> DataFrame:
     """The rows with the columns that ``function`` makes from each Arrow batch of ``text``.
 
     ``drop`` leaves ``text`` out. ``function`` returns one array for each of ``fields``.
     """
+    short_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if not (drop and f.name == text)]
     names = [f.name for f in [*kept, *fields]]
 
