@@ -23,8 +23,6 @@ CATEGORY_RATIO = 0.5
 
 # Texts longer than this are grouped by their SHA-256 digest instead of being shuffled whole.
 TEXT_KEY_BYTES = 64
-# Rows no wider than this are compared as they are; wider ones by a 128-bit digest.
-NARROW_ROW_BYTES = 16
 FIXED_WIDTH = {
     T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
     T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
@@ -90,15 +88,16 @@ def missing_values(df: DataFrame) -> DataFrame:
 # --- duplicate rows ----------------------------------------------------------------------------
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """The row with values that can be grouped: NaN as NULL, one zero, maps as JSON."""
+    """The row with values that can be grouped and hashed: NaN as NULL, one zero, nested values as JSON."""
     out = []
     for field in df.schema:
         if isinstance(field.dataType, FLOATING):
             value = F.when(~F.isnan(col(field.name)), col(field.name) + F.lit(0.0))
         elif isinstance(field.dataType, T.MapType):
             value = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(field.name)))))
-        elif kind(field.dataType) == "other" and "map<" in field.dataType.simpleString():
-            value = F.to_json(F.struct(col(field.name)))
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
+            # a hash skips NULLs inside nested values and does not see where an array ends
+            value = F.to_json(F.struct(col(field.name)), {"ignoreNullFields": "false"})
         else:
             value = col(field.name)
         out.append(value.alias(field.name))
@@ -115,13 +114,12 @@ def _row_digest(df: DataFrame, seed: int) -> Column:
 def distinct_rows(df: DataFrame, exact: bool = False) -> DataFrame:
     """(rows, distinct_rows), NULLs equal to each other.
 
-    Copies of one row collapse on the map side, so a hot row costs nothing. Wide rows are grouped by
+    Copies of one row collapse on the map side, so a hot row costs nothing. Rows are grouped by
     two independent 64-bit hashes, which moves 16 bytes per row; two rows out of 10^12 share both by
     chance with probability about 10^-15. ``exact=True`` groups the rows themselves.
     """
     rows = _comparable(df)
-    widths = [FIXED_WIDTH.get(type(f.dataType)) for f in df.schema]
-    if exact or (None not in widths and sum(widths) <= NARROW_ROW_BYTES):
+    if exact:
         keys = [col(n) for n in rows.columns]
     else:
         keys = [_row_digest(rows, 1).alias("h1"), _row_digest(rows, 2).alias("h2")]

@@ -156,3 +156,13 @@ def test_complete_rows(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, s string")
     assert columns.complete_rows(df, ["x"]).count() == 2
     assert columns.complete_rows(df, ["x", "s"]).count() == 1
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_duplicates_of_nested_values(spark, exact):
+    rows = [([None, 1], ["a"], ["b"], (None, 1)), ([1, None], ["a"], ["b"], (None, 1)), ([1, None], ["a", "b"], [], (None, 1)),
+            ([1, None], ["a", "b"], [], (1, None)), ([1, None], ["a", "b"], [], (1, None))]
+    df = spark.createDataFrame(rows, "a array<int>, b array<string>, c array<string>, d struct<x:int,y:int>")
+    assert tuple(profile.duplicate_rows(df, exact).first()) == (5, 1)
+    prints = {profile.fingerprint(df.limit(0).unionAll(spark.createDataFrame([r], df.schema))).first()[0] for r in rows}
+    assert len(prints) == 4
