@@ -24,11 +24,14 @@ def build_session(name: str = "frameprobe", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a temporary one in local mode, else an
+    error: executors of a cluster would each write to a folder of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         named = tempfile.mkdtemp(prefix="frameprobe-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
