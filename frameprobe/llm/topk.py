@@ -136,7 +136,7 @@ class SlicedBlock:
         return out
 
     def top(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each query: its id repeated, row ids and exact scores of its k best rows.
+        """For each query: its place among the queries repeated, row ids and exact scores of its k best rows.
 
         Going down from the highest slice, the rows with the bit are taken if k of them are
         left, else they are put aside and the search goes on among the others; that
@@ -173,16 +173,16 @@ class SlicedBlock:
             rows = np.flatnonzero(np.unpackbits(found[i].view(np.uint8), bitorder="little"))
             scores = self.values[rows] @ queries[i]
             best = np.lexsort((self.ids[rows], -scores))[:k]
-            yield np.full(len(best), ids[i]), self.ids[rows[best]], scores[best]
+            yield np.full(len(best), i), self.ids[rows[best]], scores[best]
 
 
 def _matched(k: int):
-    """Pairs of blocks to the k best rows of each query: query_id, vec_id, score."""
+    """Pairs of blocks to the k best rows of each query row: q_block, place, query_id, vec_id, score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, block = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                name, dim, ids, values, q_ids, q_values = (batch.column(c)[r].as_py() for c in range(6))
+                name, dim, ids, values, q_block, q_ids, q_values = (batch.column(c)[r].as_py() for c in range(7))
                 if name != known:
                     known = name
                     block = SlicedBlock(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int32).reshape(-1, dim))
@@ -190,8 +190,11 @@ def _matched(k: int):
                 q_values = np.frombuffer(q_values, np.int32).reshape(-1, dim)
                 for i in range(0, len(q_ids), AT_ONCE):
                     rows = list(block.top(q_ids[i:i + AT_ONCE], q_values[i:i + AT_ONCE], k))
-                    columns = [pa.array(np.concatenate(x)) for x in zip(*rows)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    at, vec_ids, scores = (np.concatenate(x) for x in zip(*rows))
+                    at = at + i
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), q_block)), pa.array(at), pa.array(q_ids[at]), pa.array(vec_ids),
+                         pa.array(scores)], names=["q_block", "place", "query_id", "vec_id", "score"])
 
     return run
 
@@ -203,7 +206,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     Each block of the index meets each block of queries of the same dimension once; vectors of
     different lengths have no product. A row is no candidate for queries of its own id.
     Vectors that are null, empty, or have null, non-finite or too large components take no part,
-    nor do rows without an id. Equal scores rank by smaller id; rows that repeat an id rank each.
+    nor do rows without an id. Equal scores rank by smaller id; rows that repeat an id rank each, and a
+    query row that repeats an id has a ranking of its own.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,11 +220,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
 
     index = blocks(vectors, BLOCK_ROWS, "index", parts)
     asked = blocks(queries, QUERY_ROWS, "queries", 1 + parts // 8)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
+    asked = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     pairs = index.select("block", "dim").join(asked, "dim").drop("dim").withColumnRenamed("block", "b")
     met = (index.join(pairs, F.col("block") == F.col("b"))
-           .select("block", "dim", "ids", "values", "q_ids", "q_values")
-           .mapInArrow(_matched(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+           .select("block", "dim", "ids", "values", "q_block", "q_ids", "q_values")
+           .mapInArrow(_matched(k), "q_block long, place long, query_id long, vec_id long, score long"))
+    order = Window.partitionBy("q_block", "place").orderBy(F.col("score").desc(), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
