@@ -21,6 +21,9 @@ STRETCH = 32
 #: The labelled sample: rows of class 1 at most, twice as many of class 0, and characters of each row.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000
 
+#: Weight of the bag without words in training.
+EMPTY_SHARE = 0.05
+
 #: Entries of a worker's cache of word scores; a full cache is emptied.
 CACHE_WORDS = 400_000
 
@@ -149,8 +152,9 @@ def trained(rows: list[tuple[str, int]], starts: int = 25, rounds: int = 6, step
 
     The first steps take the distinct words of a text as one bag. Each round after that scores all
     stretches with the model so far and trains on the highest one of every text of class 1 and the
-    highest two of the others, because a label holds for some stretch of its text. With one
-    class only, every score is that class.
+    highest two of the others, because a label holds for some stretch of its text. A bag without
+    words stands beside them as class 0: nothing in it is toxic, and short texts lean on it. With
+    one class only, every score is that class.
     """
     labels = np.array([y for _, y in rows], float)
     if len(set(labels.tolist())) < 2:
@@ -171,8 +175,8 @@ def trained(rows: list[tuple[str, int]], starts: int = 25, rounds: int = 6, step
             for i in np.argsort(-scorer.stretches(found), kind="stable")[:1 if label else 2]:
                 bags.append(found[i * STRETCH:(i + 1) * STRETCH])
                 y.append(label)
-        y = np.array(y, float)
-        model.fit(Bags(bags), y, steps, np.full(len(y), 1 / len(y)))
+        share = np.append(np.full(len(y), (1 - EMPTY_SHARE) / len(y)), EMPTY_SHARE)
+        model.fit(Bags([*bags, []]), np.array([*y, 0], float), steps, share)
     return model.scores()
 
 
