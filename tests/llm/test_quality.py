@@ -32,13 +32,13 @@ def test_counts_match_brute_force(awkward):
 def test_frequent_lines_remove_documents_but_copies_do_not(spark):
     own = [(i, f"head {i} a\n" + " ".join(f"w{i}x{k}" for k in range(40)), "h") for i in range(40)]
     copies = [(100 + i, "one line of many words here " + " ".join(map(str, range(30))) + "\nand its other line, too", "h") for i in range(30)]
-    spam = [(200 + i, "Buy 1 now and get the other for free today my friend\n" * 2 + f"only {i}" + "\nsmall print of the offer is in the other document over there", "h")
-            for i in range(30)]
+    spam = [(200 + i, f"Buy {10 + i} now and get the other for free today my friend while it lasts and tell all of your family and friends\n"
+             f"only {'abcdefghij'[i % 10]} {'xyz'[i // 10]}", "h") for i in range(30)]
     docs = spark.createDataFrame(own + copies + spam, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.judged(docs, line_share=0.05).collect()}
     assert all(got[i].kept for i in list(range(40)) + list(range(100, 130)))
-    assert all(not got[i].kept and not got[i].base_failed for i in range(200, 230) if not got[i].base_failed)
-    assert any(not got[i].base_failed for i in range(200, 230))
+    assert all(not got[i].kept and not got[i].base_failed for i in range(200, 230))
+    assert all(got[i].removed_words == 23 and got[i].n_words == 26 for i in range(200, 230))
 
 
 def test_kept_rows_keep_their_columns(awkward, nothing):
