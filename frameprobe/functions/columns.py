@@ -10,6 +10,9 @@ FLOATING = (T.FloatType, T.DoubleType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
+# White space of every script, and the four separator controls that Python's strip takes too.
+BLANKS = r"(?U:[\s\x1c-\x1f])"
+
 
 def col(name: str) -> Column:
     """A column by its literal name, whatever characters the name holds."""
@@ -73,13 +76,9 @@ def melt_numeric(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return melt(df, records, ("position", "v")).filter(F.col("v").isNotNull())
 
 
-def microseconds(name: str, data_type: T.DataType) -> Column:
-    """A date or timestamp as microseconds since 1970, free of the session time zone for NTZ."""
-    if isinstance(data_type, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(name))
-    if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(col(name))
-    return F.unix_date(col(name)).cast("bigint") * 86_400_000_000
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at either end; ``trim`` takes blanks only."""
+    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
 def round_half_even(value: Column, places: int = 2) -> Column:

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from frameprobe.functions.columns import BLANKS, strip
+
 # The outline that all formats below share; one cheap test spares other texts the rest.
-DATE_OUTLINE = r"^\s*\d{1,4}[-/][0-9A-Za-z]{1,3}[-/]\d{1,4}([ T][0-9:.]+)?\s*$"
+DATE_OUTLINE = rf"^{BLANKS}*\d{{1,4}}[-/][0-9A-Za-z]{{1,3}}[-/]\d{{1,4}}([ T][0-9:.]+)?{BLANKS}*$"
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ DATE_FORMATS: tuple[DateFormat, ...] = (
 
 def date_like(value: Column) -> Column:
     """The trimmed text where it has the outline of a date, else NULL."""
-    return F.when(value.rlike(DATE_OUTLINE), F.trim(value))
+    return F.when(value.rlike(DATE_OUTLINE), strip(value))
 
 
 def parse(value: Column, form: DateFormat) -> Column:

@@ -11,15 +11,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from frameprobe.functions.columns import as_text, melt
 from frameprobe.functions.moments import clip01, ranked
 from frameprobe.operators.columns import CAT_CAT_LEVELS, grouping_names
-from frameprobe.operators.profile import column_facts
 
 MAX_CATEGORIES = 15
 MAX_CAT_CAT_PAIRS = 30
 MIN_ROWS = 5
 # Grouping columns whose combinations stay below this are counted together, once.
 JOINT_CELLS = 100_000
-# A crosstab with its empty cells is for grouping columns, not for keys.
-MAX_LEVELS = 1_000
 
 
 def category_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
@@ -135,15 +132,9 @@ def crosstab_percent(df: DataFrame, pairs: Sequence[tuple[str, str]],
                      levels: dict[str, int] | None = None) -> DataFrame:
     """(col1, col2, value1, value2, count, pct): row percentages, empty cells included."""
     cells = contingency(df, pairs, levels)
-    if levels is None:
-        names = sorted({n for pair in pairs for n in pair})
-        most = column_facts(df, names).agg(F.max("n_unique")).first()[0] or 0
-        if most > MAX_LEVELS:
-            raise ValueError("crosstab_percent is for grouping columns; use crosstab for keys")
-    grid = (
-        cells.groupBy("pair").agg(F.collect_set("value1").alias("all1"), F.collect_set("value2").alias("all2"))
-        .select("pair", F.explode("all1").alias("value1"), "all2")
-        .select("pair", "value1", F.explode("all2").alias("value2"), F.lit(0).cast("bigint").alias("count")))
+    # One row per level on either side, joined on the pair: the cells themselves are what is asked for.
+    grid = (cells.select("pair", "value1").distinct().join(cells.select("pair", "value2").distinct(), "pair")
+            .select("pair", "value1", "value2", F.lit(0).cast("bigint").alias("count")))
     filled = cells.unionByName(grid).groupBy("pair", "value1", "value2").agg(F.sum("count").alias("count"))
     total = F.sum("count").over(Window.partitionBy("pair", "value1"))
     return (filled.withColumn("pct", F.col("count") / total * 100)

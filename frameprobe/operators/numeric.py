@@ -14,6 +14,7 @@ from frameprobe.functions import moments
 from frameprobe.functions.columns import as_double, kind, melt, melt_numeric, round_half_even
 from frameprobe.operators.quantiles import Span, exact_quantiles
 
+# Columns that the analysis charts; the operators themselves take all unless told otherwise.
 MAX_COLUMNS = 50
 QUARTILES = (0.25, 0.5, 0.75)
 WHISKER_REACH = 1.5
@@ -113,7 +114,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, decimals: int
     return table.orderBy("position").drop("position")
 
 
-def markers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def markers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
             stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, mean, median): the vertical markers of a distribution chart."""
     found = _stats(df, columns, max_cols, stats)
@@ -148,7 +149,7 @@ def auto_bins(s: ColumnStats) -> Bins:
     return Bins(s.min, s.max, max(1, math.ceil(spread / width)))
 
 
-def histogram(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
               stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, bin, lo, hi, count) per automatic bin, empty bins included.
 
@@ -185,7 +186,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int
 
 # --- density curve -----------------------------------------------------------------------------
 
-def kde(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def kde(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
         stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, grid, x, density): Gaussian kernel with Scott's bandwidth on 200 points.
 
@@ -249,7 +250,7 @@ def _fenced(df: DataFrame, found: list[ColumnStats]) -> DataFrame:
     return melt(df, records, ("position", "v", "lower", "upper")).filter(F.col("v").isNotNull())
 
 
-def box_summary(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def box_summary(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
                 stats: list[ColumnStats] | None = None) -> DataFrame:
     """Quartiles, fences, whiskers (extreme data inside the fences) and outlier count per column."""
     found = _stats(df, columns, max_cols, stats)
@@ -269,7 +270,7 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None, max_cols: i
         "whisker_lo", "whisker_hi", "outliers")
 
 
-def outliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def outliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
              stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, lower_fence, upper_fence, below, above, outliers): values strictly outside."""
     found = _stats(df, columns, max_cols, stats)
@@ -285,7 +286,7 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int
         (F.col("below") + F.col("above")).alias("outliers"))
 
 
-def fliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = MAX_COLUMNS,
+def fliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | None = None,
            stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, value): every point outside the fences, as a distributed table."""
     found = _stats(df, columns, max_cols, stats)

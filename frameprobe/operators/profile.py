@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from frameprobe.functions.columns import (
-    FLOATING, as_double, col, kind, melt, round_half_even)
+    FLOATING, as_double, col, kind, melt, round_half_even, strip)
 from frameprobe.functions.dates import DATE_FORMATS, date_like, parses_as
 
 # Fixed values of the type rules.
@@ -136,8 +136,11 @@ def duplicate_rows(df: DataFrame, exact: bool = False) -> DataFrame:
 # --- cardinality and semantic types ------------------------------------------------------------
 
 def _text_key(name: str) -> Column:
-    """A text as group key; long ones as '#' + SHA-256, which no short text can equal."""
-    long_text = (F.octet_length(col(name)) > TEXT_KEY_BYTES) & (F.octet_length(F.trim(col(name))) > 5)
+    """A text as group key; long ones as '#' + SHA-256, which no short text can equal.
+
+    Padded texts stay as they are, since without the padding they may be words or dates.
+    """
+    long_text = (F.octet_length(col(name)) > TEXT_KEY_BYTES) & (F.octet_length(strip(col(name))) > TEXT_KEY_BYTES)
     return F.when(long_text, F.concat(F.lit("#"), F.sha2(col(name), 256))).otherwise(col(name))
 
 
@@ -193,7 +196,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None,
         parts.append(
             values.withColumn("date", date_like(v)).groupBy("position").agg(
                 unique.alias("n_unique"),
-                F.bool_and(F.lower(F.trim(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"), *parsed)
+                F.bool_and(F.lower(strip(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"), *parsed)
             .select("position", "n_unique", "all_boolean_words",
                     F.greatest(*[F.col(f"d{k}") for k in range(len(DATE_FORMATS))]).alias("all_dates")))
     schema = ("position int, n_unique long, lo double, hi double, all_boolean_words boolean, "

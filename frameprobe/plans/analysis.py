@@ -118,19 +118,19 @@ class Analysis:
 
     @property
     def dists(self) -> DataFrame:
-        return numeric.histogram(self.df, stats=self.stats)
+        return numeric.histogram(self.df, max_cols=numeric.MAX_COLUMNS, stats=self.stats)
 
     @property
     def curves(self) -> DataFrame:
-        return numeric.kde(self.df, stats=self.stats)
+        return numeric.kde(self.df, max_cols=numeric.MAX_COLUMNS, stats=self.stats)
 
     @property
     def markers(self) -> DataFrame:
-        return numeric.markers(self.df, stats=self.stats)
+        return numeric.markers(self.df, max_cols=numeric.MAX_COLUMNS, stats=self.stats)
 
     @property
     def boxplots(self) -> DataFrame:
-        return numeric.box_summary(self.df, stats=self.stats)
+        return numeric.box_summary(self.df, max_cols=numeric.MAX_COLUMNS, stats=self.stats)
 
     @cached_property
     def cats(self) -> DataFrame:

@@ -1,22 +1,33 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
 
 from frameprobe.operators.paths import path_audit
 from frameprobe.plans.analysis import analyze, write_report
-from frameprobe.sources.demo import demo_table
 
 
 @pytest.fixture(scope="module")
-def demo(spark):
-    df = demo_table(spark)
-    return spark.createDataFrame(df.collect(), df.schema)
-
-
-def test_demo_manifest(demo):
-    items = analyze(demo).manifest.collect()
+def parcels(spark):
+    """250 parcels: six numbers, two of them with gaps, and five columns of few levels."""
+    r = random.Random(11)
+    rows = []
+    for i in range(250):
+        distance = round(r.uniform(5, 900), 1)
+        weight = round(abs(r.gauss(8, 3)), 2)
+        rows.append((distance, weight, round(4 + 0.02 * distance + 0.5 * weight + r.gauss(0, 1), 2), 10 + round(distance / 15 + r.gauss(0, 4)),
+                     None if i % 31 == 0 else round(r.gauss(70, 12), 1), None if i % 40 == 7 else r.randrange(0, 90),
+                     r.choice(["north", "south", "east", "west"]), r.choice(["van", "rail", "ship"]),
+                     r.choice(["standard", "express"]), r.choice(["box", "tube", "sack", "crate", "pallet"]),
+                     r.choice(["spring", "summer", "autumn"])))
+    return spark.createDataFrame(rows, "distance double, weight double, cost double, hours long, score double, delay long, "
+                                       "zone string, carrier string, service string, packing string, season string")
+
+
+def test_parcel_manifest(parcels):
+    items = analyze(parcels).manifest.collect()
     sections = [r.section for r in items]
     assert len(items) >= 20 and len(items) <= 100
     assert sections[:2] == ["summary", "missing"]
@@ -32,8 +43,8 @@ def test_demo_manifest(demo):
     assert "η² = " in titles["cat_num"] and "Cramér's V = " in titles["cat_cat"]
 
 
-def test_demo_tables_agree_with_each_other(demo):
-    a = analyze(demo)
+def test_tables_agree_with_each_other(parcels):
+    a = analyze(parcels)
     counts = {r["column"]: r["count"] for r in a.summary.collect()}
     bins = {r["column"]: r["n"] for r in a.dists.groupBy("column").agg({"count": "sum"}).toDF("column", "n").collect()}
     assert bins == counts
@@ -110,9 +121,9 @@ def test_sampled_scores(spark):
     assert a.cat_num_rows[0].n == 300
 
 
-def test_written_report(spark, demo, tmp_path):
+def test_written_report(spark, parcels, tmp_path):
     out = str(tmp_path / "report")
-    a = analyze(demo, max_items=8)
+    a = analyze(parcels, max_items=8)
     write_report(a, out)
     manifest = spark.read.parquet(f"{out}/manifest")
     assert manifest.count() == 8 and "section" in manifest.columns
@@ -125,8 +136,8 @@ def test_written_report(spark, demo, tmp_path):
     assert spark.read.json(f"{tmp_path}/json/columns").count() == 11
 
 
-def test_tables_all_run(demo):
-    small = demo.select("Age", "Salary", "Department", "Overtime")
+def test_tables_all_run(parcels):
+    small = parcels.select("distance", "cost", "zone", "service")
     tables = analyze(small).tables()
     assert len(tables) == 18
     for name, df in tables.items():

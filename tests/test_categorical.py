@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from frameprobe.operators import categorical, grouped
 
@@ -96,12 +97,6 @@ def test_crosstab_percent_fills_empty_cells(spark, rows):
     assert categorical.crosstab(df, "r", "c").count() == 3
 
 
-def test_crosstab_percent_refuses_keys(spark):
-    df = spark.range(2000).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 3 AS STRING) AS b")
-    with pytest.raises(ValueError, match="grouping columns"):
-        categorical.crosstab_percent(df, [("a", "b")])
-
-
 def eta_of(frame, cat, num):
     sub = frame[[cat, num]].dropna()
     total = ((sub[num] - sub[num].mean()) ** 2).sum()
@@ -153,3 +148,9 @@ def test_grouped_box_matches_pandas(df, frame, rows):
             assert (r["q25"], r["q50"], r["q75"]) == pytest.approx((q25, q50, q75))
             inside = data[(data >= q25 - 1.5 * (q75 - q25)) & (data <= q75 + 1.5 * (q75 - q25))]
             assert (r["whisker_lo"], r["whisker_hi"], r["outliers"]) == (inside.min(), inside.max(), len(data) - len(inside))
+
+
+def test_percentages_of_a_column_with_many_levels(spark):
+    df = spark.range(1_200).select(F.concat(F.lit("k"), F.col("id")).alias("a"), (F.col("id") % 2).cast("string").alias("b"))
+    got = categorical.crosstab_percent(df, [("a", "b")])
+    assert got.count() == 2_400 and got.agg(F.sum("count")).first()[0] == 1_200

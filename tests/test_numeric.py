@@ -122,5 +122,6 @@ def test_all_null_column_is_skipped_and_names_do_not_shift(spark, rows):
 
 def test_first_columns_only(spark):
     df = spark.createDataFrame([tuple(float(i) for i in range(60))] * 3, ", ".join(f"c{i} double" for i in range(60)))
-    assert numeric.box_summary(df).count() == 50
+    assert numeric.box_summary(df).count() == 60
+    assert numeric.box_summary(df, max_cols=50).count() == 50
     assert numeric.histogram(df, max_cols=3).select("column").distinct().count() == 3

@@ -166,3 +166,10 @@ def test_duplicates_of_nested_values(spark, exact):
     assert tuple(profile.duplicate_rows(df, exact).first()) == (5, 1)
     prints = {profile.fingerprint(df.limit(0).unionAll(spark.createDataFrame([r], df.schema))).first()[0] for r in rows}
     assert len(prints) == 4
+
+
+def test_padding_of_any_kind_does_not_change_the_type(spark):
+    df = spark.createDataFrame([("yes\t", "2024-01-05" + " " * 80, " 2024-01-05"), ("　no", "\n2024-02-06", "2024-02-07\x1f")] * 3,
+                               "a string, b string, c string")
+    got = {r["column"]: r.semantic_type for r in profile.column_profile(df).collect()}
+    assert got == {"a": "boolean", "b": "datetime", "c": "datetime"}
