@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from frameprobe.functions.columns import (
     FLOATING, as_double, col, kind, melt, round_half_even, strip)
-from frameprobe.functions.dates import DATE_FORMATS, date_like, parses_as
+from frameprobe.functions.dates import DATE_FORMATS, date_like, parses_as, shape_of
 
 # Fixed values of the type rules.
 BOOLEAN_WORDS = ["true", "false", "t", "f", "yes", "no", "y", "n"]
@@ -191,10 +191,12 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None,
         v = F.col("v")
         values, unique = _values(df, text, approximate)
         # Every format has a separator, so a column that parses has one in each value.
-        parsed = [F.bool_and(parses_as(F.col("date"), f)).alias(f"d{k}") for k, f in enumerate(DATE_FORMATS)]
+        parsed = [F.bool_and(parses_as(F.col("date"), F.col("shape"), f)).alias(f"d{k}")
+                  for k, f in enumerate(DATE_FORMATS)]
         # A SHA-256 key stands for a long text, which is neither a boolean word nor a date.
         parts.append(
-            values.withColumn("date", date_like(v)).groupBy("position").agg(
+            values.withColumn("date", date_like(v)).withColumn("shape", shape_of(F.col("date")))
+            .groupBy("position").agg(
                 unique.alias("n_unique"),
                 F.bool_and(F.lower(strip(v)).isin(BOOLEAN_WORDS)).alias("all_boolean_words"), *parsed)
             .select("position", "n_unique", "all_boolean_words",

@@ -24,6 +24,7 @@ MAX_CELLS = 4_096
 MIN_CELLS = 64
 RESIDUE_ROWS = 50_000
 LARGEST = sys.float_info.max
+LOG_SHIFT = 746.0  # the smallest double has the logarithm -744.4
 
 
 @dataclass(frozen=True)
@@ -100,9 +101,10 @@ def select_ranks(values: DataFrame, wanted: dict[tuple[int, int], Span],
 
 
 def _tail(value: float) -> float:
-    """Signed logarithm: spreads long tails over the cells, and is finite for every double."""
+    """Signed logarithm, moved so that every double but zero keeps its sign: spreads both the largest
+    and the smallest magnitudes over the cells, and is finite for every double."""
     finite = max(-LARGEST, min(LARGEST, value))
-    return math.copysign(math.log1p(abs(finite)), finite)
+    return math.copysign(math.log(abs(finite)) + LOG_SHIFT, finite) if finite else 0.0
 
 
 def _intervals(values: DataFrame, ranks: dict[tuple[int, int], Span]) -> tuple[list[Span], DataFrame]:
@@ -134,7 +136,8 @@ def _place(value: Column, plain: bool) -> Column:
     if plain:
         return (value - F.col("bottom")) / F.col("width")
     finite = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), value))
-    scaled = (F.when(F.col("mode") == "log", F.signum(finite) * F.log1p(F.abs(finite)))
+    scaled = (F.when(F.col("mode") == "log", F.when(finite == 0, 0.0)
+                     .otherwise(F.signum(finite) * (F.log(F.abs(finite)) + LOG_SHIFT)))
               .when(F.col("mode") == "apart", (value > F.col("lo")).cast("double"))
               .otherwise(value))
     return F.greatest(F.lit(0.0), (scaled - F.col("bottom")) / F.col("width"))

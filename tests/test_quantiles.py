@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from frameprobe.operators import quantiles
 from frameprobe.operators.quantiles import Span, exact_quantiles, select_ranks, spans_of
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
@@ -53,3 +54,12 @@ def test_empty_group(spark):
     long = table(spark, {0: [1.0, 2.0]})
     found = exact_quantiles(long, {0: Span(0, 1.0, 2.0, 0, 2), 9: Span(9, 0.0, 0.0, 0, 0)}, (0.5,))
     assert found == {0: [1.5], 9: [None]}
+
+
+def test_tiny_magnitudes_take_few_passes(spark, monkeypatch):
+    raw = np.exp(np.random.default_rng(2).uniform(np.log(1e-300), 0, 5000))
+    passes, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    values = table(spark, {0: raw})
+    found = exact_quantiles(values, spans_of(values), (0.5,), residue_rows=50)
+    assert found[0] == pytest.approx([np.median(raw)], rel=1e-12) and len(passes) <= 6

@@ -517,6 +517,19 @@ def build() -> dict[str, str]:
         "csv_roundtrip_orders": f"SELECT * FROM {ORDERS_GAPS}",
         "csv_roundtrip_customer": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
             c_acctbal, c_mktsegment FROM customer""",
+        "csv_roundtrip_documents": "SELECT * FROM documents",
+        "csv_latin1_customer": """SELECT c_custkey, c_name || ' Renée' AS c_name,
+            CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""",
+        "csv_max_rows_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 700",
+        "csv_guards_orders": """SELECT input, CASE input WHEN 'sound' THEN n = 0 WHEN 'surplus' THEN odd > 0
+            ELSE n > 0 END AS refused FROM (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS odd
+            FROM orders), (SELECT unnest(['sound', 'headers', 'surplus', 'blank', 'no_rows', 'size']) AS input)""",
+        "datetime_formats_orders": """SELECT o_orderkey, moment AS iso_utc, moment - INTERVAL 2 HOUR AS iso_offset,
+            date_trunc('minute', moment) AS half_day, date_trunc('day', moment) AS short_year,
+            moment + INTERVAL 500 MILLISECOND AS tenths, date_trunc('day', moment) AS named_month,
+            date_trunc('minute', moment) AS slashed_minutes,
+            TIMESTAMP '1970-01-01' + (moment - date_trunc('day', moment)) AS clock
+            FROM (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS moment FROM orders)""",
         "csv_types_orders": csv_types(TEXT_ORDERS, [
             "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
             "closed", "mostly_date", "partly_date", "with_unit", "half"]),

@@ -387,6 +387,81 @@ def csv_roundtrip_customer(spark, sf_dir):
     return csv.load_csv(spark, written_csv(table(spark, sf_dir, "customer")))
 
 
+@query
+def csv_roundtrip_documents(spark, sf_dir):
+    """Texts with line breaks, quotes and blanks at their ends."""
+    df = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "csv")
+    df.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                     ignoreTrailingWhiteSpace=False).csv(path)
+    return csv.load_csv(spark, path)
+
+
+@query
+def csv_latin1_customer(spark, sf_dir):
+    df = as_texts(table(spark, sf_dir, "customer")).withColumn("c_name", F.concat("c_name", F.lit(" Renée")))
+    path = scratch_path(spark, "csv")
+    df.write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return csv.load_csv(spark, path)
+
+
+@query
+def csv_max_rows_orders(spark, sf_dir):
+    """The first rows by place in the files, which are written in order of the key."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    path = scratch_path(spark, "csv")
+    df.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.options(header=True).csv(path)
+    return csv.load_csv(spark, path, max_rows=700)
+
+
+@query
+def csv_guards_orders(spark, sf_dir):
+    """Which inputs made of orders are refused."""
+    df = as_texts(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    paths = {name: scratch_path(spark, "csv") for name in ("sound", "headers", "surplus", "blank", "no_rows")}
+    df.write.options(header=True).csv(paths["sound"])
+    for part in (df, df.select("o_custkey", "o_orderkey", "o_orderstatus")):
+        part.write.mode("append").options(header=True).csv(paths["headers"])
+    cells = F.concat_ws(",", *df.columns)
+    df.select(F.when(F.col("o_orderstatus") == "P", F.concat(cells, F.lit(",x"))).otherwise(cells)).write.text(
+        paths["surplus"])
+    df.select(F.lit(" ")).write.text(paths["blank"])
+    df.limit(1).select(F.lit("a,b")).write.text(paths["no_rows"])
+
+    def refused(name: str, **options) -> bool:
+        try:
+            csv.load_csv(spark, paths[name], **options)
+            return False
+        except ValueError:
+            return True
+
+    rows = [(name, refused(name)) for name in paths]
+    return spark.createDataFrame([*rows, ("size", refused("sound", max_size_mb=0.001))],
+                                 "input string, refused boolean")
+
+
+# Date texts of each further format, made of the order time ``at``.
+DATE_TEXTS = {
+    "iso_utc": "date_format(at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+    "iso_offset": "date_format(at, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\")",
+    "half_day": "date_format(at, 'M/d/yyyy h:mm a')",
+    "short_year": "date_format(at, 'M/d/yy')",
+    "tenths": "date_format(at, \"yyyy-MM-dd HH:mm:ss'.5'\")",
+    "named_month": "date_format(at, 'MMM d, yyyy')",
+    "slashed_minutes": "date_format(at, 'yyyy/MM/dd HH:mm')",
+    "clock": "date_format(at, 'HH:mm:ss')",
+}
+
+
+@query
+def datetime_formats_orders(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn(
+        "at", F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, o_orderkey % 86400)"))
+    texts = df.select(F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                      *[F.expr(e).alias(n) for n, e in DATE_TEXTS.items()])
+    return csv.apply_types(texts, csv.column_types(texts).collect())
+
+
 def text_orders(spark, sf_dir):
     """orders as texts, with columns whose type is decided by few odd values."""
     return as_texts(orders_with_gaps(spark, sf_dir)).select(
