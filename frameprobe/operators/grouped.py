@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,48 +16,33 @@ from frameprobe.operators.quantiles import Span, exact_quantiles
 MAX_CAT_NUM_PAIRS = 60
 TOP_CATEGORIES = 8
 MIN_ROWS = 5
-# Up to this many combinations of levels are grouped together in one pass.
-JOINT_GROUPS = 4_096
+# Numbers aggregated side by side; more of them would outgrow compiled code.
+NUMBERS_PER_SCAN = 16
 
 
-def group_moments(df: DataFrame, cats: dict[str, int], nums: Sequence[str]) -> DataFrame:
+def group_moments(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """(cat, num, value, n, mean, ss, lo, hi): moments of each number within each category.
 
-    ``cats`` maps grouping column to its number of levels. While all of them together have few
-    combinations, the rows are grouped once by the combination and the small result is merged per
-    column; otherwise each column is grouped by itself.
+    One copy of a row per grouping column, whatever the number of levels and numbers; the numbers stay
+    columns until they are aggregated, ``NUMBERS_PER_SCAN`` at a time.
     """
-    names = list(cats)
-    numbers = [(F.lit(j), as_double(df, n)) for j, n in enumerate(nums)]
-    text = [as_text(df, n).alias(f"c{i}") for i, n in enumerate(names)]
-    v = F.col("v")
-    parts = [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("ss"),
-             F.min(v).alias("lo"), F.max(v).alias("hi")]
-    if math.prod(levels + 1 for levels in cats.values()) <= JOINT_GROUPS:
-        keys = [f"c{i}" for i in range(len(names))]
-        joint = (melt(df, numbers, ("num", "v"), keep=text).filter(v.isNotNull())
-                 .groupBy(*keys, "num").agg(*parts))
-        each = melt(joint, [(F.lit(i), F.col(k)) for i, k in enumerate(keys)], ("cat", "value"),
-                    keep=[F.col(c) for c in ("num", "n", "mean", "ss", "lo", "hi")])
-    else:
-        wide = df.select(*text, *[c.alias(f"n{j}") for j, (_, c) in enumerate(numbers)])
-        by_cat = melt(wide, [(F.lit(i), F.col(f"c{i}")) for i in range(len(names))], ("cat", "value"),
-                      keep=[F.col(f"n{j}") for j in range(len(nums))])
-        each = (melt(by_cat, [(F.lit(j), F.col(f"n{j}")) for j in range(len(nums))], ("num", "v"),
-                     keep=[F.col("cat"), F.col("value")])
-                .filter(v.isNotNull()).groupBy("cat", "value", "num").agg(*parts))
-    return _merge(each.filter(F.col("value").isNotNull()), ["cat", "num", "value"])
-
-
-def _merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine counts, means and squared deviations of disjoint parts of a group."""
-    n, mean = F.col("n"), F.col("mean")
-    whole = Window.partitionBy(*keys)
-    centre = F.sum(n * mean).over(whole) / F.sum(n).over(whole)
-    return (parts.withColumn("centre", centre).groupBy(*keys).agg(
-        F.sum(n).alias("n"), F.max("centre").alias("mean"),
-        F.sum(F.col("ss") + n * (mean - F.col("centre")) * (mean - F.col("centre"))).alias("ss"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    levels = [(F.lit(i), as_text(df, n)) for i, n in enumerate(cats)]
+    parts = []
+    for start in range(0, len(nums), NUMBERS_PER_SCAN):
+        chunk = dict(list(enumerate(nums))[start:start + NUMBERS_PER_SCAN])
+        rows = melt(df, levels, ("cat", "value"),
+                    keep=[as_double(df, n).alias(f"n{j}") for j, n in chunk.items()])
+        sums = []
+        for j in chunk:
+            v = F.col(f"n{j}")
+            sums.append(F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"),
+                                 (F.var_pop(v) * F.count(v)).alias("ss"),
+                                 F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"n{j}"))
+        grouped = rows.filter(F.col("value").isNotNull()).groupBy("cat", "value").agg(*sums)
+        parts.append(melt(grouped, [(F.lit(j), F.col(f"n{j}")) for j in chunk], ("num", "moments"),
+                          keep=[F.col("cat"), F.col("value")])
+                     .select("cat", "num", "value", "moments.*").filter(F.col("n") > 0))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def eta_from_moments(moments: DataFrame) -> DataFrame:
@@ -101,7 +86,7 @@ def eta_squared(df: DataFrame, cats: dict[str, int] | None = None, nums: Sequenc
     if not cats or not nums:
         return df.sparkSession.createDataFrame(
             [], "cat int, num int, cat_col string, num_col string, n long, score double")
-    scored = eta_from_moments(group_moments(df, cats, nums))
+    scored = eta_from_moments(group_moments(df, list(cats), nums))
     return (_names(df, list(cats), nums).join(scored, ["cat", "num"], "left")
             .select("cat", "num", "cat_col", "num_col", F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce("score", F.lit(-1.0)).alias("score")))
@@ -118,8 +103,7 @@ def eta_ranking(df: DataFrame, max_pairs: int = MAX_CAT_NUM_PAIRS, id_cols: Iter
             .select("cat_col", "num_col", "n", "score", "rank"))
 
 
-def grouped_box(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                cats: dict[str, int] | None = None, top: int = TOP_CATEGORIES) -> DataFrame:
+def grouped_box(df: DataFrame, pairs: Sequence[tuple[str, str]], top: int = TOP_CATEGORIES) -> DataFrame:
     """Box summary of the number for the most frequent categories of each (cat_col, num_col) pair.
 
     Returns cat_col, num_col, value, rank, count, q25, q50, q75, lower_fence, upper_fence,
@@ -133,13 +117,12 @@ def grouped_box(df: DataFrame, pairs: Sequence[tuple[str, str]],
         return spark.createDataFrame([], schema)
     cat_names = list(dict.fromkeys(c for c, _ in pairs))
     num_names = list(dict.fromkeys(n for _, n in pairs))
-    levels = {c: (cats or {}).get(c, JOINT_GROUPS) for c in cat_names}
     wanted = spark.createDataFrame(
         [(k, cat_names.index(c), num_names.index(n)) for k, (c, n) in enumerate(pairs)],
         "pair int, cat int, num int")
     order = Window.partitionBy("pair").orderBy(F.desc("n"), "value")
     # At most ``top`` rows per pair reach the driver.
-    chosen = (group_moments(df, levels, num_names).join(F.broadcast(wanted), ["cat", "num"])
+    chosen = (group_moments(df, cat_names, num_names).join(F.broadcast(wanted), ["cat", "num"])
               .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
               .select("pair", "value", "rank", "n", "lo", "hi").orderBy("pair", "rank").collect())
     keys = spark.createDataFrame([(i, r.pair, r.value) for i, r in enumerate(chosen)],

@@ -52,11 +52,21 @@ def _byte_size(df: DataFrame, name: str) -> Column:
 # --- counts per column -------------------------------------------------------------------------
 
 def column_counts(df: DataFrame) -> DataFrame:
-    """(position, rows, non_null, size_bytes) of every column, from one scan."""
+    """(position, rows, non_null, size_bytes) of every column, from one scan; zeros for a table without
+    rows."""
     records = [(F.lit(i), present(df, n), _byte_size(df, n)) for i, n in enumerate(df.columns)]
-    return melt(df, records, ("position", "there", "bytes")).groupBy("position").agg(
+    counted = melt(df, records, ("position", "there", "bytes")).groupBy("position").agg(
         F.count("*").alias("rows"), F.count_if("there").alias("non_null"),
         F.sum(F.col("bytes").cast("bigint")).alias("size_bytes"))
+    every = df.sparkSession.createDataFrame([(i,) for i in range(len(df.columns))], "position int")
+    # One row per column, so the counts can be broadcast.
+    return every.join(F.broadcast(counted), "position", "left").fillna(0)
+
+
+def _missing_pct() -> Column:
+    """Percent of all rows at 2 decimals, NULL where there is no row."""
+    return F.when(F.col("rows") > 0,
+                  round_half_even((F.col("rows") - F.col("non_null")) / F.col("rows") * 100))
 
 
 def _names(df: DataFrame) -> DataFrame:
@@ -77,7 +87,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     missing = F.col("rows") - F.col("non_null")
     return column_counts(df).join(_names(df), "position").orderBy("position").select(
         "column", missing.alias("missing"),
-        round_half_even(missing / F.col("rows") * 100).alias("missing_pct"))
+        _missing_pct().alias("missing_pct"))
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -247,7 +257,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         typed.withColumn("n_unique", unique)
         .select("column", F.col("position"), "physical_type", "semantic_type", "n_unique",
                 missing.alias("missing"),
-                round_half_even(missing / F.col("rows") * 100).alias("missing_pct"),
+                _missing_pct().alias("missing_pct"),
                 is_id(F.col("semantic_type"), F.col("id_name"), F.col("n_unique"),
                       F.col("rows")).alias("is_id"))
         .orderBy("position")

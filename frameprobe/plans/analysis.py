@@ -46,6 +46,7 @@ class Analysis:
     df: DataFrame
     max_items: int = MAX_ITEMS
     sample_size: int | None = None
+    approximate: bool = False
 
     def __post_init__(self):
         self.df = with_unique_names(self.df)
@@ -54,11 +55,17 @@ class Analysis:
     def spark(self) -> SparkSession:
         return self.df.sparkSession
 
+    def release(self) -> None:
+        """Free the moments kept for correlation and ranking; they are computed again when asked for."""
+        kept = self.__dict__.pop("pair_moments", None)
+        if kept is not None:
+            kept.unpersist()
+
     # --- facts of the columns ------------------------------------------------------------------
 
     @cached_property
     def column_rows(self) -> list:
-        return profile.column_profile(self.df).collect()
+        return profile.column_profile(self.df, self.approximate).collect()
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -95,7 +102,7 @@ class Analysis:
                 out[f.name] = unique[f.name]
         if unknown:
             names = {i: n for i, n in enumerate(self.df.columns)}
-            for r in profile.column_facts(self.df, unknown).collect():
+            for r in profile.column_facts(self.df, unknown, self.approximate).collect():
                 if 2 <= r.n_unique <= most:
                     out[names[r.position]] = r.n_unique
         order = self.df.columns
@@ -183,8 +190,7 @@ class Analysis:
 
     @property
     def cat_num_boxes(self) -> DataFrame:
-        return grouped.grouped_box(self.df, [(r.cat_col, r.num_col) for r in self.cat_num_rows],
-                                   self.grouping(CAT_NUM_LEVELS))
+        return grouped.grouped_box(self.df, [(r.cat_col, r.num_col) for r in self.cat_num_rows])
 
     @cached_property
     def cat_cat_rows(self) -> list:
@@ -279,9 +285,14 @@ def build_manifest(items: DataFrame, max_items: int = MAX_ITEMS, extension: str
         "ordinal", "section", "folder", "name", "title", "download", "path")
 
 
-def analyze(df: DataFrame, max_items: int = MAX_ITEMS, sample_size: int | None = None) -> Analysis:
-    """The full analysis of a table. Scores use all rows unless ``sample_size`` is given."""
-    return Analysis(df, max_items, sample_size)
+def analyze(df: DataFrame, max_items: int = MAX_ITEMS, sample_size: int | None = None,
+            approximate: bool = False) -> Analysis:
+    """The full analysis of a table. Scores use all rows unless ``sample_size`` is given.
+
+    ``approximate=True`` estimates the numbers of distinct values, and with them which columns group
+    and which are identifiers, instead of shuffling the values.
+    """
+    return Analysis(df, max_items, sample_size, approximate)
 
 
 # Which section of the manifest each result table belongs to.
@@ -312,3 +323,4 @@ def write_report(analysis: Analysis, path: str, file_format: str = "parquet",
                 f"{root}/{folder[section]}/{name}")
     analysis.columns.write.mode(mode).format(file_format).save(f"{root}/columns")
     analysis.overview.write.mode(mode).format(file_format).save(f"{root}/profile")
+    analysis.release()

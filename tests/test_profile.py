@@ -173,3 +173,11 @@ def test_padding_of_any_kind_does_not_change_the_type(spark):
                                "a string, b string, c string")
     got = {r["column"]: r.semantic_type for r in profile.column_profile(df).collect()}
     assert got == {"a": "boolean", "b": "datetime", "c": "datetime"}
+
+
+def test_table_without_rows_keeps_its_columns(spark, rows):
+    empty = spark.createDataFrame([], "a int, b string, c timestamp")
+    found = rows(profile.column_profile(empty))
+    assert [(r["column"], r["semantic_type"], r["n_unique"], r["missing"], r["missing_pct"], r["is_id"])
+            for r in found] == [(c, "high_cardinality_text", 0, 0, None, False) for c in "abc"]
+    assert [r["missing"] for r in rows(profile.missing_counts(empty))] == [0, 0, 0]

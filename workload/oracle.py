@@ -480,6 +480,11 @@ def build() -> dict[str, str]:
                                       ("o_orderpriority", "costly")])})""",
         "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM
             {eta("lineitem", ["l_returnflag", "l_linestatus"], LINEITEM_NUM)}""",
+        "eta_many_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM {eta(
+            """(SELECT *, l_linenumber::VARCHAR AS line, month(l_shipdate)::VARCHAR AS month,
+            day(l_shipdate)::VARCHAR AS day FROM lineitem)""",
+            ["l_returnflag", "l_linestatus", "line", "month", "day"],
+            ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])}""",
         "eta_rank_orders": f"""SELECT cat_col, num_col, n, round(score, 6) AS score,
             row_number() OVER (ORDER BY round(score, 12) DESC, cat, num)::INT AS rank FROM
             {eta(ORDERS_COSTLY, ["o_orderstatus", "o_orderpriority", "costly"], ORDERS_NUM)}""",

@@ -267,11 +267,24 @@ def cramers_rank_orders(spark, sf_dir):
     return rounded(categorical.cramers_ranking(df))
 
 
+ETA_CATS = {"l_returnflag": 3, "l_linestatus": 2, "line": 7, "month": 12, "day": 31}
+
+
 @query
 def eta_lineitem(spark, sf_dir):
     return rounded(grouped.eta_squared(table(spark, sf_dir, "lineitem")).drop("cat", "num"))
 
 
+@query
+def eta_many_lineitem(spark, sf_dir):
+    """Five grouping columns with up to 2 * 3 * 7 * 12 * 31 combinations."""
+    df = table(spark, sf_dir, "lineitem").select(
+        "*", F.col("l_linenumber").cast("string").alias("line"),
+        F.month("l_shipdate").cast("string").alias("month"), F.dayofmonth("l_shipdate").cast("string").alias("day"))
+    return rounded(grouped.eta_squared(df, ETA_CATS, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+                   .drop("cat", "num"))
+
+
 @query
 def eta_rank_orders(spark, sf_dir):
     df = orders_with_gaps(spark, sf_dir).withColumn("costly", F.col("o_totalprice") > 300000)
