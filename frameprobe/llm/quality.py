@@ -22,7 +22,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in ra
 WINDOW = 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-LINE = StructType([StructField("line", LongType()), StructField("rest", LongType()), StructField("words", LongType())])
+LINE = StructType([StructField("line", LongType()), StructField("whole", LongType()), StructField("words", LongType())])
 
 
 def _twice(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +69,23 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(md5(data).digest()[:8], "big")
+
+
 def folded_lines(text: bytes) -> dict[int, tuple[int, int]]:
-    """hash of each normalised line with a word -> (words in all its copies, hash of the rest).
+    """hash of each normalised line with a word -> (words in all its copies, hash of the document).
 
-    The rest of a document stands for it when documents are counted: it is the smallest hash of
-    its other lines, 0 if there is none. Copies and near copies of one document so count once.
+    The hash of a document is that of the set of its lines, so copies of one document count once
+    when documents are counted, and documents that differ in any line count each.
     """
     found: dict[int, int] = {}
     for line in text.translate(FOLD).split(b"\n"):
         if parts := line.split():
-            key = int.from_bytes(md5(b" ".join(parts)).digest()[:8], "big")
+            key = _digest(b" ".join(parts))
             found[key] = found.get(key, 0) + len(parts)
-    least = sorted(found)[:2]
-    other = least[1] if len(least) > 1 else 0
-    return {k: (n, other if k == least[0] else least[0]) for k, n in found.items()}
+    whole = _digest(b"".join(k.to_bytes(8, "big") for k in sorted(found)))
+    return {k: (n, whole) for k, n in found.items()}
 
 
 def _scan(column: pa.Array) -> list:
@@ -92,10 +95,10 @@ def _scan(column: pa.Array) -> list:
         raw = data.tobytes()
         lists += [folded_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
     made = np.concatenate(parts, axis=1) if parts else np.zeros((len(COUNTS), 0), np.int64)
-    flat = [(k, r, n) for found in lists for k, (n, r) in found.items()]
+    flat = [(k, w, n) for found in lists for k, (n, w) in found.items()]
     table = np.array([x[:2] for x in flat], np.uint64).reshape(-1, 2).view(np.int64)
     lines = pa.StructArray.from_arrays(
-        [table[:, 0].copy(), table[:, 1].copy(), np.array([x[2] for x in flat], np.int64)], ["line", "rest", "words"])
+        [table[:, 0].copy(), table[:, 1].copy(), np.array([x[2] for x in flat], np.int64)], ["line", "whole", "words"])
     starts = np.cumsum([0, *map(len, lists)])
     return [*made, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines)]
 
@@ -109,8 +112,8 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
     ``most_repeated`` percent of them in repeated windows. A line is above the limit of its host
     if more than ``line_share`` of the host's documents, and more than ``least_documents``, hold it;
     such lines are removed, and a document with less than ``least_left`` of its words left is
-    rejected. Documents that differ in this line alone count once (see ``folded_lines``), so the
-    lines of copies are not taken for boilerplate. A null text is empty and fails; a null
+    rejected. Documents of the same lines count once (see ``folded_lines``), so the lines of copies
+    are not taken for boilerplate. A null text is empty and fails; a null
     host is a host of its own; repeated rows are judged alike.
     """
     fields = [StructField(c, LongType()) for c in COUNTS]
@@ -118,7 +121,7 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
     scan = numbered(map_texts(wanted, "text", [*fields, StructField("__lines", ArrayType(LINE))], _scan, drop_text), "quality")
     lines = scan.select(F.col(host).alias("host"), ROW, F.explode("__lines").alias("l")).select("host", ROW, "l.*")
     sizes = small(scan.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("documents")))
-    common = (lines.select("host", "line", "rest").distinct().groupBy("host", "line")
+    common = (lines.select("host", "line", "whole").distinct().groupBy("host", "line")
               .agg(F.count("*").alias("holders")).where(F.col("holders") > least_documents))
     above = small(common.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
                   .where(F.col("holders") > line_share * F.col("documents")).select(F.col("host").alias("h"), F.col("line").alias("x")))

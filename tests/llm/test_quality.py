@@ -41,6 +41,28 @@ def test_frequent_lines_remove_documents_but_copies_do_not(spark):
     assert all(got[i].removed_words == 23 and got[i].n_words == 26 for i in range(200, 230))
 
 
+def test_templates_of_any_size_are_counted_by_document(spark):
+    def word(n):
+        return "".join("abcdefghij"[int(c)] for c in str(n))
+
+    rows, want = [], {}
+    for shared in (1, 2, 5, 30):
+        template = [f"template {word(shared)} line {word(k)}" for k in range(shared)]
+        for i in range(12):
+            rows += [(f"{shared}:{i}:{copy}", "\n".join([*template, f"own {word(shared)} {word(i)} " + "x " * 20]), f"h{shared}") for copy in range(2)]
+    for host in {h for _, _, h in rows}:
+        holders = {}
+        for _, text, h in rows:
+            for line in text.split("\n") if h == host else ():
+                holders.setdefault(line.strip(), set()).add(text)
+        for i, text, h in rows:
+            if h == host:
+                want[i] = sum(len(x.split()) for x in text.split("\n") if len(holders[x.strip()]) > 10)
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {r.doc_id: r.removed_words for r in quality.judged(docs).collect()}
+    assert got == want and set(want.values()) == {4, 8, 20, 120}
+
+
 def test_kept_rows_keep_their_columns(awkward, nothing):
     judged = quality.judged(awkward.select("doc_id", "text", "source")).where("kept").count()
     out = quality.kept(awkward)
