@@ -120,5 +120,30 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def repeated(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The results that ``linked`` passes over, as rows of its columns with status duplicate: all but
+    the first (by position, then content) of those that answer one call."""
+    asked = calls.select("conv_id", "call_id").where("call_id IS NOT NULL").distinct()
+    nth = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("position", "content"))
+    more = results.join(asked, ["conv_id", "call_id"], "left_semi").withColumn("nth", nth).where("nth > 1")
+    return more.select(
+        "conv_id", "call_id", F.lit(None).cast("long").alias("position"), F.lit(None).cast("int").alias("seq"),
+        F.col("position").alias("result_position"), F.lit("duplicate").alias("status"), F.lit(False).alias("valid"),
+        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"))
+
+
+def every_turn(turns: DataFrame) -> DataFrame:
+    """Each turn of plain conversations in one row: ``linked`` for user turns and their first answers,
+    further answers as duplicate, and turns of other roles at their position with status system or
+    other, role and text in ``json``."""
+    calls, results = turns_as_calls(turns)
+    others = turns.where("role IS NULL OR role NOT IN ('user', 'assistant')").select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), F.col("turn").cast("long").alias("position"),
+        F.lit(None).cast("int").alias("seq"), F.lit(None).cast("long").alias("result_position"),
+        F.when(F.col("role") == "system", "system").otherwise("other").alias("status"), F.lit(False).alias("valid"),
+        F.to_json(F.struct("role", "text")).alias("json"))
+    return linked(calls, results, REPLY).unionByName(repeated(calls, results)).unionByName(others)
+
+
 #: What the calls of plain conversations must hold.
 REPLY: Schemas = {"reply": {"text": ("string", True, 1), "turn": ("integer", True, 0)}}

@@ -95,3 +95,8 @@ def op2_toxicity(spark, sf_dir):
 def op4_chat(spark, sf_dir):
     calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
     return chat.linked(calls, results, chat.REPLY)
+
+
+@query
+def op4_turns(spark, sf_dir):
+    return chat.every_turn(table(spark, sf_dir, "conversations"))

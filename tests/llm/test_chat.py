@@ -1,3 +1,6 @@
+import json
+from collections import Counter
+
 from frameprobe.llm import chat
 
 SCHEMAS = {"add": {"a": ("integer", True, 0), "b": ("number", False, 0), "note": ("string", False, 2)}}
@@ -31,6 +34,24 @@ def test_plain_turns(spark):
     assert got[2, "2:0"].valid is False and (None, "null:0") in got
 
 
+def test_every_turn_has_a_place(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "assistant", "b"), (1, 3, "assistant", "b"),
+             (1, 4, "tool", "t"), (1, 5, None, "no role"), (1, 6, "user", "r"), (2, 0, "assistant", "early"), (2, 1, "assistant", None),
+             (None, 0, "system", "s"), (None, 1, "user", "n"), (None, 2, "assistant", "m"), (None, 3, "assistant", "o")]
+    got = chat.every_turn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    found = Counter()
+    for r in got:
+        held = json.loads(r.json)
+        if r.position is not None:
+            found[r.conv_id, r.position, held["arguments"]["text"] if "arguments" in held else held["text"]] += 1
+        if r.result_position is not None:
+            found[r.conv_id, r.result_position, held.get("result")] += 1
+    assert found == Counter((c, n, t) for c, n, _, t in turns)
+    states = Counter(r.status for r in got)
+    assert states == {"system": 2, "other": 2, "linked": 1, "duplicate": 2, "unanswered": 2, "orphan": 4}
+    assert {(r.result_position, r.call_id) for r in got if r.status == "duplicate"} == {(3, "1:1")}
+
+
 def test_no_turns(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.linked(*chat.turns_as_calls(turns), chat.REPLY).count() == 0
