@@ -9,9 +9,17 @@ from frameprobe.llm import mixing, packing, quality, secrets, simhash
 from frameprobe.session import scratch_path
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, by the text."""
+    if "n_chars" in docs.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or consist of lines that their source repeats, go."""
-    return quality.kept(docs)
+    """Documents that fail the base rules, or consist of lines that their source repeats, go; such
+    lines go from the others, and n_chars follows the text."""
+    return _measured(quality.kept(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is masked; n_chars follows the text."""
-    masked = secrets.masked(docs)
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked
+    return _measured(secrets.masked(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from frameprobe.llm.arrays import WHITE, SpanHash, chunks, mix64, spans, words
-from frameprobe.llm.tables import ROW, guarded, map_texts, numbered, small
+from frameprobe.llm.tables import ROW, guarded, map_texts, numbered, settled, small
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -105,7 +106,7 @@ def _scan(column: pa.Array) -> list:
 
 def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_repeated: int = 30,
            line_share: float = 0.005, least_documents: int = 10, least_left: float = 0.3,
-           drop_text: bool = True) -> DataFrame:
+           drop_text: bool = True, with_lines: bool = False) -> DataFrame:
     """Every row of ``docs`` with the COUNTS, base_failed, removed_words and kept.
 
     A text fails the base rules with fewer than ``least_words`` words or more than
@@ -114,7 +115,8 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
     such lines are removed, and a document with less than ``least_left`` of its words left is
     rejected. Documents of the same lines count once (see ``folded_lines``), so the lines of copies
     are not taken for boilerplate. A null text is empty and fails; a null
-    host is a host of its own; repeated rows are judged alike.
+    host is a host of its own; repeated rows are judged alike. ``with_lines`` adds __gone, the hashes
+    of a row's lines above the limit, null if it has none.
     """
     fields = [StructField(c, LongType()) for c in COUNTS]
     wanted = docs.drop(*COUNTS, "base_failed", "removed_words", "kept")
@@ -125,16 +127,39 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
               .agg(F.count("*").alias("holders")).where(F.col("holders") > least_documents))
     above = small(common.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
                   .where(F.col("holders") > line_share * F.col("documents")).select(F.col("host").alias("h"), F.col("line").alias("x")))
+    gone = [F.collect_list("line").alias("__gone")] * with_lines
     removed = (lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("x")))
-               .groupBy(ROW).agg(F.sum("words").alias("removed_words")))
+               .groupBy(ROW).agg(F.sum("words").alias("removed_words"), *gone))
+    if with_lines:  # rows of any width: no size to broadcast by
+        removed = settled(removed)
+    else:
+        removed = small(removed)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")
-    return (scan.drop("__lines").join(small(removed), ROW, "left").drop(ROW)
+    return (scan.drop("__lines").join(removed, ROW, "left").drop(ROW)
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
             .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & left))
 
 
+def without(text: str, gone: set[int]) -> str:
+    """``text`` without the lines whose hash is in ``gone``."""
+    raw = text.encode("utf-8")
+    pairs = zip(raw.split(b"\n"), raw.translate(FOLD).split(b"\n"))
+    return b"\n".join(line for line, plain in pairs if _digest(b" ".join(plain.split())) not in gone).decode("utf-8")
+
+
 def kept(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, texts unchanged."""
+    """The rows of ``docs`` that the rules keep, texts without the lines above the limit."""
     rows, back = guarded(docs, "text", host)
-    return back(judged(rows, host, drop_text=False, **settings).where("kept"))
+    found = judged(rows, host, drop_text=False, with_lines=True, **settings).where("kept").select(*rows.columns, "__gone")
+    names = rows.columns
+    at, hashes = names.index("text"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() if not g.is_valid else without(t.as_py(), {x % (1 << 64) for x in g.as_py()})
+                     for t, g in zip(batch.column(at), batch.column(hashes))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(hashes)], names=names)
+
+    return back(found.mapInArrow(run, rows.schema))

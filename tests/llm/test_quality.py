@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from corpus_pipeline import quality_rules
 from frameprobe.llm import quality
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -68,3 +69,16 @@ def test_kept_rows_keep_their_columns(awkward, nothing):
     out = quality.kept(awkward)
     assert out.columns == awkward.columns and out.count() == judged
     assert quality.kept(nothing).count() == 0
+
+
+def test_kept_texts_lose_the_lines_above_the_limit(spark):
+    body = " ".join(f"kept {c}" for c in "abcdefghijklmnopqrst")
+    rows = [(i, f"Ünï  Banner {i}\n{chr(97 + i)} own line {body}\n\n ünï banner 7 \nÜnï banner 7\nlast {chr(97 + i)}", "h", 5) for i in range(12)]
+    rows += [(50, f"no banner here {body}\n\nend", "h", 5), (51, f"Ünï  Banner 3\n{body}", "other", 5), (52, "Ünï Banner 1\nshort", "h", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in quality_rules(spark, docs, "").collect()}
+    want = {i: t for i, t, _, _ in rows if i in (50, 51)}
+    want |= {i: f"Ünï  Banner {i}\n" * (i > 9) + f"{chr(97 + i)} own line {body}\n\nlast {chr(97 + i)}" for i in range(12)}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert quality_rules(spark, docs, "").schema == docs.schema
