@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from frameprobe.llm.arrays import mix64
-from frameprobe.llm.tables import map_texts
+from frameprobe.llm.tables import map_texts, settled, short_batches
 
 #: Hash buckets for subwords, size of their vectors, and lengths of character n-grams.
 BUCKETS, SIZE, GRAMS = 1 << 16, 4, (3, 4, 5)
 
-#: Words averaged at a time; a text is as toxic as its most toxic stretch.
-STRETCH = 32
+#: Words averaged at a time, and words from one stretch to the next; a text is as toxic as its most toxic stretch.
+STRETCH, STEP = 32, 8
 
-#: The labelled sample: rows of class 1 at most, twice as many of class 0, and characters of each row.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000
+#: The labelled sample: rows of class 1 at most, twice as many of class 0; and rows of each class in the first steps.
+SAMPLE_ROWS, FIRST_ROWS = 1_500, 600
 
 #: Weight of the bag without words in training.
 EMPTY_SHARE = 0.05
@@ -138,45 +139,86 @@ class Scorer:
         self.known.update(zip(new, sums.tolist()))
 
     def stretches(self, found: list[str]) -> np.ndarray:
-        """Log odds of each stretch of learnt words; one without words if there are none."""
+        """Log odds of each stretch of learnt words (see ``starts``); one without words if there are none."""
         if not found:
             return np.array([self.constant])
-        starts = np.arange(0, len(found), STRETCH)
-        lengths = np.minimum(len(found) - starts, STRETCH)
         scores = np.fromiter(map(self.known.__getitem__, found), np.float64, len(found))
-        return np.add.reduceat(scores, starts) / np.maximum(lengths, STRETCH // 2) + self.constant
-
-
-def trained(rows: list[tuple[str, int]], starts: int = 25, rounds: int = 6, steps: int = 10) -> tuple[np.ndarray, float]:
-    """Scores of subwords and a constant from labelled texts.
-
-    The first steps take the distinct words of a text as one bag. Each round after that scores all
-    stretches with the model so far and trains on the highest one of every text of class 1 and the
-    highest two of the others, because a label holds for some stretch of its text. A bag without
+        sums = np.concatenate([[0.0], np.cumsum(scores)])
+        first = starts(len(found))
+        last = np.minimum(first + STRETCH, len(found))
+        return (sums[last] - sums[first]) / np.maximum(last - first, STRETCH // 2) + self.constant
+
+
+def starts(n: int) -> np.ndarray:
+    """First words of the stretches of ``n`` words: every STEP words, the last stretch at the end of the text."""
+    end = max(0, n - STRETCH)
+    return np.append(np.arange(0, end, STEP), end)
+
+
+def highest(scorer: Scorer, found: list[str], n: int) -> list[list[str]]:
+    """The words of the ``n`` highest stretches that do not overlap."""
+    first, chosen = starts(len(found)), []
+    for i in np.argsort(-scorer.stretches(found), kind="stable"):
+        if all(abs(first[i] - k) >= STRETCH for k in chosen):
+            chosen.append(first[i])
+            if len(chosen) == n:
+                break
+    return [found[k:k + STRETCH] for k in chosen]
+
+
+def _bags(texts: DataFrame, function) -> list[tuple[list[str], int]]:
+    """(words, toxic) of the bags that ``function`` makes from the words of some texts and their labels
+    in tasks, a list for each text, in the order of ``place``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                some = batch.slice(first, 200)
+                place, toxic = some.column(0).to_pylist(), some.column(2).to_pylist()
+                found = [words(t) for t in some.column(1).to_pylist()]
+                rows = [(p, y, k, bag) for p, y, bags in zip(place, toxic, function(found, toxic)) for k, bag in enumerate(bags)]
+                arrays = zip(*rows) if rows else [[]] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(arrays, kinds)], names=["place", "toxic", "k", "bag"])
+
+    made = texts.select("place", "text", "toxic").mapInArrow(run, "place long, toxic int, k int, bag array<string>")
+    return [(r["bag"], r["toxic"]) for r in sorted(made.collect(), key=lambda r: (r["place"], r["toxic"], r["k"], r["bag"]))]
+
+
+def trained(texts: DataFrame, first: int = 25, rounds: int = 6, steps: int = 10) -> tuple[np.ndarray, float]:
+    """Scores of subwords and a constant from labelled texts (place, text, toxic).
+
+    The first steps take the distinct words of a text as one bag, for the first FIRST_ROWS texts of
+    each class by place. Each round after that scores all stretches with the model so far, in
+    tasks, and trains on the highest one of every text of class 1 and the highest two of the others
+    that do not overlap, because a label holds for some stretch of its text. A bag without
     words stands beside them as class 0: nothing in it is toxic, and short texts lean on it. With
     one class only, every score is that class.
     """
-    labels = np.array([y for _, y in rows], float)
-    if len(set(labels.tolist())) < 2:
-        return np.zeros(BUCKETS), (20.0 if len(labels) and labels[0] else -20.0)
-    texts = [words(t) for t, _ in rows]
+    places = {k: sorted(r["place"] for r in texts.where(F.col("toxic") == k).select("place").collect()) for k in (0, 1)}
+    if not (places[0] and places[1]):
+        return np.zeros(BUCKETS), (20.0 if places[1] else -20.0)
 
     def balanced(y: np.ndarray) -> np.ndarray:
         return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
 
     model = Model()
-    some = np.concatenate([np.flatnonzero(labels == k)[:600] for k in (0, 1)])
-    model.fit(Bags([sorted(set(texts[i])) for i in some]), labels[some], starts, balanced(labels[some]))
+    last = {k: p[min(len(p), FIRST_ROWS) - 1] for k, p in places.items()}
+    some = texts.where(F.col("place") <= F.when(F.col("toxic") == 1, last[1]).otherwise(last[0]))
+    bags, labels = zip(*_bags(some, lambda found, _: [[sorted(set(f))] for f in found]))
+    labels = np.array(labels, float)
+    model.fit(Bags(list(bags)), labels, first, balanced(labels))
     for _ in range(rounds):
-        scorer = Scorer(*model.scores())
-        scorer.learn(texts)
-        bags, y = [], []
-        for found, label in zip(texts, labels):
-            for i in np.argsort(-scorer.stretches(found), kind="stable")[:1 if label else 2]:
-                bags.append(found[i * STRETCH:(i + 1) * STRETCH])
-                y.append(label)
-        share = np.append(np.full(len(y), (1 - EMPTY_SHARE) / len(y)), EMPTY_SHARE)
-        model.fit(Bags([*bags, []]), np.array([*y, 0], float), steps, share)
+        weights = texts.sparkSession.sparkContext.broadcast(model.scores())
+
+        def chosen(found, toxic, weights=weights):
+            scorer = _scorer(weights)
+            scorer.learn(found)
+            return [highest(scorer, f, 1 if y else 2) for f, y in zip(found, toxic)]
+
+        bags, labels = zip(*_bags(texts, chosen))
+        weights.unpersist()
+        share = np.append(np.full(len(labels), (1 - EMPTY_SHARE) / len(labels)), EMPTY_SHARE)
+        model.fit(Bags([*bags, []]), np.array([*labels, 0], float), steps, share)
     return model.scores()
 
 
@@ -184,16 +226,19 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of class 1 and twice as many of class 0, by a hash of the id,
-    ``chars`` characters each."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled texts of class 1 and twice as many of class 0, by a hash of the id: the
+    distinct rows of place (that hash), text and toxic, texts whole."""
     usable = (labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     order = F.xxhash64("doc_id")
     chosen = usable.where("toxic = 0").orderBy(order, "doc_id").limit(2 * rows).unionByName(
         usable.where("toxic = 1").orderBy(order, "doc_id").limit(rows))
-    texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return [(r["text"], int(r["toxic"])) for r in texts.orderBy("doc_id", "text").limit(3 * rows).collect()]
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = settled(texts.select(order.alias("place"), "text", F.col("toxic").cast("int").alias("toxic")).distinct())
+    if texts.count() > 3 * rows:  # ids that repeat with other texts
+        texts = settled(texts.orderBy("place", "text").limit(3 * rows))
+    return texts
 
 
 def scored(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -203,6 +248,7 @@ def scored(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     empty text scores the constant alone. Only labels of rows that are not held out are read, and
     only the text makes the score. A null doc_id is never held out. Repeated rows score alike.
     """
+    short_batches(docs.sparkSession)
     scores, constant = trained(sample(docs, labels, **settings))
     weights = docs.sparkSession.sparkContext.broadcast((scores, constant))
 
