@@ -6,6 +6,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -221,83 +222,134 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], waste: int,
             yield from exact(total, len(fit))
 
 
+#: Fillings of a bin that the first pass of the search looks at, each in as many bins at once as the counts allow.
+FIRST_FILLINGS = 3
+
+
 def complete_bins(counts: dict[int, int], capacity: int, steps: int = SEARCH_STEPS) -> Packing:
     """Bins for all lengths by bin completion, branch and bound.
 
-    The longest length left is completed by its fillings in turn, in as many bins at once as the
-    counts allow. A branch ends when the waste of its bins exceeds what one bin less than the
-    incumbent would leave. The incumbent starts as best-fit decreasing; a dive whose steps run out
-    is finished by best fit. The search ends at the lower bound or after ``steps`` steps.
+    The longest length left is completed by its fillings in turn. The first pass takes one of the
+    first FIRST_FILLINGS, in as many bins at once as the counts allow. Where its tree runs out,
+    passes of limited discrepancy follow: the k-th filling costs k, each bin less costs 1, and a
+    path may cost 1, 2, 4 and so on, until a pass left nothing out. A branch ends when the
+    waste of its bins exceeds what one bin less than the incumbent would leave. The incumbent
+    starts as best-fit decreasing; a dive whose steps run out is finished by best fit. The
+    search ends at the lower bound, after a whole pass, or after ``steps`` steps.
     """
-    total = sum(k * n for k, n in counts.items())
-    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
+    least, search, budget = lower_bound(counts, capacity), _Search(steps), 0
+    whole = not counts
+    while not whole and search.steps > 0 and sum(n for _, n in best) > least:
+        best, whole = _pass(counts, capacity, least, best, search, budget)
+        budget = max(1, 2 * budget)
+    return best
+
+
+def _pass(counts: dict[int, int], capacity: int, least: int, best: Packing, search: _Search, budget: int) -> tuple[Packing, bool]:
+    """The best packing after one pass of the search, and whether the pass left nothing out.
+
+    ``budget`` is what a path may cost; 0 stands for the first pass.
+    """
+    total = sum(k * n for k, n in counts.items())
     most = sum(n for _, n in best)
-    search = _Search(steps)
     left, lengths = dict(counts), sorted(counts)
     done: Packing = []
-    bins = wasted = 0
-    stack: list[tuple[Iterator[list[int]], int]] = []
+    bins = wasted = spent = 0
+    whole = True
+    stack: list[Iterator[tuple[list[int], int, int]]] = []
+    costs: list[int] = []
 
     def allowed() -> int:
         return (most - 1) * capacity - total - wasted
 
-    def open_next() -> None:
-        longest = lengths[-1]
+    def first_choices(longest: int) -> Iterator[tuple[list[int], int, int]]:
+        """(bin, how many of it, 0) for the first fillings."""
+        nonlocal whole
         left[longest] -= 1
         fits = lengths if left[longest] else lengths[:-1]
-        options = list(_some(fillings(capacity - longest, fits, left, max(0, allowed()), search), 3))
+        options = list(islice(fillings(capacity - longest, fits, left, max(0, allowed()), search), FIRST_FILLINGS))
         left[longest] += 1
-        stack.append((iter(options), longest))
+        whole = whole and len(options) < FIRST_FILLINGS
+
+        def taken():
+            nonlocal whole
+            for filling in options:
+                held = [longest, *filling]
+                number = min(left[a] // held.count(a) for a in set(held))
+                whole = whole and number == 1
+                number = number if number * (capacity - sum(held)) <= allowed() else 1
+                yield held, number if number * (capacity - sum(held)) <= allowed() else 0, 0
+
+        return taken()
+
+    def choices(longest: int, room: int) -> Iterator[tuple[list[int], int, int]]:
+        """(bin, how many of it, cost) of all fillings within ``room``."""
+        nonlocal whole
+        rest = dict(left)
+        rest[longest] -= 1
+        fits = lengths if rest[longest] else lengths[:-1]
+        for i, filling in enumerate(fillings(capacity - longest, fits, rest, max(0, allowed()), search)):
+            if i > room:
+                whole = False
+                return
+            held = [longest, *filling]
+            waste = capacity - sum(held)
+            number = min(left[a] // held.count(a) for a in set(held))
+            for cost in range(number):
+                if i + cost > room:
+                    whole = False
+                    break
+                if (number - cost) * waste <= allowed():
+                    yield held, number - cost, i + cost
 
-    def take(held: list[int], sign: int) -> None:
+    def open_next() -> None:
+        stack.append(choices(lengths[-1], budget - spent) if budget else first_choices(lengths[-1]))
+
+    def take(held: list[int], number: int, sign: int) -> None:
         nonlocal bins, wasted
-        number = held[1]
-        for a in held[0]:
+        for a in held:
             left[a] -= sign * number
-        for a in set(held[0]):
+        for a in set(held):
             if left[a] == 0 and sign > 0:
                 lengths.remove(a)
             elif sign < 0 and left[a] > 0 and (not (k := bisect_right(lengths, a)) or lengths[k - 1] != a):
                 lengths.insert(bisect_right(lengths, a), a)
         bins += sign * number
-        wasted += sign * number * (capacity - sum(held[0]))
+        wasted += sign * number * (capacity - sum(held))
+
+    def undo() -> None:
+        nonlocal spent
+        take(*done.pop(), -1)
+        spent -= costs.pop()
 
-    if most > least and lengths:
-        open_next()
+    open_next()
     while stack and most > least:
         if search.steps <= 0:
             rest = best_fit({a: n for a, n in left.items() if n}, capacity)
             if bins + sum(n for _, n in rest) < most:
                 best = done + rest
-            break
-        options, longest = stack[-1]
-        filling = next(options, None)
+            return best, False
+        choice = next(stack[-1], None)
         search.steps -= 1
-        if filling is None:
+        if choice is None:
             stack.pop()
             if done:
-                take(done.pop(), -1)
+                undo()
+            continue
+        held, number, cost = choice
+        if not number:
             continue
-        held = [longest, *filling]
-        number = min(left[a] // held.count(a) for a in set(held))
-        if number * (capacity - sum(held)) > allowed():
-            number = 1
-            if capacity - sum(held) > allowed():
-                continue
         done.append((held, number))
-        take(done[-1], 1)
+        costs.append(cost)
+        spent += cost
+        take(held, number, 1)
         if not lengths:
             best, most = list(done), bins
-            take(done.pop(), -1)
+            undo()
         else:
             open_next()
-    return best
-
-
-def _some(found: Iterator[list[int]], n: int) -> Iterator[list[int]]:
-    for _, x in zip(range(n), found):
-        yield x
+    return best, whole
 
 
 def places(packing: Packing) -> np.ndarray:

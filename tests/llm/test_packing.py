@@ -92,5 +92,20 @@ def test_many_lengths_come_near_the_lower_bound(seed, low, high):
     assert got <= sum(n for _, n in packing.best_fit(counts, 2048))
 
 
+@pytest.mark.parametrize("seed, number, capacity, best", [(1695, 14, 500, 5), (3760, 14, 100, 5), (2191, 17, 500, 7)])
+def test_search_goes_on_after_the_first_fillings(seed, number, capacity, best):
+    r = random.Random(seed)
+    m = r.randrange(12, 40)
+    assert (m, r.choice([100, 200, 500])) == (number, capacity)
+    counts = dict(Counter(r.randrange(capacity // 12, capacity * 6 // 10) for _ in range(m)))
+    got = packing.complete_bins(counts, capacity)
+    used = Counter()
+    for held, n in got:
+        assert sum(held) <= capacity
+        for x in held:
+            used[x] += n
+    assert used == Counter(counts) and sum(n for _, n in got) == best == packing.lower_bound(counts, capacity)
+
+
 def test_nothing_to_pack():
     assert packing.complete_bins({}, 100) == [] and packing.places([]).shape == (0, 5)
