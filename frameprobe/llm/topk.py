@@ -17,8 +17,14 @@ BLOCK_ROWS, QUERY_ROWS, AT_ONCE = 8192, 512, 64
 #: Lowest slices of an attribute that are left to the exact check of boundary rows.
 LOW_SLICES = 3
 
-#: Quantised components beyond this have no exact score in 64 bits; such vectors take no part.
-LARGEST = 1 << 24
+#: Quantised components from here on do not fit 64 bits; such vectors take no part.
+LARGEST = 1 << 63
+
+#: Vectors with a quantised component from here on go to blocks of their own, with values of 64 bits.
+WIDE = 1 << 24
+
+#: Bound of every sum of a pair of blocks that is added up in 64 bits; beyond, scores are Python integers.
+SAFE = 1 << 61
 
 
 def quantised(vector: str = "embedding", scale: int = 256) -> Column:
@@ -27,22 +33,22 @@ def quantised(vector: str = "embedding", scale: int = 256) -> Column:
 
 
 def usable(vector: str = "embedding", scale: int = 256) -> Column:
-    """Whether a vector takes part: not null, without null, non-finite or too large components."""
+    """Whether a vector takes part: not null, without or non-finite components or such beyond LARGEST."""
     ok = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LARGEST / scale))
     return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & ok, F.lit(False))
 
 
 def _blocks(rows: int):
-    """Rows (id, q) to blocks: block, dim, ids (int64), values (int32, one vector after another)."""
-    def made(ids, values, block):
+    """Rows (id, q) to blocks: block, dim, ids (int64), values (int32, or int64 in wide blocks; one vector after another)."""
+    def made(ids, values, block, wide):
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([values.shape[1]], pa.int32()),
-             pa.array([ids.tobytes()], pa.binary()), pa.array([values.astype(np.int32).tobytes()], pa.binary())],
+             pa.array([ids.tobytes()], pa.binary()), pa.array([values.astype(np.int64 if wide else np.int32).tobytes()], pa.binary())],
             ["block", "dim", "ids", "values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), batch.column(1)
             sizes = np.asarray(vectors.value_lengths())
@@ -51,16 +57,21 @@ def _blocks(rows: int):
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 values = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                held.setdefault(int(dim), []).append((ids[at], values))
-                while sum(len(x) for x, _ in held[int(dim)]) >= rows:
-                    all_ids, all_values = (np.concatenate(x) for x in zip(*held[int(dim)]))
-                    yield made(all_ids[:rows], all_values[:rows], block)
-                    block += 1
-                    held[int(dim)] = [(all_ids[rows:], all_values[rows:])]
-        for parts in held.values():
+                large = np.abs(values).max(axis=1) >= WIDE
+                for wide in (False, True):
+                    if not (large == wide).any():
+                        continue
+                    key = int(dim), wide
+                    held.setdefault(key, []).append((ids[at[large == wide]], values[large == wide]))
+                    while sum(len(x) for x, _ in held[key]) >= rows:
+                        all_ids, all_values = (np.concatenate(x) for x in zip(*held[key]))
+                        yield made(all_ids[:rows], all_values[:rows], block, wide)
+                        block += 1
+                        held[key] = [(all_ids[rows:], all_values[rows:])]
+        for (_, wide), parts in held.items():
             all_ids, all_values = (np.concatenate(x) for x in zip(*parts))
             if len(all_ids):
-                yield made(all_ids, all_values, block)
+                yield made(all_ids, all_values, block, wide)
                 block += 1
 
     return run
@@ -176,25 +187,61 @@ class SlicedBlock:
             yield np.full(len(best), i), self.ids[rows[best]], scores[best]
 
 
+def _values(values: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(values, np.int64 if len(values) == 8 * rows * dim else np.int32).reshape(-1, dim)
+
+
+def exact_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """``SlicedBlock.top`` for values of any size, scores as Python integers.
+
+    Scores in floating point, with a bound of their error, leave the rows that may be among the k best.
+    """
+    approx = values.astype(float) @ queries.astype(float).T
+    error = (np.abs(values.astype(float)) @ np.abs(queries.astype(float)).T) * (values.shape[1] + 8) * 2.0 ** -52
+    for i, own in enumerate(query_ids):
+        rows = np.flatnonzero(ids != own)
+        if len(rows) > k:
+            low = approx[rows, i] - error[rows, i]
+            rows = rows[approx[rows, i] + error[rows, i] >= np.partition(low, -k)[-k]]
+        query = queries[i].tolist()
+        found = sorted((-sum(x * y for x, y in zip(values[r].tolist(), query)), int(ids[r])) for r in rows)[:k]
+        yield (np.full(len(found), i), np.array([x for _, x in found], np.int64), np.array([-x for x, _ in found], object))
+
+
 def _matched(k: int):
-    """Pairs of blocks to the k best rows of each query row: q_block, place, query_id, vec_id, score."""
+    """Pairs of blocks to the k best rows of each query row: q_block, place, query_id, vec_id, over, score.
+
+    ``over`` is the sign of a score beyond 64 bits, which stands at the end of the range, else 0.
+    """
+    least, most = -(1 << 63), (1 << 63) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, block = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 name, dim, ids, values, q_block, q_ids, q_values = (batch.column(c)[r].as_py() for c in range(7))
                 if name != known:
-                    known = name
-                    block = SlicedBlock(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int32).reshape(-1, dim))
+                    known, block = name, None
+                    kept_ids = np.frombuffer(ids, np.int64)
+                    kept_values = _values(values, len(kept_ids), dim)
+                    size = max(16, int(np.abs(kept_values).max()))
                 q_ids = np.frombuffer(q_ids, np.int64)
-                q_values = np.frombuffer(q_values, np.int32).reshape(-1, dim)
+                q_values = _values(q_values, len(q_ids), dim)
+                safe = 2 * dim * size * max(1, int(np.abs(q_values).max())) < SAFE
+                if safe and block is None:
+                    block = SlicedBlock(kept_ids, kept_values)
                 for i in range(0, len(q_ids), AT_ONCE):
-                    rows = list(block.top(q_ids[i:i + AT_ONCE], q_values[i:i + AT_ONCE], k))
+                    asked = q_ids[i:i + AT_ONCE], q_values[i:i + AT_ONCE]
+                    rows = list(block.top(*asked, k) if safe else exact_top(kept_ids, kept_values, *asked, k))
                     at, vec_ids, scores = (np.concatenate(x) for x in zip(*rows))
                     at = at + i
+                    over = np.zeros(len(at), np.int64)
+                    if not safe:
+                        over = np.array([(x > most) - (x < least) for x in scores], np.int64)
+                        scores = np.array([min(max(x, least), most) for x in scores], np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), q_block)), pa.array(at), pa.array(q_ids[at]), pa.array(vec_ids),
-                         pa.array(scores)], names=["q_block", "place", "query_id", "vec_id", "score"])
+                         pa.array(over), pa.array(scores)], names=["q_block", "place", "query_id", "vec_id", "over", "score"])
 
     return run
 
@@ -205,8 +252,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
 
     Each block of the index meets each block of queries of the same dimension once; vectors of
     different lengths have no product. A row is no candidate for queries of its own id.
-    Vectors that are null, empty, or have null, non-finite or too large components take no part,
-    nor do rows without an id. Equal scores rank by smaller id; rows that repeat an id rank each, and a
+    Vectors that are null, empty, or have null or non-finite components, or quantised ones beyond 64
+    bits, take no part, nor do rows without an id. A score of the result beyond 64 bits raises an error. Equal scores rank by smaller id; rows that repeat an id rank each, and a
     query row that repeats an id has a ranking of its own.
     """
     spark = vectors.sparkSession
@@ -224,7 +271,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     pairs = index.select("block", "dim").join(asked, "dim").drop("dim").withColumnRenamed("block", "b")
     met = (index.join(pairs, F.col("block") == F.col("b"))
            .select("block", "dim", "ids", "values", "q_block", "q_ids", "q_values")
-           .mapInArrow(_matched(k), "q_block long, place long, query_id long, vec_id long, score long"))
-    order = Window.partitionBy("q_block", "place").orderBy(F.col("score").desc(), "vec_id")
+           .mapInArrow(_matched(k), "q_block long, place long, query_id long, vec_id long, over long, score long"))
+    order = Window.partitionBy("q_block", "place").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", score.alias("score")))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from frameprobe.llm import topk
@@ -32,6 +33,28 @@ def test_matches_brute_force(spark):
     assert got == want
 
 
+def test_large_finite_vectors_take_part(spark):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) * s for _ in range(6)]) for i, s in enumerate([1, 1e3, 1e5, 1e6] * 60)]
+    rows += [(300, [1e5, -1e5, 0.0, 0.0, 0.0, 0.0]), (301, [-2e6] * 6), (302, [3e5, 3e5, 3e5, -1.0, 0.5, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 150, 300):
+        found = sorted((-sum(x * y for x, y in zip(good[q], b)), i) for i, b in good.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found) if abs(s) < 1 << 63]
+    assert len(want) == 20
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id IN (0, 50, 150, 300)")).collect())) == want
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [1e9]), (1, [1e9]), (2, [-1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(df, df.where("vec_id = 0"), k=1).collect()
+    df = spark.createDataFrame([(0, [1e9]), (1, [1.0]), (2, [-1e9])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(df, df.where("vec_id = 0"), k=1).collect()] == [1]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
