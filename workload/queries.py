@@ -436,8 +436,9 @@ def csv_guards_orders(spark, sf_dir):
     for part in (df, df.select("o_custkey", "o_orderkey", "o_orderstatus")):
         part.write.mode("append").options(header=True).csv(paths["headers"])
     cells = F.concat_ws(",", *df.columns)
-    df.select(F.when(F.col("o_orderstatus") == "P", F.concat(cells, F.lit(",x"))).otherwise(cells)).write.text(
-        paths["surplus"])
+    more = F.when(F.col("o_orderstatus") == "P", F.concat(cells, F.lit(",x"))).otherwise(cells)
+    # one column without a tab, so that neither its name, the header, nor its cells are quoted
+    df.select(more.alias(",".join(df.columns))).write.options(header=True, sep="\t").csv(paths["surplus"])
     df.select(F.lit(" ")).write.text(paths["blank"])
     df.limit(1).select(F.lit("a,b")).write.text(paths["no_rows"])
 
