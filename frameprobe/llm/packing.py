@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,16 +23,46 @@ CAPACITY = 2048
 #: Steps that the search for fillings may take in all; the best packing so far stands then.
 SEARCH_STEPS = 1_500_000
 
-#: Entries of a worker's cache from words to ids; a full cache is emptied.
-CACHE_WORDS = 500_000
+#: Words of a worker's cache from words to ids, in two generations: words that come again move to the young one,
+#: which takes the place of the old one when it is half of this.
+CACHE_WORDS = 600_000
+
+#: New words that are encoded as one string, and about the bytes of texts that are encoded at a time.
+JOINED_WORDS, CHUNK_BYTES = 500, 12 << 20
+
+Ids = bytes  # little-endian 32-bit
+
+
+class _Known(dict):
+    """Ids of words, in two generations."""
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        super().__init__()
+        self.old: dict[str, Ids] = {}
+        self.limit = limit
+
+    def missing(self, words: Iterable[str]) -> set[str]:
+        """The words without ids; those of the old generation become young again."""
+        left = [w for w in words if w not in self]
+        old = self.old.get
+        again = [(w, ids) for w in left if (ids := old(w)) is not None]
+        self.update(again)
+        return set(left).difference([w for w, _ in again])
+
+    def age(self) -> None:
+        if 2 * len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class _Encoder:
     """Ids of texts by a tokenizers file, with the ids of single words kept.
 
     The pattern of byte-level files cuts before a blank that something else than white space
-    follows, so the words between single blanks can be encoded apart. Texts with runs of blanks,
-    a blank at the end, or an added token are encoded whole.
+    follows, and around a single line break between other characters. So the words between single
+    blanks can be encoded apart, or many new ones in one string, in which a token that begins with
+    a blank begins a word. Texts with runs of blanks, a blank at the end, or an added token are
+    encoded whole.
     """
 
     _open: dict[str, "_Encoder"] = {}
@@ -42,8 +73,12 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first, self.later = {}, {}
-        self.marks = dict(zip(",.", self._raw([",", "."])))
+        self.first, self.later = _Known(), _Known()
+        self.comma, self.stop, self.line = self._raw([",", ".", "\n"])
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])[0]
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith(blank)]] = True
 
     @classmethod
     def at(cls, path: str) -> "_Encoder":
@@ -51,32 +86,98 @@ class _Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _raw(self, texts: list[str]) -> list[Ids]:
         return [pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        parts = {i: t.split(" ") for i, t in enumerate(texts)
-                 if "  " not in t and not t.endswith(" ") and not any(a in t for a in self.added)}
-        for known in (self.first, self.later):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        heads = list({p[0] for p in parts.values()} - self.first.keys())
-        self.first.update(zip(heads, self._raw(heads)))
-        tails = set().union(*(p[1:] for p in parts.values())) - self.later.keys()
+    def _joined(self, words: list[str], mark: str) -> Iterator[Ids]:
+        """Ids of each word after a ``mark``, a blank or a line break, which the words do not hold."""
+        line = np.frombuffer(self.line, "<u4")
+        for i in range(0, len(words), JOINED_WORDS):
+            group = words[i:i + JOINED_WORDS]
+            ids = self._raw([mark + mark.join(group)])[0]
+            flat = np.frombuffer(ids, "<u4")
+            at = np.flatnonzero(self.begins[flat] if mark == " " else flat == line[0]) * 4
+            if len(at) == len(group) and len(line) == 1:
+                skip = 0 if mark == " " else 4
+                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)]):
+                    yield ids[a + skip:b]
+            else:  # white space that the pattern joins with the mark
+                yield from self._raw([" " + w if mark == " " else w for w in group])
+
+    def _learn(self, heads: Iterable[str], tails: Iterable[str]) -> None:
+        """Give ids to words at the beginning of a text or line, and to words after a blank."""
+        new = self.later.missing(tails)
+        lines = {w: w.split("\n") for w in new if "\n" in w}
+        lines = {w: p for w, p in lines.items() if len(p) > 1 and p == w.split()}
+        heads = self.first.missing({*heads, *(x for p in lines.values() for x in p[1:])})
+        broken = [w for w in heads if len(w.split()) != 1]
+        self.first.update(zip(broken, self._raw(broken)))
+        heads = list(heads.difference(broken))
+        self.first.update(zip(heads, self._joined(heads, "\n")))
+        new = (new - lines.keys()) | self.later.missing(p[0] for p in lines.values())
         # letters and one mark are two tokens' worth of text for the pattern, so the letters are encoded once
-        ended = {w for w in tails if w[-1:] in (",", ".") and w[:-1].isalpha()}
-        plain = list((tails - ended) | ({w[:-1] for w in ended} - self.later.keys()))
-        self.later.update(zip(plain, self._raw([" " + w for w in plain])))
-        self.later.update((w, self.later[w[:-1]] + self.marks[w[-1]]) for w in ended)
-        get = self.later.__getitem__
-        for i, p in parts.items():
-            out[i] = self.first[p[0]] + b"".join(map(get, p[1:]))
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._raw([texts[i] for i in whole])):
-            out[i] = x
-        return out
+        ended = [w for w in new if w[-1:] in (",", ".") and w[:-1].isalpha()]
+        plain = list(new.difference(ended) | self.later.missing([w[:-1] for w in ended]))
+        self.later.update(zip(plain, self._joined(plain, " ")))
+        self.later.update((w, self.later[w[:-1]] + (self.comma if w[-1] == "," else self.stop)) for w in ended)
+        self.later.update((w, self.later[p[0]] + b"".join(self.line + self.first[x] for x in p[1:])) for w, p in lines.items())
+
+    def _apart(self, texts: pa.Array) -> Iterator[Ids]:
+        """Ids of texts whose words can be encoded apart: each distinct word is looked up once."""
+        parts = pc.split_pattern(texts, " ")
+        begins = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        heads = pc.list_element(parts, 0).to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+        self._learn(heads, words)
+        held = [*map(self.later.__getitem__, words), *map(self.first.__getitem__, heads)]
+        self.first.age()
+        self.later.age()
+        code = coded.indices.to_numpy().copy()
+        code[begins[:-1]] = len(words) + np.arange(len(heads))
+        table = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        n = sizes[code]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1], dtype=np.int32 if max(ends[-1], len(table)) < 1 << 31 else np.int64)
+        at += np.repeat(((np.cumsum(sizes) - sizes)[code] - ends + n).astype(at.dtype), n)
+        flat = table[at].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[begins]).tolist()
+        return (flat[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def __call__(self, texts: pa.Array) -> list[Ids]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        whole = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
+        for added in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, added))
+        apart = texts.filter(pc.invert(whole))
+        made = [self._apart(apart) if len(apart) else iter(()), iter(self._raw(texts.filter(whole).to_pylist()))]
+        return [next(made[w]) for w in whole.to_pylist()]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows anew in batches of about CHUNK_BYTES of text each, a row at least."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + (not held), int(np.searchsorted(ends, done + CHUNK_BYTES - size, "right")))
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                size += int(ends[last - 1] - done)
+            if last < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+            first = last
+    if held:
+        yield joined()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0,
@@ -92,29 +193,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _Encoder.at(tokenizer), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                rows = []
-                for i, ids in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    start = 0
-                    for k in range(-(-n // capacity)):
-                        length = (n - 1) % capacity + 1 if k == 0 else capacity
-                        cut = ids[4 * start:4 * (start + length)]
-                        rows.append((i, k, start, length, zlib.crc32(cut), seen[length], cut))
-                        seen[length] += 1
-                        start += length
-                at, k, start, length, crc, rank, cut = zip(*rows)
-                arrays = [some.column(0).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
-                          pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                          pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-                if with_ids:
-                    arrays.append(pa.array([np.frombuffer(c, "<i4") for c in cut], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for some in _chunks(batches, 1):
+            rows = []
+            for i, ids in enumerate(encode(some.column(1))):
+                ids += end
+                n = len(ids) // 4
+                start = 0
+                for k in range(-(-n // capacity)):
+                    length = (n - 1) % capacity + 1 if k == 0 else capacity
+                    cut = ids[4 * start:4 * (start + length)]
+                    rows.append((i, k, start, length, zlib.crc32(cut), seen[length], cut))
+                    seen[length] += 1
+                    start += length
+            at, k, start, length, crc, rank, cut = zip(*rows)
+            arrays = [some.column(0).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
+                      pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                      pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
+            if with_ids:
+                arrays.append(pa.array([np.frombuffer(c, "<i4") for c in cut], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -16,9 +17,13 @@ TEXTS = ["a  b", "a \n b\n", "end ", " start", "x  y", "don't  stop's", "<|endo
 def test_words_apart_give_the_ids_of_the_whole():
     r = random.Random(3)
     texts = TEXTS + ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "'s", "9", ".", "é", " "]) for _ in range(30)) for _ in range(400)]
+    texts += [" ".join(r.choice(["Ab", "cd,", "ef.", "g\nHi", "9\n", "\tx", "\u0085", "j.\nK,\nL", "\x1c", "###"]) for _ in range(12)) for _ in range(400)]
+    texts += [None, "", *(f"w{i}" for i in range(30)), " ".join(f"w{i} v{i}\nu{i}" for i in range(1500))]
     plain = Tokenizer.from_file(PATH)
     encode = packing._Encoder(PATH)
-    for t, ids in zip(texts, encode(texts)):
+    encode.first.limit = encode.later.limit = 50  # generations change with every call
+    made = [ids for k in range(0, len(texts), 9) for ids in encode(pa.array(texts[k:k + 9]))]
+    for t, ids in zip([x or "" for x in texts], made, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
