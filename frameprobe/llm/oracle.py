@@ -68,3 +68,29 @@ FROM t c LEFT JOIN r ON c.conv_id = r.conv_id AND c.own = r.call AND r.k = 1 WHE
 UNION ALL
 SELECT conv_id, call, NULL, NULL, turn, 'orphan', false, json_merge_patch('{}', json_object('id', call, 'result', text))
 FROM t WHERE role = 'assistant' AND call IS NULL"""
+
+ORACLE["op13_filters"] = rf"""
+WITH w AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+f AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+                    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+                    coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails,
+             EXISTS (FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+             EXISTS (FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS bad FROM w),
+g AS (SELECT part, fails, list_filter(range(1, 6), lambda i: fails[i]) AS failed, count(*) AS n,
+             count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, o, x AS step, o[x] AS own, list_has_any(failed, o[:x]) AS gone, list_has_any(failed, o[:x - 1]) AS before,
+             failed, n, good, bad FROM g, o, l),
+r AS (SELECT part, o, step, own,
+             sum(n) FILTER (NOT gone) AS kept, sum(n) FILTER (gone AND NOT before) AS removed,
+             sum(n) FILTER (before AND list_contains(failed, own)) AS redundant, sum(n) FILTER (failed = [own]) AS alone,
+             sum(good) FILTER (gone AND NOT before) AS good_lost, sum(bad) FILTER (gone AND NOT before) AS toxic_lost
+      FROM s GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INTEGER AS step,
+       coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(alone, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM r"""

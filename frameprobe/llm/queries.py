@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.llm import (
-    chat, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
+    audit, chat, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,8 @@ def op4_chat(spark, sf_dir):
 @query
 def op4_turns(spark, sf_dir):
     return chat.every_turn(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_filters(spark, sf_dir):
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
