@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.llm import (
-    audit, chat, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
+    audit, chat, mixing, neighbours, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ def op4_turns(spark, sf_dir):
 @query
 def op13_filters(spark, sf_dir):
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
