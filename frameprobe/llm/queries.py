@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.llm import (
-    audit, chat, mixing, neighbours, packing, quality, repeats, secrets, simhash, topk, toxicity, warc)
+    audit, chat, mixing, neighbours, packing, periodic, quality, repeats, secrets, simhash, topk, toxicity, warc)
+from frameprobe.llm.tables import short_batches
 from frameprobe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +113,40 @@ def op13_filters(spark, sf_dir):
 @query
 def op11_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one document of ten, by the CRC-32 of its id, the words from one on repeat a block."""
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = zlib.crc32(str(doc_id).encode())
+                words = (text or "").encode().split() if doc_id is not None and h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    block = words[a:a + p]
+                    text = b" ".join(words[:a] + (block * (1 + (n - a) // p))[:n - a]).decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    short_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, rows.schema)
+
+
+@query
+def op12_runs(spark, sf_dir):
+    found = periodic.periodic_runs(_planted(table(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    best = F.try_element_at(F.array_sort(F.transform(
+        runs, lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(1))
+    length = -best["shorter"]
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), best["start"].alias("start"), length.alias("length"),
+        best["period"].alias("period"), F.call_function("div", 1000 * length, best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
