@@ -74,6 +74,31 @@ def date_like(value: Column) -> Column:
     return F.when(value.rlike(DATE_OUTLINE), strip(value))
 
 
+#: The commonest forms, which need no trimming: a day in digits, and a moment of 19 characters.
+PLAIN_DAY = "^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$"
+PLAIN_MOMENT = "^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}$"
+
+
+def alike_moment(value: Column) -> Column:
+    """``alike`` for a PLAIN_MOMENT, without patterns."""
+    hour, minute, second = (F.substring(value, at, 2) for at in (12, 15, 18))
+    hour = F.when(hour.between("01", "12"), "01").when(hour <= "23", "00").otherwise(hour)
+    return F.concat(F.substring(value, 1, 11), hour, *[
+        F.concat(F.lit(":"), F.when(x <= "59", "00").otherwise(x)) for x in (minute, second)])
+
+
+def alike(value: Column) -> Column:
+    """A trimmed date text with another time of day that the same formats read.
+
+    Hours from 1 to 12 become 1, others 0, minutes and seconds 0, fractions 9; what is no hour or minute
+    stays as it is, and so does the day. So a column has about as many of these as it has days.
+    """
+    hour = F.regexp_replace(value, "(?<sep>[ T])(0?[1-9]|1[0-2]):", "${sep}1:")
+    hour = F.regexp_replace(hour, "(?<sep>[ T])(00?|1[3-9]|2[0-3]):", "${sep}0:")
+    rest = F.regexp_replace(F.regexp_replace(hour, ":[0-5][0-9]", ":00"), ":[0-9](?![0-9])", ":0")
+    return F.when(value.rlike("[ T][0-9]+:"), F.regexp_replace(rest, r"\.[0-9]{1,9}(?![0-9])", ".9")).otherwise(value)
+
+
 def shape_of(value: Column) -> Column:
     """The number of the one shape that a trimmed text has, NULL where it has none."""
     return F.coalesce(*[F.when(value.rlike(s), F.lit(i)) for i, s in enumerate(SHAPES)])
