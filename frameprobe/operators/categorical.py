@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from frameprobe.functions.columns import as_text, melt
@@ -15,8 +16,8 @@ from frameprobe.operators.columns import CAT_CAT_LEVELS, grouping_names
 MAX_CATEGORIES = 15
 MAX_CAT_CAT_PAIRS = 30
 MIN_ROWS = 5
-# Grouping columns whose combinations stay below this are counted together, once.
-JOINT_CELLS = 100_000
+# Cells and levels that a task holds before it hands them on.
+CELLS = 200_000
 
 
 def category_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
@@ -50,24 +51,91 @@ def category_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
                 "rank", "missing", "shown"))
 
 
-def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                levels: dict[str, int] | None = None) -> DataFrame:
+class _Products:
+    """Products of the one-hot columns of a task's rows: counts of the cells of every column pair.
+
+    Levels are numbered as they appear, 0 for a missing one. For each batch the product of two
+    columns is taken over the occupied cells only; products are added up until CELLS are held.
+    """
+
+    def __init__(self, pairs: Sequence[tuple[int, int]], columns: int):
+        self.pairs = pairs
+        self.columns = columns
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes: list[dict[str, int]] = [{} for _ in range(self.columns)]
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.pairs]
+        self.held = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        numbered = [self._numbered(batch.column(i), known) for i, known in enumerate(self.codes)]
+        for parts, (a, b) in zip(self.parts, self.pairs):
+            width = len(self.codes[b]) + 1
+            cells = numbered[a] * width + numbered[b]
+            if (len(self.codes[a]) + 1) * width <= 4 * len(cells):
+                counts = np.bincount(cells, minlength=1)
+                cells = np.flatnonzero(counts)
+                counts = counts[cells]
+            else:
+                cells, counts = np.unique(cells, return_counts=True)
+            left, right = cells // width, cells % width
+            both = (left > 0) & (right > 0)
+            parts.append((left[both] << 32 | right[both], counts[both]))
+            self.held += int(both.sum())
+        if self.held > CELLS:
+            self.held = 0
+            for parts in self.parts:
+                cells, counts = (np.concatenate(x) for x in zip(*parts))
+                cells, at = np.unique(cells, return_inverse=True)
+                parts[:] = [(cells, np.bincount(at, counts, len(cells)).astype(np.int64))]
+                self.held += len(cells)
+
+    @staticmethod
+    def _numbered(column: pa.Array, known: dict[str, int]) -> np.ndarray:
+        """The number of each value; null is 0."""
+        coded = column.dictionary_encode()
+        number = np.array([known.setdefault(v, len(known) + 1) for v in coded.dictionary.to_pylist()] + [0], np.int64)
+        return number[coded.indices.fill_null(len(number) - 1).to_numpy()]
+
+    def full(self) -> bool:
+        return self.held > CELLS or sum(map(len, self.codes)) > CELLS
+
+    def handed(self) -> Iterator[pa.RecordBatch]:
+        """(pair, value1, value2, count) of what is held, which is then forgotten."""
+        names = [pa.array(list(known), pa.string()) for known in self.codes]
+        for k, (parts, (a, b)) in enumerate(zip(self.parts, self.pairs)):
+            if parts:
+                cells, counts = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cells), k, np.int32)), names[a].take(pa.array((cells >> 32) - 1)),
+                     names[b].take(pa.array((cells & 0xFFFFFFFF) - 1)), pa.array(counts.astype(np.int64))],
+                    names=["pair", "value1", "value2", "count"])
+        self._clear()
+
+
+def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(pair, value1, value2, count) over the complete rows of every column pair.
 
-    When all columns together have few combinations, the table is first reduced to their joint
-    counts in one grouping; the pairs are then counted over that small table.
+    One scan for all pairs, in which no row is copied: each task multiplies the one-hot columns of
+    its rows, and Spark adds up the cells.
     """
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    text = df.select(*[as_text(df, n).alias(f"c{i}") for i, n in enumerate(names)],
-                     F.lit(1).cast("bigint").alias("weight"))
-    if levels and math.prod(levels[n] + 1 for n in names) <= JOINT_CELLS:
-        text = text.groupBy(*[f"c{i}" for i in range(len(names))]).agg(F.sum("weight").alias("weight"))
-    at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
-    records = [(F.lit(k), at[a], at[b]) for k, (a, b) in enumerate(pairs)]
-    return (
-        melt(text, records, ("pair", "value1", "value2"), keep=[F.col("weight")])
-        .filter(F.col("value1").isNotNull() & F.col("value2").isNotNull())
-        .groupBy("pair", "value1", "value2").agg(F.sum("weight").alias("count")))
+    at = {n: i for i, n in enumerate(names)}
+    wanted = [(at[a], at[b]) for a, b in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products = _Products(wanted, len(names))
+        for batch in batches:
+            if batch.num_rows:
+                products.add(batch)
+            if products.full():
+                yield from products.handed()
+        yield from products.handed()
+
+    text = df.select(*[as_text(df, n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    return (text.mapInArrow(run, "pair int, value1 string, value2 string, count long")
+            .groupBy("pair", "value1", "value2").agg(F.sum("count").alias("count")))
 
 
 def _pair_names(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -82,14 +150,13 @@ def crosstab(df: DataFrame, col1: str, col2: str) -> DataFrame:
         "col1", "col2", "value1", "value2", "count")
 
 
-def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]],
-              levels: dict[str, int] | None = None) -> DataFrame:
+def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(col1, col2, n, chi2, v) per pair: chi-square and Cramer's V without corrections.
 
     -1 marks a pair with under 5 complete rows or a side with one level. Needs the occupied cells
     only: chi2 = n * (sum of count^2 / (row total * column total) - 1).
     """
-    cells = contingency(df, pairs, levels)
+    cells = contingency(df, pairs)
     # Joins rather than windows: a value with unboundedly many partners must not fill one task, and
     # adaptive execution splits it here. Totals of grouping columns are small and get broadcast.
     rows = cells.groupBy("pair", "value1").agg(F.sum("count").alias("r"))
@@ -112,26 +179,25 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]],
 
 
 def cramers_ranking(df: DataFrame, max_pairs: int = MAX_CAT_CAT_PAIRS,
-                    id_cols: Iterable[str] = (), levels: dict[str, int] | None = None) -> DataFrame:
+                    id_cols: Iterable[str] = (), columns: Iterable[str] | None = None) -> DataFrame:
     """(col1, col2, n, chi2, v, rank): pairs of grouping columns, strongest association first."""
-    if levels is None:
-        levels = grouping_names(df, CAT_CAT_LEVELS, id_cols)
-    pairs = list(combinations(levels, 2))
+    if columns is None:
+        columns = grouping_names(df, CAT_CAT_LEVELS, id_cols)
+    pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "col1 string, col2 string, n long, chi2 double, v double, rank int")
     order = (F.desc(ranked("v")), "pair")
     # One row per column pair, so a single ordered partition is small.
-    return (cramers_v(df, pairs, levels).filter(F.col("v") >= 0)
+    return (cramers_v(df, pairs).filter(F.col("v") >= 0)
             .orderBy(*order).limit(max_pairs)
             .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("col1", "col2", "n", "chi2", "v", "rank"))
 
 
-def crosstab_percent(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                     levels: dict[str, int] | None = None) -> DataFrame:
+def crosstab_percent(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(col1, col2, value1, value2, count, pct): row percentages, empty cells included."""
-    cells = contingency(df, pairs, levels)
+    cells = contingency(df, pairs)
     # One row per level on either side, joined on the pair: the cells themselves are what is asked for.
     grid = (cells.select("pair", "value1").distinct().join(cells.select("pair", "value2").distinct(), "pair")
             .select("pair", "value1", "value2", F.lit(0).cast("bigint").alias("count")))

@@ -194,7 +194,7 @@ class Analysis:
 
     @cached_property
     def cat_cat_rows(self) -> list:
-        return categorical.cramers_ranking(self.df, levels=self.grouping(CAT_CAT_LEVELS)).collect()
+        return categorical.cramers_ranking(self.df, columns=self.grouping(CAT_CAT_LEVELS)).collect()
 
     @property
     def cat_cat(self) -> DataFrame:
@@ -208,7 +208,7 @@ class Analysis:
         if not pairs:
             return self.spark.createDataFrame(
                 [], "col1 string, col2 string, value1 string, value2 string, count long, pct double")
-        return categorical.crosstab_percent(self.df, pairs, self.grouping(CAT_CAT_LEVELS))
+        return categorical.crosstab_percent(self.df, pairs)
 
     # --- manifest ------------------------------------------------------------------------------
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,10 +64,11 @@ def test_no_grouping_columns(spark):
     assert grouped.grouped_box(df, []).count() == 0
 
 
-@pytest.mark.parametrize("levels", [None, {"cat": 4, "near": 5, "noise": 2}])
-def test_cramers_v_equals_the_full_table(df, frame, rows, levels):
+@pytest.mark.parametrize("cells", [200_000, 5])
+def test_cramers_v_equals_the_full_table(df, frame, rows, cells, monkeypatch):
+    monkeypatch.setattr(categorical, "CELLS", cells)  # what a task holds: everything, or next to nothing
     pairs = [("cat", "near"), ("cat", "noise"), ("near", "noise")]
-    for r in rows(categorical.cramers_v(df, pairs, levels)):
+    for r in rows(categorical.cramers_v(df, pairs)):
         complete = frame[[r["col1"], r["col2"]]].dropna()
         assert r["n"] == len(complete)
         assert r["v"] == pytest.approx(v_of(complete, r["col1"], r["col2"]))
@@ -154,3 +157,23 @@ def test_percentages_of_a_column_with_many_levels(spark):
     df = spark.range(1_200).select(F.concat(F.lit("k"), F.col("id")).alias("a"), (F.col("id") % 2).cast("string").alias("b"))
     got = categorical.crosstab_percent(df, [("a", "b")])
     assert got.count() == 2_400 and got.agg(F.sum("count")).first()[0] == 1_200
+
+
+def test_products_of_many_levels_are_flushed_and_added(spark, monkeypatch):
+    """Levels that appear again after a flush get new numbers; their cells are still added up."""
+    monkeypatch.setattr(categorical, "CELLS", 50)
+    data = [(f"a{i % 97}", f"b{i % 41}" if i % 7 else None, f"c{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(data, "a string, b string, c string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = {(r.pair, r.value1, r.value2): r["count"]
+               for r in categorical.contingency(df, [("a", "b"), ("c", "a"), ("b", "b")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = Counter()
+    for a, b, c in data:
+        want[1, c, a] += 1
+        if b is not None:
+            want[0, a, b] += 1
+            want[2, b, b] += 1
+    assert got == dict(want)

@@ -217,6 +217,27 @@ def cramers(source: str, pairs: list[tuple[str, str]]) -> str:
         FROM ({" UNION ALL ".join(parts)})"""
 
 
+GRADES = ["l_returnflag", "l_linestatus", *(f"g{k}" for k in range(20))]
+
+
+def cramers_of_many() -> str:
+    """All pairs of GRADES over rows in long form, chi-square over the whole tables."""
+    cells = ", ".join(
+        f"CASE WHEN l_partkey % {11 + k} <> 0 THEN 'g' || ((l_orderkey * {k + 3} + l_suppkey + l_linenumber * {k}) % {2 + k % 8}) END"
+        for k in range(20))
+    return f"""WITH s AS (SELECT row_number() OVER () AS id, [l_returnflag, l_linestatus, {cells}] AS vs FROM lineitem),
+    l AS (SELECT id, unnest(range(1, 23)) AS pos, unnest(vs) AS v FROM s),
+    o AS (SELECT a.pos AS pa, b.pos AS pb, a.v AS va, b.v AS vb, count(*) AS o FROM l a JOIN l b ON a.id = b.id
+          AND a.pos < b.pos AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL),
+    r AS (SELECT pa, pb, va, sum(o) AS rt FROM o GROUP BY ALL), c AS (SELECT pa, pb, vb, sum(o) AS ct FROM o GROUP BY ALL),
+    t AS (SELECT pa, pb, sum(o) AS n, count(DISTINCT va) AS rows, count(DISTINCT vb) AS cols FROM o GROUP BY ALL),
+    x AS (SELECT pa, pb, any_value(n)::BIGINT AS n, any_value(least(rows, cols)) AS k,
+                 sum(pow(coalesce(o, 0) - rt * ct / n, 2) / (rt * ct / n)) AS chi2
+          FROM r JOIN c USING (pa, pb) JOIN t USING (pa, pb) LEFT JOIN o USING (pa, pb, va, vb) GROUP BY ALL)
+    SELECT {GRADES}[pa] AS col1, {GRADES}[pb] AS col2, n, round(chi2, 6) AS chi2,
+        round(least(1, sqrt(chi2 / (n * (k - 1)))), 6) AS v FROM x"""
+
+
 def eta(source: str, cats: list[str], nums: list[str]) -> str:
     parts = []
     for i, c in enumerate(cats):
@@ -478,6 +499,7 @@ def build() -> dict[str, str]:
             row_number() OVER (ORDER BY round(v, 12) DESC, ord)::INT AS rank FROM
             ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
                                       ("o_orderpriority", "costly")])})""",
+        "cramers_many_lineitem": cramers_of_many(),
         "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM
             {eta("lineitem", ["l_returnflag", "l_linestatus"], LINEITEM_NUM)}""",
         "eta_many_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM {eta(

@@ -267,6 +267,20 @@ def cramers_rank_orders(spark, sf_dir):
     return rounded(categorical.cramers_ranking(df))
 
 
+def graded_lineitem(df: DataFrame) -> DataFrame:
+    """22 grouping columns: both flags, and remainders of the keys, some of them missing."""
+    grades = [F.expr(f"CASE WHEN l_partkey % {11 + k} = 0 THEN NULL ELSE "
+                     f"concat('g', (l_orderkey * {k + 3} + l_suppkey + l_linenumber * {k}) % {2 + k % 8}) END").alias(f"g{k}")
+              for k in range(20)]
+    return df.select("l_returnflag", "l_linestatus", *grades)
+
+
+@query
+def cramers_many_lineitem(spark, sf_dir):
+    """All pairs of 22 grouping columns."""
+    return rounded(categorical.cramers_ranking(graded_lineitem(table(spark, sf_dir, "lineitem")), 1000).drop("rank"))
+
+
 ETA_CATS = {"l_returnflag": 3, "l_linestatus": 2, "line": 7, "month": 12, "day": 31}
 
 
