@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from frameprobe.llm.arrays import WHITE, SpanHash, chunks, mix64, spans, words
+from frameprobe.llm.arrays import chunks, mix64, words
 from frameprobe.llm.tables import ROW, guarded, map_texts, numbered, settled, small
 
 SYMBOLS = np.zeros(256, bool)
@@ -26,20 +27,36 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LINE = StructType([StructField("line", LongType()), StructField("whole", LongType()), StructField("words", LongType())])
 
 
-def _twice(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the same key occurs again in the same text, and whether it occurred before."""
-    mixed = mix64(key ^ mix64(text.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(mixed, kind="stable")
-    same = mixed[order][1:] == mixed[order][:-1]
-    again, before = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    before[order[1:]] = same
-    again[order[1:]] = same
-    again[order[:-1]] |= same
-    return again, before
+def _repeated(text: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows, by their first words ``at``, that occur again in the same text.
+
+    They are sorted by a hash and neighbours compared word by word; should two windows of one hash
+    differ, they are sorted by their words instead.
+    """
+    key = mix64(text[at].astype(np.uint64) + np.uint64(1))
+    for k in range(WINDOW):
+        key = mix64(key + word[at + k].astype(np.uint64) * np.uint64(2 * k + 3))
+
+    def neighbours(order: np.ndarray) -> np.ndarray:
+        a, b = at[order[:-1]], at[order[1:]]
+        equal = text[a] == text[b]
+        for k in range(WINDOW):
+            equal &= word[a + k] == word[b + k]
+        return equal
+
+    order = np.argsort(key, kind="stable")
+    equal = neighbours(order)
+    if (equal != (key[order[1:]] == key[order[:-1]])).any():
+        order = np.lexsort([*(word[at + k] for k in range(WINDOW)), text[at]])
+        equal = neighbours(order)
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = equal
+    again[order[:-1]] |= equal
+    return at[again]
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """COUNTS of each text, as rows."""
+    """COUNTS of each text, as rows; words and lines are compared by their bytes."""
     n = len(offsets) - 1
     out = np.zeros((len(COUNTS), n), np.int64)
     starts, ends, text = words(data, offsets)
@@ -48,21 +65,17 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[1] = np.bincount(text, leads[ends] - leads[starts], n).astype(np.int64)
     sums = np.concatenate([[0], np.cumsum(SYMBOLS[data], dtype=np.int64)])
     out[2] = sums[offsets[1:]] - sums[offsets[:-1]]
-    hashes = SpanHash(data, 1)
-    begin, end, of = spans(data == 10, offsets)
-    running = np.concatenate([[0], np.cumsum(~WHITE[data], dtype=np.int64)])
-    real = running[end] > running[begin]
-    begin, end, of = begin[real], end[real], of[real]
-    out[3] = np.bincount(of[_twice(of, hashes.of(begin, end))[1]], minlength=n)
+    raw, cuts = data.tobytes(), offsets.tolist()
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    codes = []
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
+        out[3, i] = len(lines) - len(set(lines))
+        codes.append(np.fromiter(map(number.__getitem__, raw[a:b].split()), np.int64, int(out[0, i])))
     if len(starts) >= WINDOW:
-        word = hashes.of(starts, ends)
         last = len(starts) - WINDOW + 1
-        gram = np.zeros(last, np.uint64)
-        for k in range(WINDOW):
-            gram = mix64(gram + word[k:k + last] * np.uint64(2 * k + 3))
-        inside = text[:last] == text[WINDOW - 1:]
-        at = np.flatnonzero(inside)
-        at = at[_twice(text[at], gram[at])[0]]
+        at = _repeated(text, np.concatenate(codes), np.flatnonzero(text[:last] == text[WINDOW - 1:]))
         cover = np.zeros(len(starts) + 1, np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + WINDOW, -1)
@@ -113,8 +126,8 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
     ``most_repeated`` percent of them in repeated windows. A line is above the limit of its host
     if more than ``line_share`` of the host's documents, and more than ``least_documents``, hold it;
     such lines are removed, and a document with less than ``least_left`` of its words left is
-    rejected. Documents of the same lines count once (see ``folded_lines``), so the lines of copies
-    are not taken for boilerplate. A null text is empty and fails; a null
+    rejected. Documents of the same lines count once (see ``folded_lines``), among those that hold a line
+    and among those of the host: copies neither make boilerplate nor hide it. A null text is empty and fails; a null
     host is a host of its own; repeated rows are judged alike. ``with_lines`` adds __gone, the hashes
     of a row's lines above the limit, null if it has none.
     """
@@ -122,7 +135,8 @@ def judged(docs: DataFrame, host: str = "source", least_words: int = 20, most_re
     wanted = docs.drop(*COUNTS, "base_failed", "removed_words", "kept")
     scan = numbered(map_texts(wanted, "text", [*fields, StructField("__lines", ArrayType(LINE))], _scan, drop_text), "quality")
     lines = scan.select(F.col(host).alias("host"), ROW, F.explode("__lines").alias("l")).select("host", ROW, "l.*")
-    sizes = small(scan.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("documents")))
+    contents = scan.select(F.col(host).alias("host"), F.try_element_at("__lines", F.lit(1))["whole"].alias("whole")).distinct()
+    sizes = small(contents.groupBy("host").agg(F.count("*").alias("documents")))
     common = (lines.select("host", "line", "whole").distinct().groupBy("host", "line")
               .agg(F.count("*").alias("holders")).where(F.col("holders") > least_documents))
     above = small(common.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))

@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from corpus_pipeline import quality_rules
 from frameprobe.llm import quality
 
@@ -82,3 +85,66 @@ def test_kept_texts_lose_the_lines_above_the_limit(spark):
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert quality_rules(spark, docs, "").schema == docs.schema
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_lines_that_polynomial_hashes_mix_up_differ(spark):
+    texts = ["\n".join([thue_morse(n), thue_morse(n, True)]) for n in (1024, 2048, 8192)]
+    texts += [" ".join([thue_morse(1024), *"cdefghi", thue_morse(1024, True), *"cdefghi"]), "x y z w v u t s r " * 3]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: tuple(r[c] for c in quality.COUNTS) for r in quality.judged(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    texts = [t.encode() for t in ("a b c d e f g h i a b c d e f g h", "q w e r t y u i o p", "", "z " * 20)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    want = quality.counts(data, offsets)
+    monkeypatch.setattr(quality, "mix64", lambda x: np.zeros_like(x))
+    assert (quality.counts(data, offsets) == want).all()
+    assert [tuple(x) for x in want.T.tolist()] == [brute(t.decode()) for t in texts]
+
+
+def verdicts(rows):
+    """kept and removed words of each row, line by line, over distinct documents."""
+    def folded(line):
+        return " ".join(WORD.findall("".join(c.lower() if "A" <= c <= "Z" else "0" if c in "0123456789" else c for c in line)))
+
+    held, hosts = {}, {}
+    for _, text, host in rows:
+        lines = frozenset(filter(None, map(folded, (text or "").split("\n"))))
+        hosts.setdefault(host, set()).add(lines)
+        for line in lines:
+            held.setdefault((host, line), set()).add(lines)
+    out = {}
+    for i, text, host in rows:
+        n, _, _, _, repeated = brute(text)
+        gone = 0
+        for line in (text or "").split("\n"):
+            holders = len(held.get((host, folded(line)), ()))
+            if holders > 10 and holders > 0.005 * len(hosts[host]):
+                gone += len(WORD.findall(line))
+        out[i] = not (n < 20 or 100 * repeated > 30 * n) and n - gone >= 0.3 * n, gone
+    return out
+
+
+def test_verdict_against_brute_force_with_copies_in_the_host(spark):
+    """Copies of another document neither hide a shared line nor make one."""
+    r = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    shared = [prose(12) for _ in range(3)]
+    rows = [(i, "\n".join([*r.sample(shared, r.randrange(1, 4)), prose(r.randrange(5, 40))]), r.choice(["h", "h", None])) for i in range(60)]
+    copied = prose(30) + "\n" + prose(30)
+    rows += [(1000 + i, copied, "h") for i in range(8000)] + [(9500 + i, r.choice(["", None, " \n"]), "h") for i in range(50)]
+    rows += [(9600 + i, shared[0] + "\n" + prose(30), "rare") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: (x.kept, x.removed_words) for x in quality.judged(docs).collect()}
+    assert got == verdicts(rows)
+    assert {v[1] > 0 for v in got.values()} == {True, False} and not all(v[0] for i, v in got.items() if i < 60)
