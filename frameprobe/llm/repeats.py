@@ -12,16 +12,15 @@ make one task large; the windows of those phrases are dealt out by fingerprint i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from frameprobe.llm.arrays import CHUNK_BYTES, SpanHash, bytes_of, mix64
-from frameprobe.llm.tables import settled, written
+from frameprobe.llm.tables import ROW, numbered, settled, small, written
 
 #: Bytes of a trigger.
 GRAM = 24
@@ -32,16 +31,15 @@ HELD_BYTES = 16 << 20
 #: Phrases of one trigger that are gathered in one place: from one task's text, and from all.
 HOT_HERE, HOT_IN_ALL = 64, 4_096
 
-#: Buckets of phrases for each shuffle partition.
-BUCKETS = 8
+#: Buckets of phrases for each shuffle partition, and bytes of text for a bucket: what a task holds at a time.
+BUCKETS, BUCKET_BYTES = 8, 4 << 20
 
 #: Documents without an id come after all others, as one id.
 LAST = np.iinfo(np.int64).max
 
-# A place in a document in 64 bits: start, number of windows, and a check sum of the text, which
-# tells rows apart that repeat a doc_id.
+# A place in a document in 64 bits: start, number of windows, and the text's number among those of its doc_id.
 START, COUNT = np.uint64(33), np.uint64(26)
-SUM = (1 << 26) - 1
+MARKS = 1 << 26
 
 PHRASE = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("place", "<u8")])
 PLACE = np.dtype([("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("place", "<u8")])
@@ -68,7 +66,7 @@ def _count(place: np.ndarray) -> np.ndarray:
 
 
 def _mark(place: np.ndarray) -> np.ndarray:
-    return (place & np.uint64(SUM)).astype(np.int64)
+    return (place & np.uint64(MARKS - 1)).astype(np.int64)
 
 
 def in_order(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,9 +293,8 @@ def _parse(match: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(match, gram, buckets)
         for batch in batches:
-            doc = batch.column(0).fill_null(LAST).to_numpy()
-            data, offsets = bytes_of(batch.column(1))
-            mark = np.array([zlib.crc32(data[a:b]) & SUM for a, b in zip(offsets, offsets[1:])], np.int64)
+            doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            data, offsets = bytes_of(batch.column(2))
             i, n = 0, len(doc)
             while i < n:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
@@ -453,27 +450,49 @@ def _merged(rows: list[list[int]]) -> pa.RecordBatch:
                                        pa.array(end, pa.int64())], names=["doc", "mark", "start", "end"])
 
 
-def _with_mark(docs: DataFrame) -> DataFrame:
-    """doc, mark and text of the rows, as the parser names them."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"),
-                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(SUM)).cast("int").alias("mark"),
-                       "doc_id", "text")
-
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc, mark, doc_id, text of the rows, written once, and the bytes of all texts.
 
-def repeated_spans(docs: DataFrame, match: int = 100, gram: int = GRAM) -> DataFrame:
-    """doc, mark, spans: the maximal runs of bytes that an earlier ``match``-byte string repeats."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * BUCKETS
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    parse = rows.mapInArrow(_parse(match, gram, buckets), RESULT)
+    ``doc`` gives the order of documents, and ``mark`` numbers the distinct texts of a doc_id: equal rows
+    share both, all others differ. Nearly all marks are 0; the others are found by counts for each
+    written part, so that rows of one doc_id, or without one, need not come into one task. Rows without
+    a doc_id come last; from MARKS texts of them on, in blocks of that many.
+    """
+    seen = Observation()
+    rows = numbered(docs.select("doc_id", "text").observe(seen, F.sum(F.octet_length("text")).alias("bytes")), "texts")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
+    ids = rows.select(doc.alias("doc"), ROW, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    several = ids.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    texts = settled(ids.join(several, "doc"))
+    leads = texts.groupBy("doc", "digest").agg(F.min(ROW).alias("lead")).withColumn("part", F.shiftright("lead", 33))
+    earlier = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = leads.groupBy("doc", "part").agg(F.count("*").alias("n")).select(
+        "doc", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    nth = F.col("base") + F.row_number().over(Window.partitionBy("doc", "part").orderBy("lead")) - 1
+    numbers = leads.join(bases, ["doc", "part"]).select("doc", "digest", nth.alias("nth")).where("nth > 0")
+    marks = small(texts.join(numbers, ["doc", "digest"]).select(ROW, "nth"))
+    block = F.when(F.col("nth") < MARKS, F.lit(0)).when(F.col("doc_id").isNull(), F.shiftright("nth", 26)).otherwise(
+        F.raise_error(F.lit(f"more than {MARKS} texts of one doc_id")).cast("long"))
+    keyed = rows.join(marks, ROW, "left").withColumn("nth", F.coalesce("nth", F.lit(0).cast("long"))).select(
+        (doc - block).alias("doc"), F.col("nth").bitwiseAND(MARKS - 1).cast("int").alias("mark"), "doc_id", "text")
+    return keyed, seen.get["bytes"] or 0
+
+
+def repeated_spans(keyed: DataFrame, size: int, match: int = 100, gram: int = GRAM) -> DataFrame:
+    """doc, mark, spans: the maximal runs of bytes that an earlier ``match``-byte string repeats.
+
+    ``keyed`` has doc, mark and text, ``size`` bytes in all.
+    """
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts * BUCKETS, size // BUCKET_BYTES)
+    parse = keyed.select("doc", "mark", "text").mapInArrow(_parse(match, gram, buckets), RESULT)
     # rows that need no bucket stay spread over all of them
     spread = F.coalesce("bucket", F.pmod(F.hash("doc", "start"), F.lit(buckets)))
     settled_phrases = written(parse.repartition(parts, spread).sortWithinPartitions("bucket")
                               .mapInArrow(_settle_phrases(match, buckets), RESULT), "phrases")
     unsettled = (settled_phrases.where(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc", "mark")
                  .agg(F.collect_list(F.struct("kind", "bucket", "start", "end")).alias("phrases")))
-    texts = (_with_mark(docs).drop("doc_id").join(settled(unsettled), ["doc", "mark"])
-             .select("doc", "mark", "text", "phrases"))
+    texts = keyed.join(settled(unsettled), ["doc", "mark"]).select("doc", "mark", "text", "phrases")
     made = written(texts.mapInArrow(_open_windows(match, buckets), RESULT), "windows")
     kinds = F.col("kind").isin(TEXTS, WINDOWS)
     every = settled_phrases.where(kinds).unionByName(made.where(kinds))
@@ -491,13 +510,14 @@ def deduplicated(docs: DataFrame, match: int = 100, with_kept: bool = False) ->
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a ``match``-byte string over it also
     starts earlier: at a smaller doc_id, or an earlier byte of the same doc_id. Rows that repeat a
-    doc_id are one document by that rule; equal starts are not earlier, so equal rows
-    are judged alike. Rows without a doc_id come last, as one document. Texts shorter than ``match``
-    are kept.
+    doc_id are one document by that rule, but judged each by its own bytes; equal starts are not
+    earlier, so equal rows are judged alike. Rows without a doc_id come last, as one document (from
+    MARKS of them on, as one for every MARKS). Texts shorter than ``match`` are kept; very long ones are
+    parsed in stretches. Extra columns are not read; a table without rows gives none.
     """
-    spans = repeated_spans(docs, match)
-    joined = (_with_mark(docs).join(settled(spans), ["doc", "mark"], "left")
-              .select("doc_id", "text", "spans"))
+    keyed, size = _keyed(docs)
+    spans = repeated_spans(keyed, size, match)
+    joined = keyed.join(settled(spans), ["doc", "mark"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     schema += ", kept binary" * with_kept

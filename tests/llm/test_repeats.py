@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -62,3 +63,27 @@ def test_span_hashes_depend_on_content_only():
     a, b = np.array([0, 4, 12]), np.array([4, 8, 16])
     assert len(set(h.of(a, b).tolist())) == 1
     assert h.of(np.array([8]), np.array([12]))[0] != h.of(a, b)[0]
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    """Also where a check sum of 26 bits, as an earlier version kept, agrees."""
+    passage = prose(1, 40)[:160]
+    seen, pair = {}, None
+    for i in range(200_000):
+        for text in (f"{passage} {i}", f"{prose(2, 40)[:160]} {i}"):
+            other = seen.setdefault(zlib.crc32(text.encode()) & ((1 << 26) - 1), text)
+            if other[:160] != text[:160]:
+                pair = other, text
+        if pair:
+            break
+    rows = [(1, passage), (2, pair[0]), (2, pair[1]), *[(None, f"{passage} {i}") for i in range(40)], *[(None, pair[0])] * 9]
+    rows += [(3, prose(9, 40)), (3, prose(9, 40)), (3, "x" + prose(9, 40)), (4, None), (4, "")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
+def test_marks_tell_texts_apart(spark):
+    rows = [(i % 7 if i % 3 else None, f"t{i % 11}") for i in range(200)]
+    keyed, size = repeats._keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    got = keyed.collect()
+    assert size == sum(len(t) for _, t in rows) and len(got) == 200
+    assert len({(r.doc, r.mark) for r in got}) == len({(r.doc, r.mark, r.text) for r in got}) == len(set(rows))
