@@ -41,14 +41,15 @@ FROM f"""
 ORACLE = {"op1_mixing": OP1, "op3_warc": OP3}
 
 ORACLE["op6_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS q
+           FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-p AS (SELECT a.vec_id AS query_id, b.vec_id,
+p AS (SELECT a.row, a.vec_id AS query_id, b.vec_id,
              list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row AND len(a.q) = len(b.q))
 SELECT query_id, rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+FROM (SELECT *, row_number() OVER (PARTITION BY p.row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 WHERE rank <= 5"""
 
 ORACLE["op4_chat"] = """

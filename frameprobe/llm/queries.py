@@ -78,8 +78,7 @@ def op8_packing(spark, sf_dir):
 
 @query
 def op6_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 @query
