@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -306,13 +307,31 @@ def overview(df: DataFrame, columns: DataFrame | None = None, table: DataFrame |
         "duplicate_rows")])
 
 
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """A comparable value as text from which it can be told: its length and its letters, '-' for NULL."""
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, T.BinaryType):
+        text = F.hex(col(name))
+    elif isinstance(data_type, T.TimestampType):  # whatever the time zone of the session
+        text = F.unix_micros(col(name)).cast("string")
+    else:
+        text = col(name).cast("string")
+    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-"))
+
+
 def fingerprint(df: DataFrame, source: str = "") -> DataFrame:
     """(fingerprint): changes with the rows, their number of copies, names, types or source.
 
-    An order-insensitive sum of row hashes, so the file layout does not matter.
+    A multiset hash: the SHA-256 of each row's text is cut into four numbers of 64 bits, and each is
+    added up over the rows modulo 2^64. The order of the rows and the file layout do not matter.
     """
     rows = _comparable(df)
-    total = F.coalesce(F.sum(_row_digest(rows, 1).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
-    return rows.agg(total.alias("total"), F.count("*").alias("n")).select(
-        F.sha2(F.concat_ws("|", F.col("total").cast("string"), F.col("n").cast("string"),
-                           F.lit(df.schema.json()), F.lit(source)), 256).alias("fingerprint"))
+    digest = F.sha2(F.concat(*[_cell_text(rows, n) for n in rows.columns], F.lit("")).cast("binary"), 256)
+    lanes = [F.conv(F.substring("digest", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    modulus = F.lit(str(2 ** 64)).cast("decimal(38,0)")
+    sums = [(F.coalesce(F.sum(lane), F.lit(0)).cast("decimal(38,0)") % modulus).cast("string").alias(f"lane{k}")
+            for k, lane in enumerate(lanes)]
+    schema = json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema])
+    return rows.select(digest.alias("digest")).agg(*sums, F.count("*").alias("n")).select(
+        F.sha2(F.concat_ws("|", *[f"lane{k}" for k in range(4)], F.col("n").cast("string"),
+                           F.lit(schema), F.lit(source)).cast("binary"), 256).alias("fingerprint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax"]
 ORDERS_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -238,6 +240,39 @@ def cramers_of_many() -> str:
         round(least(1, sqrt(chi2 / (n * (k - 1)))), 6) AS v FROM x"""
 
 
+TREND_BAND = """WITH s AS (SELECT p_retailprice::DOUBLE AS x, p_partkey::DOUBLE AS y FROM part
+        WHERE p_retailprice IS NOT NULL AND p_partkey IS NOT NULL),
+    h AS (SELECT x, y, ('0x' || substr(md5('p_retailprice|p_partkey|' || x || '|' || y), 1, 16))::UBIGINT AS h FROM s),
+    a AS (SELECT x, y, draw, ((h::UHUGEINT + draw::UHUGEINT * 11400714819323198485) % 18446744073709551616)::UBIGINT AS z
+          FROM h, (SELECT unnest(range(1001)) AS draw)),
+    b AS (SELECT x, y, draw, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS z FROM a),
+    c AS (SELECT x, y, draw, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS z FROM b),
+    k AS (SELECT k, sum(exp(-1) / factorial(k::INTEGER)) OVER (ORDER BY k) AS chance FROM (SELECT unnest(range(20)) AS k)),
+    w AS (SELECT x, y, draw, CASE WHEN draw = 0 THEN 1 ELSE len(list_filter((SELECT list(chance) FROM k),
+              lambda q: q <= xor(z, z >> 31)::DOUBLE / 18446744073709551616)) END AS w FROM c),
+    m AS (SELECT draw, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+          FROM w GROUP BY draw),
+    l AS (SELECT draw, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS slope, sx, sy, n FROM m),
+    g AS (SELECT unnest(range(100))::INTEGER AS grid, min(x) AS lo, max(x) AS hi FROM s),
+    f AS (SELECT draw, grid, lo + grid * (hi - lo) / 99 AS x,
+                 (sy - slope * sx) / n + slope * (lo + grid * (hi - lo) / 99) AS fit FROM l, g)
+    SELECT 'p_retailprice' AS col1, 'p_partkey' AS col2, grid, round(any_value(x), 4) AS x,
+           round(max(fit) FILTER (draw = 0), 4) AS y, round(quantile_cont(fit, 0.025) FILTER (draw > 0), 4) AS lower,
+           round(quantile_cont(fit, 0.975) FILTER (draw > 0), 4) AS upper FROM f GROUP BY grid"""
+
+LINEITEM_TYPES = [["l_orderkey", "bigint"], ["l_partkey", "bigint"], ["l_suppkey", "bigint"], ["l_linenumber", "int"],
+                  ["l_quantity", "double"], ["l_extendedprice", "double"], ["l_discount", "double"], ["l_tax", "double"],
+                  ["l_returnflag", "string"], ["l_linestatus", "string"], ["l_shipdate", "timestamp_ntz"]]
+
+
+def fingerprint() -> str:
+    text = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c, _ in LINEITEM_TYPES)
+    lanes = " || '|' || ".join(
+        f"(sum(('0x' || substr(d, {1 + 16 * k}, 16))::UBIGINT) % 18446744073709551616::HUGEINT)::VARCHAR" for k in range(4))
+    return f"""SELECT sha256({lanes} || '|' || count(*) || '|' || '{json.dumps(LINEITEM_TYPES)}' || '|lineitem') AS fingerprint
+        FROM (SELECT sha256({text}) AS d FROM lineitem)"""
+
+
 def eta(source: str, cats: list[str], nums: list[str]) -> str:
     parts = []
     for i, c in enumerate(cats):
@@ -500,6 +535,8 @@ def build() -> dict[str, str]:
             ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
                                       ("o_orderpriority", "costly")])})""",
         "cramers_many_lineitem": cramers_of_many(),
+        "trend_band_retail": TREND_BAND,
+        "fingerprint_lineitem": fingerprint(),
         "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM
             {eta("lineitem", ["l_returnflag", "l_linestatus"], LINEITEM_NUM)}""",
         "eta_many_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM {eta(

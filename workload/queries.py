@@ -389,6 +389,14 @@ def trend_band_part(spark, sf_dir):
     return rounded(correlation.trend_band(points))
 
 
+@query
+def trend_band_retail(spark, sf_dir):
+    """The band over all rows, without a sample."""
+    df = table(spark, sf_dir, "part")
+    points = correlation.scatter_points(df, [("p_retailprice", "p_partkey")], sample=df)
+    return rounded(correlation.trend_band(points), 4)
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 def as_texts(df: DataFrame) -> DataFrame:
