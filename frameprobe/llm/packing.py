@@ -25,10 +25,10 @@ SEARCH_STEPS = 1_500_000
 
 #: Words of a worker's cache from words to ids, in two generations: words that come again move to the young one,
 #: which takes the place of the old one when it is half of this.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 #: New words that are encoded as one string, and about the bytes of texts that are encoded at a time.
-JOINED_WORDS, CHUNK_BYTES = 500, 12 << 20
+JOINED_WORDS, CHUNK_BYTES = 500, 4 << 20
 
 Ids = bytes  # little-endian 32-bit
 
