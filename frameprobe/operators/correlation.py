@@ -253,157 +253,6 @@ def trend_band(points: DataFrame, bootstraps: int = BOOTSTRAPS) -> DataFrame:
     sums = marked.mapInPandas(partial, "col1 string, col2 string, draw int, n double, sx double, "
                                        "sy double, sxx double, sxy double")
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    return table.join(sums, ["pos1", "pos2"], "left").select(
-        "pos1", "pos2", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"),
-        (sx / n + F.col("cx")).alias("mean_x"), (sy / n + F.col("cy")).alias("mean_y"),
-        (F.col("sxx") - sx * sx / n).alias("sxx"), (F.col("syy") - sy * sy / n).alias("syy"),
-        (F.col("sxy") - sx * sy / n).alias("sxy"),
-        # Compared on the pair's rows; a variance test would take rounding noise for spread.
-        (F.col("min_x") == F.col("max_x")).alias("constant_x"),
-        (F.col("min_y") == F.col("max_y")).alias("constant_y"))
-
-
-def _r(moments: DataFrame) -> DataFrame:
-    flat = F.col("constant_x") | F.col("constant_y")
-    raw = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
-    r = (F.when(flat | (F.col("n") < 2), None)
-         .when(F.col("pos1") == F.col("pos2"), 1.0)
-         .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))))
-    return moments.withColumn("r", r)
-
-
-def _named(df: DataFrame, pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(enumerate(names)), "pos int, name string")
-    one = table.select(F.col("pos").alias("pos1"), F.col("name").alias("col1"))
-    two = table.select(F.col("pos").alias("pos2"), F.col("name").alias("col2"))
-    return pairs.join(F.broadcast(one), "pos1").join(F.broadcast(two), "pos2")
-
-
-def top_variance(df: DataFrame, most: int = MAX_CORRELATED) -> DataFrame:
-    """(column, position, variance) of the ``most`` numeric columns of highest variance."""
-    names = numeric_columns(df)
-    records = [(F.lit(i), as_double(df, n)) for i, n in enumerate(names)]
-    table = df.sparkSession.createDataFrame(list(enumerate(names)), "position int, column string")
-    v = F.col("v")
-    spread = (melt(df, records, ("position", "v")).groupBy("position")
-              .agg((std(v) * std(v)).alias("variance")))
-    return (spread.join(F.broadcast(table), "position")
-            .orderBy(F.desc_nulls_last("variance"), "position").limit(most)
-            .select("column", "position", "variance"))
-
-
-def heatmap_columns(df: DataFrame, max_correlated: int = MAX_CORRELATED) -> list[str]:
-    """All numeric columns, or the ones of highest variance, in that order, when there are more."""
-    names = numeric_columns(df)
-    if len(names) <= max_correlated:
-        return names
-    return [r.column for r in top_variance(df, max_correlated)
-            .orderBy(F.desc_nulls_last("variance"), "position").collect()]
-
-
-def correlation(df: DataFrame, columns: Sequence[str] | None = None,
-                max_correlated: int = MAX_CORRELATED, moments: DataFrame | None = None) -> DataFrame:
-    """(col1, col2, n, r): lower triangle with diagonal of the Pearson matrix, all rows.
-
-    ``r`` is NULL where a column is constant on the pair's rows. ``moments`` are the pair moments of
-    the same columns, when they are there already.
-    """
-    names = heatmap_columns(df, max_correlated) if columns is None else list(columns)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, n long, r double")
-    moments = pair_moments(df, names) if moments is None else moments
-    return _named(df, _r(moments), names).orderBy("pos1", "pos2").select("col1", "col2", "n", "r")
-
-
-def pair_ranking(df: DataFrame, max_pairs: int = MAX_SCATTER_PAIRS,
-                 sample_size: int | None = None, moments: DataFrame | None = None) -> DataFrame:
-    """(col1, col2, n, r, slope, intercept, r2, rank): numeric pairs by |r|, strongest first.
-
-    col1 is the later column (x), col2 the earlier one (y). Pairs with under 3 complete rows leave
-    after the cut. All rows count unless ``sample_size`` is given.
-    """
-    names = numeric_columns(df)
-    schema = ("col1 string, col2 string, n long, r double, slope double, intercept double, "
-              "r2 double, rank int")
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    if moments is None:
-        source = df if sample_size is None else sample_rows(df.select(*[col(n) for n in names]), sample_size)
-        moments = pair_moments(source, names)
-    order = (F.desc(F.abs(ranked("r"))), "pos1", "pos2")
-    top = (_r(moments).filter((F.col("pos1") > F.col("pos2")) & F.col("r").isNotNull())
-           .orderBy(*order).limit(max_pairs).filter(F.col("n") >= MIN_PAIR_ROWS))
-    # One row per column pair, so a single ordered partition is small.
-    placed = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return _named(df, _trend(placed), names).orderBy("rank").select(
-        "col1", "col2", "n", "r", "slope", "intercept", "r2", "rank")
-
-
-def _trend(pairs: DataFrame) -> DataFrame:
-    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
-    fit = F.when(~F.col("constant_x"), slope)
-    return (pairs.withColumn("slope", fit)
-            .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
-            .withColumn("r2", F.col("r") * F.col("r")))
-
-
-def trend(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(col1, col2, n, r, slope, intercept, r2): least-squares line of every pair, y = col2."""
-    names = numeric_columns(df) if columns is None else list(columns)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame(
-            [], "col1 string, col2 string, n long, r double, slope double, intercept double, r2 double")
-    pairs = _trend(_r(pair_moments(df, names)).filter(F.col("pos1") > F.col("pos2")))
-    return _named(df, pairs, names).select("col1", "col2", "n", "r", "slope", "intercept", "r2")
-
-
-def scatter_points(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                   sample: DataFrame | None = None, sample_size: int = SCATTER_ROWS) -> DataFrame:
-    """(col1, col2, x, y): complete rows of a row sample for each pair, as one long table."""
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, x double, y double")
-    names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    if sample is None:
-        sample = sample_rows(df.select(*[col(n) for n in names]), sample_size)
-    records = [(F.lit(a), F.lit(b), as_double(df, a), as_double(df, b)) for a, b in pairs]
-    return melt(sample, records, ("col1", "col2", "x", "y")).filter(
-        F.col("x").isNotNull() & F.col("y").isNotNull())
-
-
-def trend_band(points: DataFrame, bootstraps: int = BOOTSTRAPS, seed: int = 42) -> DataFrame:
-    """(col1, col2, grid, x, y, lower, upper): 95 % band of the trend line on 100 points.
-
-    In each refit every point is drawn a Poisson(1) number of times, by a hash of point and refit,
-    so the refits need no pass of their own: a batch of points adds to the sums of all refits at
-    once, and only (pair, refit) sums are shuffled.
-    """
-    pair = ["col1", "col2"]
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chances = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
-        refits = np.arange(bootstraps + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-        for frame in frames:
-            for (col1, col2), rows in frame.groupby(["col1", "col2"]):
-                for start in range(0, len(rows), 4096):
-                    part = rows.iloc[start:start + 4096]
-                    x, y = part["x"].to_numpy(), part["y"].to_numpy()
-                    mixed = part["point"].to_numpy().view(np.uint64)[None, :] + refits
-                    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    mixed ^= mixed >> np.uint64(31)
-                    weight = np.searchsorted(chances, mixed / 2.0 ** 64, side="right").astype(float)
-                    weight[0] = 1.0  # refit 0 is the line through the points themselves
-                    sums = weight @ np.column_stack([np.ones_like(x), x, y, x * x, x * y])
-                    out = pd.DataFrame(sums, columns=["n", "sx", "sy", "sxx", "sxy"])
-                    out.insert(0, "draw", np.arange(bootstraps + 1))
-                    out.insert(0, "col2", col2)
-                    out.insert(0, "col1", col1)
-                    yield out
-
-    marked = points.select(*pair, "x", "y", F.xxhash64(F.rand(seed)).alias("point"))
-    sums = marked.mapInPandas(partial, "col1 string, col2 string, draw int, n double, sx double, "
-                                       "sy double, sxx double, sxy double")
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     lines = (sums.groupBy(*pair, "draw").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
              .withColumn("slope", F.try_divide(F.col("sxy") - sx * sy / n, F.col("sxx") - sx * sx / n))
              .withColumn("intercept", (sy - F.col("slope") * sx) / n)
