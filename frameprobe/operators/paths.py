@@ -71,14 +71,18 @@ def unique_paths(df: DataFrame, folder: str = "folder", name: str = "name", posi
     In order of ``position`` a row takes folder/stem, or the first of stem_2, stem_3, ... that no
     earlier row has, where paths that differ only in case or Unicode form count as equal. Rows can
     only compete when their stems agree up to trailing digits and underscores: such families are
-    settled independently. A family over ``family_rows`` is never brought into one task.
+    settled independently. A family over ``family_rows`` is never brought into one task. Rows of one
+    position follow each other in the order in which they are read, once; those without one come first.
     """
     safe = safe_paths(df, folder, name, extension, max_len)
+    ensure_checkpoint_dir(df.sparkSession)
     keyed = safe.select(
         "*", collision_key(F.col("safe_folder")).alias("__folder"),
         collision_key(F.col("stem")).alias("__stem")
-    ).withColumn("__family", F.regexp_replace("__stem", "[_0-9]+$", ""))
-    work = keyed.select("__folder", "__family", "__stem", F.col(position).cast("bigint").alias("position"))
+    ).withColumn("__family", F.regexp_replace("__stem", "[_0-9]+$", "")).withColumn(
+        "__row", F.monotonically_increasing_id()).checkpoint()
+    work = keyed.select("__folder", "__family", "__stem",
+                        F.struct(F.col(position).cast("bigint").alias("at"), F.col("__row").alias("row")).alias("position"))
     family = ["__folder", "__family"]
     sizes = work.groupBy(*family).agg(F.count("*").alias("n")).filter(F.col("n") > family_rows)
     if sizes.isEmpty():
@@ -88,10 +92,9 @@ def unique_paths(df: DataFrame, folder: str = "folder", name: str = "name", posi
         settled = _settle_families(work.join(large, family, "left_anti")).unionByName(
             _settle_rounds(work.join(large, family, "left_semi")))
     suffix = _suffix(F.col("stem"), F.col("__number"))
-    return (keyed.withColumn("__position", F.col(position).cast("bigint"))
-            .join(settled.withColumnRenamed("position", "__position"), "__position")
+    return (keyed.join(settled, "__row")
             .withColumn("path", F.concat("safe_folder", F.lit("/"), "stem", suffix, F.lit(extension)))
-            .drop("__folder", "__stem", "__family", "__position", "__number", "safe_folder", "stem"))
+            .drop("__folder", "__stem", "__family", "__row", "__number", "safe_folder", "stem"))
 
 
 def _suffix(stem: Column, number: Column) -> Column:
@@ -101,7 +104,7 @@ def _suffix(stem: Column, number: Column) -> Column:
 
 
 def _settle_families(work: DataFrame) -> DataFrame:
-    """(position, __number) of families that each fit a task.
+    """(__row, __number) of families that each fit a task.
 
     A family of one stem, or of stems that do not repeat, is numbered by windows alone. Only where
     copies meet other stems (``a``, ``a``, ``a_2``) does the outcome hang on the sequence.
@@ -117,7 +120,7 @@ def _settle_families(work: DataFrame) -> DataFrame:
     plain = (F.col("__stems") == 1) | (F.col("__stems") == F.col("__rows"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
+        rows = rows.sort_values(["at", "row"], na_position="first")
         taken: set[str] = set()
         reached: dict[str, int] = {}
         numbers = []
@@ -130,15 +133,15 @@ def _settle_families(work: DataFrame) -> DataFrame:
             taken.add(stem if number == 1 else f"{stem}{mark}{number}")
             reached[stem] = number
             numbers.append(number)
-        return pd.DataFrame({"position": rows["position"].to_numpy(), "__number": numbers})
+        return pd.DataFrame({"__row": rows["row"].to_numpy(), "__number": numbers})
 
-    mixed = counted.filter(~plain).select(*family, "__stem", "position").groupBy(*family).applyInPandas(
-        settle, "position long, __number long")
-    return counted.filter(plain).select("position", "__number").unionByName(mixed)
+    mixed = counted.filter(~plain).select(*family, "__stem", "position.at", "position.row").groupBy(*family).applyInPandas(
+        settle, "__row long, __number long")
+    return counted.filter(plain).select(F.col("position.row").alias("__row"), "__number").unionByName(mixed)
 
 
 def _settle_rounds(work: DataFrame) -> DataFrame:
-    """(position, __number) of large families, by rounds over all rows.
+    """(__row, __number) of large families, by rounds over all rows.
 
     Every row asks for its next candidate: the n-th row of a stem starts with the n-th, as the rows
     before it hold the others. A path asked for by several rows goes to the first; the others move
@@ -159,7 +162,7 @@ def _settle_rounds(work: DataFrame) -> DataFrame:
             .alias("__number"),
             F.coalesce(F.col("position") != F.col("__winner"), F.lit(False)).alias("lost")).checkpoint()
         if judged.filter("lost").isEmpty():
-            return judged.select("position", "__number")
+            return judged.select(F.col("position.row").alias("__row"), "__number")
         ahead = running(judged, stem, "position", "ahead", F.max, F.col("__number") - F.col("nth"))
         rows = ahead.select("__folder", "__stem", "position", "part", "nth",
                             (F.col("nth") + F.col("ahead")).alias("__number"))

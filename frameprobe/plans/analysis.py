@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from frameprobe.functions.columns import kind, with_unique_names
 from frameprobe.functions.names import TITLE_LENGTH, safe_stem
@@ -304,11 +305,18 @@ TABLE_SECTION = {
 }
 
 
+REPORT = "commit"
+REPORT_SCHEMA = "table string, folder string, rows long"
+
+
 def write_report(analysis: Analysis, path: str, file_format: str = "parquet",
                  mode: str = "errorifexists") -> None:
     """Write the tables of every section in the manifest under its folder, and the manifest itself.
 
-    ``manifest`` is partitioned by section. Sections the cap left out are not computed.
+    ``manifest`` is partitioned by section. Sections the cap left out are not computed. A report
+    counts as written with its last file: the list of its tables, under ``commit``. A report that
+    is replaced loses that list first, so that ``read_report`` never finds tables of two reports,
+    nor part of one.
     """
     manifest = analysis.manifest
     if not path_audit(manifest).isEmpty():
@@ -316,11 +324,35 @@ def write_report(analysis: Analysis, path: str, file_format: str = "parquet",
     present = {r.section for r in manifest.select("section").distinct().collect()}
     folder = dict(SECTIONS)
     root = path.rstrip("/")
-    manifest.write.mode(mode).partitionBy("section").format(file_format).save(f"{root}/manifest")
-    for name, section in TABLE_SECTION.items():
-        if section in present:
-            getattr(analysis, name).write.mode(mode).format(file_format).save(
-                f"{root}/{folder[section]}/{name}")
-    analysis.columns.write.mode(mode).format(file_format).save(f"{root}/columns")
-    analysis.overview.write.mode(mode).format(file_format).save(f"{root}/profile")
+    spark = manifest.sparkSession
+    places = {name: f"{folder[section]}/{name}" for name, section in TABLE_SECTION.items() if section in present}
+    places |= {"columns": "columns", "overview": "profile", "manifest": "manifest"}
+
+    def listed(rows: list[tuple[str, str, int]]) -> None:
+        one = spark.createDataFrame(rows, REPORT_SCHEMA).coalesce(1)
+        one.write.mode(mode).format(file_format).save(f"{root}/{REPORT}")
+
+    if mode == "overwrite":
+        listed([])
+    rows = []
+    for name, place in places.items():
+        seen = Observation()
+        writer = getattr(analysis, name).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+        (writer.partitionBy("section") if name == "manifest" else writer).format(file_format).save(f"{root}/{place}")
+        rows.append((name, place, seen.get["rows"]))
+    listed(rows)
     analysis.release()
+
+
+def read_report(spark: SparkSession, path: str, file_format: str = "parquet") -> dict[str, DataFrame]:
+    """The tables of a written report by name. ValueError where a report is not there as a whole."""
+    root = path.rstrip("/")
+    try:
+        listed = spark.read.format(file_format).schema(REPORT_SCHEMA).load(f"{root}/{REPORT}").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = []
+    if not listed:
+        raise ValueError(f"There is no finished report at {path}.")
+    return {r.table: spark.read.format(file_format).load(f"{root}/{r.folder}") for r in listed if r.rows}

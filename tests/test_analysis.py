@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from frameprobe.operators.paths import path_audit
-from frameprobe.plans.analysis import analyze, write_report
+from frameprobe.plans.analysis import analyze, read_report, write_report
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,24 @@ def test_tables_all_run(parcels):
     for name, df in tables.items():
         assert df.count() >= (0 if name == "missing" else 1), name
     assert not math.isnan(tables["scatters"].first().r)
+
+
+def test_only_finished_reports_are_read(spark, parcels, tmp_path, monkeypatch):
+    out = str(tmp_path / "report")
+    small = parcels.select("distance", "cost", "zone")
+    with pytest.raises(ValueError, match="no finished report"):
+        read_report(spark, out)
+    a = analyze(small)
+    write_report(a, out)
+    first = {n: t.count() for n, t in read_report(spark, out).items()}
+    assert first["manifest"] == a.manifest.count() and first["summary"] == 2 and first["columns"] == 3
+    # a second report over the first one breaks off half way
+    b = analyze(small.limit(50))
+    monkeypatch.setattr(type(b), "boxplots", property(lambda self: 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        write_report(b, out, mode="overwrite")
+    with pytest.raises(ValueError, match="no finished report"):
+        read_report(spark, out)
+    monkeypatch.undo()
+    write_report(analyze(small.limit(50)), out, mode="overwrite")
+    assert read_report(spark, out)["overview"].first()["rows"] == 50

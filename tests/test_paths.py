@@ -130,3 +130,13 @@ def test_check_paths(spark):
     with pytest.raises(ValueError, match="too_long"):
         paths.check_paths(spark.createDataFrame([("folder/" + "a" * 200 + ".png",)], "path string"), max_path_len=100)
     paths.check_paths(spark.createDataFrame([("a/b.png",)], "path string"))
+
+
+@pytest.mark.parametrize("family_rows", [50_000, 3])
+def test_equal_positions_get_a_path_each(spark, family_rows):
+    rows = [("p", "a", 1), ("p", "a", 1), ("p", "a_2", 1), ("p", "a", 2), ("p", "b", None), ("p", "b", None), ("p", "b", 7)]
+    df = spark.createDataFrame(rows, "folder string, name string, position int")
+    out = paths.unique_paths(df, family_rows=family_rows).collect()
+    assert len(out) == len(rows) and len({r.path for r in out}) == len(rows)
+    assert {r.path for r in out if r.name == "b"} == {"p/b.png", "p/b_2.png", "p/b_3.png"}
+    assert [r.path for r in out if r.position == 7] == ["p/b_3.png"]

@@ -240,6 +240,25 @@ def cramers_of_many() -> str:
         round(least(1, sqrt(chi2 / (n * (k - 1)))), 6) AS v FROM x"""
 
 
+WIDE_LINEITEM = "(SELECT {} FROM lineitem)".format(", ".join(
+    [f"(l_partkey % {k + 7} + l_linenumber * {k})::DOUBLE AS n{k}" for k in range(30)]
+    + [f"l_quantity * {k} + l_suppkey % {k} AS n{k}" for k in range(30, 50)]))
+
+
+def report_rows() -> str:
+    """Rows of each table of the report on lineitem: two flags, no gaps."""
+    n = len(LINEITEM_NUM)
+    pairs = n * (n - 1) // 2
+    numbers = {"summary": n, "curves": 200 * n, "markers": n, "boxplots": n, "cats": "a + b", "corr": pairs + n,
+               "scatters": pairs, "scatter_points": f"{pairs} * sampled", "scatter_bands": 100 * pairs, "cat_num": 2 * n,
+               "cat_num_boxes": f"{n} * (a + b)", "cat_cat": 1, "cat_cat_cells": "a * b", "columns": n + 3, "overview": 1,
+               "manifest": 2 + 2 * n + 2 + pairs + 2 * n + 1}
+    parts = [f"SELECT '{name}' AS name, ({value})::BIGINT AS rows FROM f" for name, value in numbers.items()]
+    parts.append(f"SELECT 'dists', count(*) FROM ({histogram('lineitem', LINEITEM_NUM)})")
+    return f"""WITH f AS (SELECT count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linestatus) AS b,
+        least(count(*), 1500) AS sampled FROM lineitem) {" UNION ALL ".join(parts)}"""
+
+
 TREND_BAND = """WITH s AS (SELECT p_retailprice::DOUBLE AS x, p_partkey::DOUBLE AS y FROM part
         WHERE p_retailprice IS NOT NULL AND p_partkey IS NOT NULL),
     h AS (SELECT x, y, ('0x' || substr(md5('p_retailprice|p_partkey|' || x || '|' || y), 1, 16))::UBIGINT AS h FROM s),
@@ -535,6 +554,11 @@ def build() -> dict[str, str]:
             ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
                                       ("o_orderpriority", "costly")])})""",
         "cramers_many_lineitem": cramers_of_many(),
+        "markers_wide_lineitem": f"""SELECT "column", round(mean, 6) AS mean, round(q50, 6) AS median
+            FROM {box_stats(WIDE_LINEITEM, [f"n{k}" for k in range(50)])}""",
+        "written_report_lineitem": report_rows(),
+        "csv_headers_orders": """SELECT o_orderkey AS key, o_custkey AS x, o_orderstatus AS x_2, o_orderpriority AS x_1,
+            o_totalprice AS "Unnamed: 4" FROM orders""",
         "trend_band_retail": TREND_BAND,
         "fingerprint_lineitem": fingerprint(),
         "eta_lineitem": f"""SELECT cat_col, num_col, n, round(score, 6) AS score FROM

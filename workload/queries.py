@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -397,6 +398,18 @@ def trend_band_retail(spark, sf_dir):
     return rounded(correlation.trend_band(points), 4)
 
 
+def widened_lineitem(df: DataFrame) -> DataFrame:
+    """60 numeric columns, and a text between them."""
+    return df.select(*[F.expr(f"l_partkey % {k + 7} + l_linenumber * {k}").alias(f"n{k}") for k in range(30)], "l_returnflag",
+                     *[F.expr(f"l_quantity * {k} + l_suppkey % {k}").alias(f"n{k}") for k in range(30, 60)])
+
+
+@query
+def markers_wide_lineitem(spark, sf_dir):
+    """The first 50 of 60 numeric columns."""
+    return rounded(numeric.markers(widened_lineitem(table(spark, sf_dir, "lineitem")), max_cols=50))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 def as_texts(df: DataFrame) -> DataFrame:
@@ -476,6 +489,15 @@ def csv_guards_orders(spark, sf_dir):
                                  "input string, refused boolean")
 
 
+@query
+def csv_headers_orders(spark, sf_dir):
+    """A header with repeated and empty names."""
+    df = as_texts(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    path = scratch_path(spark, "csv")
+    df.select(F.concat_ws(",", *df.columns).alias("key,x,x,x_1,")).write.options(header=True, sep="\t").csv(path)
+    return csv.load_csv(spark, path)
+
+
 # Date texts of each further format, made of the order time ``at``.
 DATE_TEXTS = {
     "iso_utc": "date_format(at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
@@ -594,3 +616,12 @@ def written_report_orders(spark, sf_dir):
     path = scratch_path(spark, "report")
     analysis.write_report(analysis.analyze(orders_with_gaps(spark, sf_dir), max_items=12), path)
     return rounded(spark.read.parquet(f"{path}/03_categorical_distributions/cats"))
+
+
+@query
+def written_report_lineitem(spark, sf_dir):
+    """The sink without a cap: every table of the report, read back, with its rows."""
+    path = scratch_path(spark, "report")
+    analysis.write_report(analysis.analyze(table(spark, sf_dir, "lineitem")), path)
+    counts = [df.select(F.lit(name).alias("name"), F.lit(1).alias("one")) for name, df in analysis.read_report(spark, path).items()]
+    return reduce(DataFrame.unionAll, counts).groupBy("name").agg(F.count("*").alias("rows"))
