@@ -19,8 +19,11 @@ MAX_COLUMNS = 50
 QUARTILES = (0.25, 0.5, 0.75)
 WHISKER_REACH = 1.5
 GRID_POINTS = 200
-# Beyond this many bandwidths a Gaussian is below 1e-16 of its peak.
-KERNEL_REACH = 8.7
+# Boxes of a bandwidth, and terms of the kernel's series about a box: see ``kde`` for the error.
+KERNEL_BOXES = 4
+KERNEL_TERMS = 36
+# Boxes that a task holds before it hands their sums on.
+HELD_BOXES = 50_000
 
 
 @dataclass(frozen=True)
@@ -190,36 +193,79 @@ def kde(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int | Non
         stats: list[ColumnStats] | None = None) -> DataFrame:
     """(column, grid, x, density): Gaussian kernel with Scott's bandwidth on 200 points.
 
-    Each Arrow batch is sorted, and a grid point sums the kernel over the values within its reach;
-    only (column, grid point) sums are shuffled. The reach shrinks with the bandwidth: the larger
-    the table, the fewer points a value adds to. Nothing is binned.
+    A fast Gauss transform. Values fall into boxes of a quarter bandwidth; with t the distance of a
+    value from the middle of its box and u that of a grid point, in bandwidths, the kernel is
+    exp(-u^2/2) * exp(u t - t^2/2), and the sums of exp(-t^2/2) t^k / k! over a box say all about it.
+    Each task adds up these sums, Spark adds them by box, and then a box is laid on the grid once,
+    whatever it holds. |t| is at most 1/8 and |u| 38.7 where exp(-u^2/2) is not 0 in double
+    precision; by the remainder of the exponential series the relative error of a box is below
+    |u t|^36 / 36! * exp(2 |u t|), at most 2e-13, also far from all values.
     """
     found = [s for s in _stats(df, columns, max_cols, stats) if s.count > 1 and s.std]
     if not found:
         return df.sparkSession.createDataFrame([], "column string, grid int, x double, density double")
     curves = [(s.min, s.max, s.std * s.count ** (-0.2)) for s in found]
-    points, reach = GRID_POINTS, KERNEL_REACH
+    points, terms = GRID_POINTS, KERNEL_TERMS
+    names = ["position", "box", *(f"m{k}" for k in range(terms))]
+
+    def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[int, np.ndarray]] = [{} for _ in curves]
+
+        def handed():
+            at = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            sums = np.array([m for x in held for m in x.values()]).reshape(-1, terms)
+            box = np.array([b for x in held for b in x], np.int64)
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array(box), *(pa.array(sums[:, k].copy()) for k in range(terms))], names=names)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros((len(curves), points))
         for batch in batches:
-            for i, (lo, hi, bandwidth) in enumerate(curves):
+            for i, (lo, _, bandwidth) in enumerate(curves):
                 values = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
                 values, weight = np.unique(values[~np.isnan(values)], return_counts=True)
-                grid = np.linspace(lo, hi, points)
-                first = np.searchsorted(values, grid - reach * bandwidth)
-                last = np.searchsorted(values, grid + reach * bandwidth, side="right")
-                for g in range(points):
-                    z = (grid[g] - values[first[g]:last[g]]) / bandwidth
-                    mass[i, g] += weight[first[g]:last[g]] @ np.exp(-0.5 * z * z)
+                place = (values - lo) / bandwidth
+                box = np.floor(place * KERNEL_BOXES).astype(np.int64)
+                t = place - (box + 0.5) / KERNEL_BOXES
+                boxes, at = np.unique(box, return_inverse=True)
+                term = weight * np.exp(-0.5 * t * t)
+                sums = np.empty((len(boxes), terms))
+                for k in range(terms):
+                    sums[:, k] = np.bincount(at, term, len(boxes))
+                    term = term * t / (k + 1)
+                for b, m in zip(boxes.tolist(), sums):
+                    held[i][b] = held[i][b] + m if b in held[i] else m
+            if sum(map(len, held)) > HELD_BOXES:
+                yield handed()
+        if any(held):
+            yield handed()
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros((len(curves), points))
+        for batch in batches:
+            position = batch.column(0).to_numpy()
+            for i in np.unique(position).tolist():
+                lo, hi, bandwidth = curves[i]
+                here = np.flatnonzero(position == i)
+                for first in range(0, len(here), 1024):
+                    some = here[first:first + 1024]
+                    middle = (batch.column(1).to_numpy()[some] + 0.5) / KERNEL_BOXES
+                    u = (np.linspace(lo, hi, points) - lo)[:, None] / bandwidth - middle
+                    kernel = np.exp(-0.5 * u * u)
+                    u[kernel == 0] = 0
+                    total = np.zeros_like(u)
+                    for k in reversed(range(terms)):
+                        total = total * u + batch.column(2 + k).to_numpy()[some]
+                    mass[i] += (kernel * total).sum(axis=1)
         at, g = np.nonzero(mass)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int32()), pa.array(g, pa.int32()), pa.array(mass[at, g])],
             names=["position", "grid", "mass"])
 
-    sums = (df.select(*[as_double(df, s.column).alias(f"c{i}") for i, s in enumerate(found)])
-            .mapInArrow(partial, "position int, grid int, mass double")
-            .groupBy("position", "grid").agg(F.sum("mass").alias("mass")))
+    boxes = (df.select(*[as_double(df, s.column).alias(f"c{i}") for i, s in enumerate(found)])
+             .mapInArrow(boxed, "position int, box long, " + ", ".join(f"{n} double" for n in names[2:]))
+             .groupBy("position", "box").agg(*[F.sum(n).alias(n) for n in names[2:]]))
+    sums = boxes.mapInArrow(laid, "position int, grid int, mass double").groupBy("position", "grid").agg(F.sum("mass").alias("mass"))
     table = df.sparkSession.createDataFrame(
         [(i, s.column, s.min, s.max, s.count * h * math.sqrt(2 * math.pi))
          for i, (s, (_, _, h)) in enumerate(zip(found, curves))],

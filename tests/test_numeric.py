@@ -125,3 +125,15 @@ def test_first_columns_only(spark):
     assert numeric.box_summary(df).count() == 60
     assert numeric.box_summary(df, max_cols=50).count() == 50
     assert numeric.histogram(df, max_cols=3).select("column").distinct().count() == 3
+
+
+def test_density_far_from_all_values(spark, rows):
+    """No cut: the kernel counts as far as doubles reach, to the last digits."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 3000), [40.0] * 3, [-25.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    found = pd.DataFrame(rows(numeric.kde(df))).sort_values("grid")
+    h = values.std(ddof=1) * len(values) ** -0.2
+    direct = np.exp(-0.5 * ((found["x"].to_numpy()[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert found["density"].to_numpy() == pytest.approx(direct, rel=1e-10, abs=0)
+    assert direct.min() < 1e-30
