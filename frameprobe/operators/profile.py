@@ -98,7 +98,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 # --- duplicate rows ----------------------------------------------------------------------------
 
-def _comparable(df: DataFrame) -> DataFrame:
+def comparable(df: DataFrame) -> DataFrame:
     """The row with values that can be grouped and hashed: NaN as NULL, one zero, nested values as JSON."""
     out = []
     for field in df.schema:
@@ -129,7 +129,7 @@ def distinct_rows(df: DataFrame, exact: bool = False) -> DataFrame:
     two independent 64-bit hashes, which moves 16 bytes per row; two rows out of 10^12 share both by
     chance with probability about 10^-15. ``exact=True`` groups the rows themselves.
     """
-    rows = _comparable(df)
+    rows = comparable(df)
     if exact:
         keys = [col(n) for n in rows.columns]
     else:
@@ -325,7 +325,7 @@ def fingerprint(df: DataFrame, source: str = "") -> DataFrame:
     A multiset hash: the SHA-256 of each row's text is cut into four numbers of 64 bits, and each is
     added up over the rows modulo 2^64. The order of the rows and the file layout do not matter.
     """
-    rows = _comparable(df)
+    rows = comparable(df)
     digest = F.sha2(F.concat(*[_cell_text(rows, n) for n in rows.columns], F.lit("")).cast("binary"), 256)
     lanes = [F.conv(F.substring("digest", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
     modulus = F.lit(str(2 ** 64)).cast("decimal(38,0)")

@@ -554,6 +554,9 @@ def build() -> dict[str, str]:
             ({cramers(ORDERS_COSTLY, [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "costly"),
                                       ("o_orderpriority", "costly")])})""",
         "cramers_many_lineitem": cramers_of_many(),
+        "distinct_states_orders": " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS present, count(DISTINCT {c}) AS exact, true AS held
+            FROM orders""" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")),
         "markers_wide_lineitem": f"""SELECT "column", round(mean, 6) AS mean, round(q50, 6) AS median
             FROM {box_stats(WIDE_LINEITEM, [f"n{k}" for k in range(50)])}""",
         "written_report_lineitem": report_rows(),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameprobe.operators import (
-    categorical, columns, correlation, grouped, numeric, paths, profile, sampling)
+    categorical, columns, correlation, distinct, grouped, numeric, paths, profile, sampling)
 from frameprobe.plans import analysis
 from frameprobe.session import scratch_path
 from frameprobe.sources import csv
@@ -410,6 +410,19 @@ def markers_wide_lineitem(spark, sf_dir):
     return rounded(numeric.markers(widened_lineitem(table(spark, sf_dir, "lineitem")), max_cols=50))
 
 
+@query
+def distinct_states_orders(spark, sf_dir):
+    """States of old and of new rows, stored and merged: do the bounds hold the exact number?"""
+    df = table(spark, sf_dir, "orders").drop("o_orderdate")
+    paths = [scratch_path(spark, "states") for _ in range(2)]
+    for k, path in enumerate(paths):
+        distinct.distinct_states(df.where(F.col("o_orderkey") % 3 == 0 if k else F.col("o_orderkey") % 3 != 0)).write.parquet(path)
+    merged = distinct.merged_states(*map(spark.read.parquet, paths))
+    exact = profile.column_profile(df).select("column", F.col("n_unique").alias("exact"))
+    return distinct.distinct_estimates(merged).join(exact, "column").select(
+        "column", "rows", "present", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("held"))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 def as_texts(df: DataFrame) -> DataFrame:
