@@ -56,7 +56,9 @@ def op7_secrets(spark, sf_dir):
     return secrets.secrets(docs).select(
         "doc_id", number(0), number(1), number(2),
         F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
-        secrets.joined(spans).alias("spans"))
+        secrets.joined(spans).alias("spans"),
+        F.array_join(F.transform(spans, lambda s: s["class"]), ",").alias("classes"),
+        *[F.size(F.filter(spans, lambda s: s["class"] == name)).cast("long").alias(f"n_{name}") for name in ("live", "example")])
 
 
 @query

@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from frameprobe.llm import secrets
+from frameprobe.llm import queries, secrets
 
 HEX, ACCESS = re.compile("[0-9a-f]+"), re.compile("AKIA[A-Z0-9]+")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,3 +53,50 @@ def test_masked_text(awkward, nothing):
 def test_digest_of_no_spans(awkward):
     got = secrets.secrets(awkward).where("doc_id = 8").select(F.sha2(secrets.joined(F.col("spans")).cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"").hexdigest()
+
+
+def value_of(text, kind, start, end):
+    return ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
+
+
+def owned(rows):
+    """Spans and classes of every row: all candidates of the corpus by the owners and documents that hold them."""
+    found, holders = [], {}
+    for doc_id, text, source in rows:
+        text = text or ""
+        base = brute(text)
+        loose = [("loose", m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)
+                 if secrets.looks_random(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        here = sorted(base + loose, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        for span in here:
+            holders.setdefault(value_of(text, *span), []).append((source, doc_id))
+        found.append((doc_id, text, here))
+    out = []
+    for doc_id, text, spans in found:
+        kept = []
+        for span in spans:
+            held = holders[value_of(text, *span)]
+            live = len({s for s, _ in held}) <= 2 and len(set(held)) <= 10
+            if span[0] != "loose" or live:
+                kept.append((":".join(map(str, span)), "live" if live else "example"))
+        out.append((doc_id, ",".join(k for k, _ in kept), ",".join(c for _, c in kept)))
+    return sorted(out, key=repr)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    r = random.Random(3)
+
+    def value(n):
+        return "".join(r.choice("abcdefghXYZQWRTP0123456789") for _ in range(n))
+
+    pool = [value(24) for _ in range(12)] + ["0a" * 15, "AKIA" + "A1B2" * 5, "Ab1" + value(30)]
+    rows = []
+    for i in range(300):
+        kind = r.choice(["look {} here", "password: {}", "secret={};", "{} {}", "plain text", "é {}."])
+        rows.append((r.choice([i, i, None]), kind.format(*(r.choice(pool[:r.choice([3, 15])]) for _ in range(2))), r.choice(["a", "b", "c", None])))
+    rows += [(1000 + i, f"only once {value(26)}", "z") for i in range(20)] + [(None, None, None), (2000, "", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_secrets(spark, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.spans, x.classes) for x in got), key=repr) == owned(rows)
+    assert {c for x in got for c in x.classes.split(",")} == {"", "live", "example"}
+    assert all(x.n_live + x.n_example == len(x.classes.split(",")) for x in got if x.spans)
