@@ -29,6 +29,9 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
             found = F.schema_of_variant(value)
             missing = found.isNull() | (found == "VOID")
             fits = found.rlike(f"^(?:{TYPES[kind]})$")
+            if kind == "integer":  # 1.0 and 1e0 are whole numbers, and so are those beyond 64 bits
+                number = F.try_variant_get(arguments, f"$['{field}']", "double")
+                fits = fits | (found.rlike(f"^(?:{TYPES['number']})$") & (number == F.rint(number)))
             if kind == "string" and least:
                 fits = fits & (F.length(F.try_variant_get(arguments, f"$['{field}']", "string")) >= least)
             ok = ok & F.when(missing, F.lit(not required)).otherwise(fits)
@@ -36,6 +39,18 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.coalesce(result, F.lit(False))
 
 
+#: A string of a JSON text, or a number without a fraction that is written with one.
+_POINT_ZERO = r'("(?:[^"\\]++|\\.)*+")|(-?[0-9]+)\.0+(?=[,}\]])'
+
+
+def canonical(json: Column) -> Column:
+    """JSON text with whole numbers in one form: 1.0 and 1e0 are written as 1.
+
+    Keys are in order and blanks gone already. Doubles from 10^7 on keep their exponent.
+    """
+    return F.when(json.contains(".0"), F.regexp_replace(json, _POINT_ZERO, "$1$2")).otherwise(json)
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
     """Adds ``level``: 0 where a conversation's calls only wait for earlier ones, so that their
     positions order them; else the length of the longest chain of calls before a call, null on a
@@ -77,8 +92,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     content), of equal calls each is linked. ``seq`` numbers the calls of a conversation in an order
     that respects ``after`` (position, then call_id, among calls that may come next); calls on a
     cycle have none and status cyclic. Other states: linked, unanswered, orphan (a result that
-    no call asked for, or without an id). ``json`` has its keys in order and no blanks; null fields are
-    left out, and so are arguments that are not JSON.
+    no call asked for, or without an id). ``json`` has its keys in order, no blanks and whole numbers
+    without a fraction; null fields are left out. Arguments that are not JSON, or repeat a key, are
+    invalid and stay in ``json`` as text under ``raw``. Very long texts are linked whole; extra
+    columns are not read; tables without rows give none.
     """
     first = (results.where("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id")
              .agg(F.min(F.struct("position", "content")).alias("r")))
@@ -93,8 +110,9 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     rows = met.select(
         "conv_id", "call_id", "position", seq.alias("seq"), F.col("r.position").alias("result_position"),
         status.alias("status"), valid_arguments(F.col("name"), parsed, schemas).alias("valid"),
-        F.to_json(F.struct(parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
-                           F.col("r.content").alias("result"))).alias("json"))
+        canonical(F.to_json(F.struct(
+            parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
+            F.when(parsed.isNull(), F.col("arguments")).alias("raw"), F.col("r.content").alias("result")))).alias("json"))
     ids = calls.select("conv_id", "call_id").where("call_id IS NOT NULL").distinct()
     orphans = results.join(ids, ["conv_id", "call_id"], "left_anti").select(
         "conv_id", "call_id", F.lit(None).cast("long").alias("position"), F.lit(None).cast("int").alias("seq"),
@@ -135,7 +153,8 @@ def repeated(calls: DataFrame, results: DataFrame) -> DataFrame:
 def every_turn(turns: DataFrame) -> DataFrame:
     """Each turn of plain conversations in one row: ``linked`` for user turns and their first answers,
     further answers as duplicate, and turns of other roles at their position with status system or
-    other, role and text in ``json``."""
+    other, role and text in ``json``. Null roles are other; a null conversation is one of its own; very
+    long texts stay whole; extra columns are not read; a table without rows gives none."""
     calls, results = turns_as_calls(turns)
     others = turns.where("role IS NULL OR role NOT IN ('user', 'assistant')").select(
         "conv_id", F.lit(None).cast("string").alias("call_id"), F.col("turn").cast("long").alias("position"),

@@ -26,6 +26,37 @@ def test_links_order_and_validation(spark):
     assert rows[4, "s", False].seq == 1 and rows[1, "nobody", True].result_position == 4 and rows[2, None, True].status == "orphan"
 
 
+def test_numbers_by_value_and_arguments_that_are_no_json(spark):
+    texts = ['{"a":1.0}', '{"a":1e0}', '{"a":1}', '{"a":1.50}', '{"a":123456789012345678901234567890}', '{"a":1,"a":2}', '{"a":', None,
+             '{"a":2,"note":"v1.0, \\"x\\":3.0}"}', '{"a":-4.0,"b":[1.0,2.5,{"c":10.0}]}', '{"a":"1.0"}']
+    calls = spark.createDataFrame([(1, f"{i:02}", i, "add", t, []) for i, t in enumerate(texts)], CALLS)
+    got = chat.linked(calls, spark.createDataFrame([], RESULTS), SCHEMAS).orderBy("call_id").collect()
+    assert [r.valid for r in got] == [True, True, True, False, True, False, False, False, True, False, False]
+    assert [r.json.split(',"id"')[0] for r in got[:5]] == [
+        '{"arguments":{"a":1}', '{"arguments":{"a":1}', '{"arguments":{"a":1}', '{"arguments":{"a":1.5}', '{"arguments":{"a":123456789012345678901234567890}']
+    assert [json.loads(got[i].json).get("raw") for i in (5, 6, 7)] == texts[5:8]
+    assert json.loads(got[8].json)["arguments"] == {"a": 2, "note": 'v1.0, "x":3.0}'}
+    assert got[9].json.startswith('{"arguments":{"a":-4,"b":[1,2.5,{"c":10}]}')
+
+
+def test_order_of_calls_that_wait_for_later_ones(spark):
+    """Any order that ``seq`` gives respects ``after``; the least position comes first among free calls of a level."""
+    calls = [(c, f"k{i}", i, "add", '{"a":1}', [f"k{j}" for j in ((i * 7 + 3 + c) % 9, (i * 5 + 1) % 9) if (j * 4 + c) % 9 < (i * 4 + c) % 9])
+             for c in range(20) for i in range(9)]
+    got = chat.linked(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    seq = {(r.conv_id, r.call_id): r.seq for r in got}
+    assert all(seq[c, d] < seq[c, k] for c, k, _, _, _, after in calls for d in after)
+    assert all(sorted(seq[c, f"k{i}"] for i in range(9)) == list(range(1, 10)) for c in range(20))
+
+
+def test_every_turn_without_rows_and_with_clashing_columns(spark):
+    schema = "conv_id long, turn long, role string, text string, call_id string, position string, json long, status long"
+    rows = [(1, 0, "user", "q" * 100_000, "x", "y", 1, 2), (1, 1, "assistant", None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert chat.every_turn(df.limit(0)).count() == 0
+    assert sorted(r.status for r in chat.every_turn(df).collect()) == ["linked", "other"]
+
+
 def test_plain_turns(spark):
     turns = [(1, 0, "assistant", "hi"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", ""), (2, 0, "user", None), (None, 0, "user", "n")]
     calls, results = chat.turns_as_calls(spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, after string"))
