@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
     ArrayType, IntegerType, LongType, StringType, StructField, StructType)
 
-from frameprobe.llm.tables import ROW, guarded, map_texts, numbered, settled, small
+from frameprobe.llm.tables import ROW, guarded, map_texts, numbered, small
 
 # The patterns of the kinds that are always reported, and the order of all kinds.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -127,10 +127,10 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     marked = (scan.select(ROW, F.explode(F.concat("__base", "__loose")).alias("s"))
               .select(ROW, "s.*").join(verdicts, "value")
               .where((F.col("kind") < KINDS.index("loose")) | (F.col("class") == "live")))
-    by_row = settled(marked.groupBy(ROW).agg(F.array_sort(F.collect_list(
-        F.struct("start", "kind", "end", "value", "class"))).alias("spans")))
+    by_row = small(marked.groupBy(ROW).agg(F.array_sort(F.collect_list(
+        F.struct("start", "kind", "end", "value", "class"))).alias("spans")), weight=1 + F.size("spans"))
     empty = F.expr("filter(array(named_struct('start', 0, 'kind', 0, 'end', 0, 'value', 0L, 'class', '')), x -> false)")
-    return (scan.drop("spans").join(small(by_row), ROW, "left").drop(ROW, "__base", "__loose")
+    return (scan.drop("spans").join(by_row, ROW, "left").drop(ROW, "__base", "__loose")
             .withColumn("spans", F.coalesce("spans", empty)))
 
 

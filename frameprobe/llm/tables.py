@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from frameprobe.session import ensure_checkpoint_dir, scratch_path
@@ -37,10 +37,14 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
     return written(df.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled table with the broadcast hint if its counted rows allow it, else without."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A settled table with the broadcast hint if its counted rows allow it, else without.
+
+    ``weight`` says for how many rows a row of any width counts.
+    """
     df = settled(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    count = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if count <= rows else df
 
 
 def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
