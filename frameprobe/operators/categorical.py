@@ -7,17 +7,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frameprobe.functions.columns import as_text, melt
+from frameprobe.functions.columns import as_text, col, kind, melt
 from frameprobe.functions.moments import clip01, ranked
 from frameprobe.operators.columns import CAT_CAT_LEVELS, grouping_names
+from frameprobe.operators.profile import TEXT_KEY_BYTES
+from frameprobe.session import ensure_checkpoint_dir, short_methods
 
 MAX_CATEGORIES = 15
 MAX_CAT_CAT_PAIRS = 30
 MIN_ROWS = 5
 # Cells and levels that a task holds before it hands them on.
 CELLS = 200_000
+# No column is nullable: Spark then puts no filters of its own before the sums, and a plan that uses the
+# cells several times finds them alike and makes them once.
+CELL_SCHEMA = "pair int NOT NULL, value1 string NOT NULL, value2 string NOT NULL, count bigint NOT NULL"
 
 
 def category_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
@@ -56,11 +61,17 @@ class _Products:
 
     Levels are numbered as they appear, 0 for a missing one. For each batch the product of two
     columns is taken over the occupied cells only; products are added up until CELLS are held.
+    A column of ``texts`` with over ``most`` levels takes no further part; the first ``most`` + 1 tell.
     """
 
-    def __init__(self, pairs: Sequence[tuple[int, int]], columns: int):
+    def __init__(self, pairs: Sequence[tuple[int, int]], columns: int,
+                 texts: Iterable[int] = (), most: int = 0):
         self.pairs = pairs
         self.columns = columns
+        self.texts = list(texts)
+        self.most = most
+        self.levels: dict[int, set[str]] = {i: set() for i in self.texts}
+        self.over: set[int] = set()
         self._clear()
 
     def _clear(self) -> None:
@@ -69,8 +80,19 @@ class _Products:
         self.held = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        numbered = [self._numbered(batch.column(i), known) for i, known in enumerate(self.codes)]
+        numbered = [None if i in self.over else self._numbered(batch.column(i), known)
+                    for i, known in enumerate(self.codes)]
+        for i in self.texts:
+            if i not in self.over and len(self.codes[i]) > self.most:
+                self.over.add(i)
+                self.levels[i].update(list(self.codes[i])[:self.most + 1])
+                self.codes[i] = {}
+                for k, pair in enumerate(self.pairs):
+                    if i in pair:
+                        self.parts[k] = []
         for parts, (a, b) in zip(self.parts, self.pairs):
+            if a in self.over or b in self.over:
+                continue
             width = len(self.codes[b]) + 1
             cells = numbered[a] * width + numbered[b]
             if (len(self.codes[a]) + 1) * width <= 4 * len(cells):
@@ -85,7 +107,7 @@ class _Products:
             self.held += int(both.sum())
         if self.held > CELLS:
             self.held = 0
-            for parts in self.parts:
+            for parts in filter(None, self.parts):
                 cells, counts = (np.concatenate(x) for x in zip(*parts))
                 cells, at = np.unique(cells, return_inverse=True)
                 parts[:] = [(cells, np.bincount(at, counts, len(cells)).astype(np.int64))]
@@ -111,8 +133,18 @@ class _Products:
                     [pa.array(np.full(len(cells), k, np.int32)), names[a].take(pa.array((cells >> 32) - 1)),
                      names[b].take(pa.array((cells & 0xFFFFFFFF) - 1)), pa.array(counts.astype(np.int64))],
                     names=["pair", "value1", "value2", "count"])
+        for i in self.texts:
+            self.levels[i].update(self.codes[i])
         self._clear()
 
+    def named(self) -> Iterator[pa.RecordBatch]:
+        """(-1 - column, level, "", 0) of the levels of ``texts``."""
+        rows = [(-1 - i, level) for i, found in self.levels.items() for level in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string()),
+             pa.array([""] * len(rows), pa.string()), pa.array([0] * len(rows), pa.int64())],
+            names=["pair", "value1", "value2", "count"])
+
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(pair, value1, value2, count) over the complete rows of every column pair.
@@ -122,24 +154,61 @@ def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
     at = {n: i for i, n in enumerate(names)}
-    wanted = [(at[a], at[b]) for a, b in pairs]
+    return _cells([as_text(df, n).cast("string") for n in names], df, [(at[a], at[b]) for a, b in pairs])
+
+
+def _cells(values: Sequence[Column], df: DataFrame, pairs: Sequence[tuple[int, int]],
+           texts: Sequence[int] = (), most: int = 0) -> DataFrame:
+    """CELL_SCHEMA: the cells of all pairs of ``values``, and the levels of ``texts`` under negative numbers."""
+    columns = len(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        products = _Products(wanted, len(names))
+        products = _Products(pairs, columns, texts, most)
         for batch in batches:
             if batch.num_rows:
                 products.add(batch)
             if products.full():
                 yield from products.handed()
         yield from products.handed()
+        yield from products.named()
 
-    text = df.select(*[as_text(df, n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
-    return (text.mapInArrow(run, "pair int, value1 string, value2 string, count long")
+    wide = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    return (wide.mapInArrow(run, CELL_SCHEMA)
             .groupBy("pair", "value1", "value2").agg(F.sum("count").alias("count")))
 
 
-def _pair_names(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    rows = [(k, a, b) for k, (a, b) in enumerate(pairs)]
+def _grouping_cells(df: DataFrame, id_cols: Iterable[str], most: int) -> tuple[list[str], list[int], DataFrame]:
+    """The grouping columns, the numbers of their pairs and the cells, from one scan of the table.
+
+    Which columns group is not known before: a task counts the pairs of all text and boolean columns,
+    and leaves out a text as soon as it has seen more than ``most`` levels of it.
+    """
+    excluded = set(id_cols)
+    usable = [(f.name, kind(f.dataType)) for f in df.schema
+              if f.name not in excluded and kind(f.dataType) in ("string", "boolean")]
+    names = [n for n, _ in usable]
+    texts = [i for i, (_, family) in enumerate(usable) if family == "string"]
+    pairs = list(combinations(range(len(names)), 2))
+    # Levels need only be told apart: a long one counts by its digest, which no short one can equal.
+    values = [F.when(F.octet_length(col(n)) > TEXT_KEY_BYTES, F.concat(F.lit("#"), F.sha2(col(n), 256))).otherwise(col(n))
+              if family == "string" else as_text(df, n) for n, family in usable]
+    found = _kept(_cells(values, df, pairs, texts, most))
+    levels = {-1 - r.pair: r["count"] for r in found.filter("pair < 0").groupBy("pair").count().collect()}
+    groups = [i for i in range(len(names)) if i not in texts or 2 <= levels.get(i, 0) <= most]
+    numbers = [k for k, (a, b) in enumerate(pairs) if a in groups and b in groups]
+    return [names[i] for i in groups], numbers, found
+
+
+def _kept(cells: DataFrame) -> DataFrame:
+    """The cells, made now and stored: they are read several times."""
+    spark = cells.sparkSession
+    ensure_checkpoint_dir(spark)
+    with short_methods(spark):
+        return cells.checkpoint()
+
+
+def _pair_names(df: DataFrame, pairs: Sequence[tuple[str, str]], numbers: Sequence[int] | None = None) -> DataFrame:
+    rows = [(k, a, b) for k, (a, b) in zip(range(len(pairs)) if numbers is None else numbers, pairs)]
     return F.broadcast(df.sparkSession.createDataFrame(rows, "pair int, col1 string, col2 string"))
 
 
@@ -156,7 +225,11 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     -1 marks a pair with under 5 complete rows or a side with one level. Needs the occupied cells
     only: chi2 = n * (sum of count^2 / (row total * column total) - 1).
     """
-    cells = contingency(df, pairs)
+    return _association(contingency(df, pairs), _pair_names(df, pairs))
+
+
+def _association(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """``cramers_v`` from the cells of the pairs in ``names``."""
     # Joins rather than windows: a value with unboundedly many partners must not fill one task, and
     # adaptive execution splits it here. Totals of grouping columns are small and get broadcast.
     rows = cells.groupBy("pair", "value1").agg(F.sum("count").alias("r"))
@@ -164,14 +237,14 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     count = F.col("count").cast("double")
     ratio = (cells.join(rows, ["pair", "value1"]).join(columns, ["pair", "value2"]).groupBy("pair")
              .agg(F.sum(count * count / (F.col("r").cast("double") * F.col("c"))).alias("ratio")))
+    # Either sum of totals is n; asked for on both sides, so that neither side makes cells of its own.
     summed = (rows.groupBy("pair").agg(F.sum("r").alias("n"), F.count("*").alias("levels1"))
-              .join(columns.groupBy("pair").agg(F.count("*").alias("levels2")), "pair")
+              .join(columns.groupBy("pair").agg(F.sum("c").alias("n"), F.count("*").alias("levels2")), ["pair", "n"])
               .join(ratio, "pair"))
     n = F.col("n")
     narrow = F.least("levels1", "levels2")
     chi2 = F.greatest(F.lit(0.0), n * (F.col("ratio") - 1))
     usable = (n >= MIN_ROWS) & (narrow >= 2)
-    names = _pair_names(df, pairs)
     return names.join(summed, "pair", "left").select(
         "pair", "col1", "col2", F.coalesce(n, F.lit(0)).alias("n"),
         F.when(usable, chi2).alias("chi2"),
@@ -182,14 +255,19 @@ def cramers_ranking(df: DataFrame, max_pairs: int = MAX_CAT_CAT_PAIRS,
                     id_cols: Iterable[str] = (), columns: Iterable[str] | None = None) -> DataFrame:
     """(col1, col2, n, chi2, v, rank): pairs of grouping columns, strongest association first."""
     if columns is None:
-        columns = grouping_names(df, CAT_CAT_LEVELS, id_cols)
+        columns, numbers, cells = _grouping_cells(df, id_cols, CAT_CAT_LEVELS)
+    else:
+        columns, numbers, cells = list(columns), None, None
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "col1 string, col2 string, n long, chi2 double, v double, rank int")
+    if cells is None:
+        numbers, cells = list(range(len(pairs))), _kept(contingency(df, pairs))
+    names = _pair_names(df, pairs, numbers)
     order = (F.desc(ranked("v")), "pair")
     # One row per column pair, so a single ordered partition is small.
-    return (cramers_v(df, pairs).filter(F.col("v") >= 0)
+    return (_association(cells.join(names.select("pair"), "pair", "left_semi"), names).filter(F.col("v") >= 0)
             .orderBy(*order).limit(max_pairs)
             .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("col1", "col2", "n", "chi2", "v", "rank"))
@@ -198,11 +276,11 @@ def cramers_ranking(df: DataFrame, max_pairs: int = MAX_CAT_CAT_PAIRS,
 def crosstab_percent(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(col1, col2, value1, value2, count, pct): row percentages, empty cells included."""
     cells = contingency(df, pairs)
-    # One row per level on either side, joined on the pair: the cells themselves are what is asked for.
-    grid = (cells.select("pair", "value1").distinct().join(cells.select("pair", "value2").distinct(), "pair")
-            .select("pair", "value1", "value2", F.lit(0).cast("bigint").alias("count")))
-    filled = cells.unionByName(grid).groupBy("pair", "value1", "value2").agg(F.sum("count").alias("count"))
-    total = F.sum("count").over(Window.partitionBy("pair", "value1"))
-    return (filled.withColumn("pct", F.col("count") / total * 100)
+    # One row per level on either side, joined on the pair: the grid is what is asked for. The totals go
+    # with the levels, so that all three uses of the cells are alike and the table is read once.
+    rows = cells.groupBy("pair", "value1").agg(F.sum("count").alias("total"))
+    columns = cells.groupBy("pair", "value2").agg(F.sum("count").alias("c")).filter(F.col("c") > 0).drop("c")
+    filled = rows.join(columns, "pair").join(cells, ["pair", "value1", "value2"], "left").fillna(0, ["count"])
+    return (filled.withColumn("pct", F.col("count") / F.col("total") * 100)
             .join(_pair_names(df, pairs), "pair")
             .select("col1", "col2", "value1", "value2", "count", "pct"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def build_session(name: str = "frameprobe", master: str | None = None,
                   shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
@@ -42,3 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table that must be written and read back."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """For jobs run inside: methods over 8,000 bytes, which HotSpot does not compile but interprets, are
+    not generated; Spark's own advice for ``METHOD_LIMIT``. Expressions of many columns beside each other
+    come to that. Rows in long form are better off without, so the session's value returns afterwards.
+    """
+    before = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, str(min(int(before), 8_000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frameprobe.operators import categorical, grouped
+from frameprobe.operators import categorical, columns, grouped
+from frameprobe.session import METHOD_LIMIT
 
 
 def v_of(frame, a, b):
@@ -177,3 +178,47 @@ def test_products_of_many_levels_are_flushed_and_added(spark, monkeypatch):
             want[0, a, b] += 1
             want[2, b, b] += 1
     assert got == dict(want)
+
+
+def counting(spark, df, name):
+    """The table with one column through a function that counts the rows it sees."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(name, F.udf(through, "string")(name)), seen
+
+
+def test_association_works_every_row_through_once(spark):
+    df = spark.range(0, 3_000, 1, 6).select(
+        (F.col("id") % 4).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"),
+        (F.col("id") % 10 + F.col("id") % 7).cast("string").alias("c"))
+    for run in (lambda t: categorical.cramers_v(t, [("a", "b"), ("a", "c")]), categorical.cramers_ranking,
+                lambda t: categorical.cramers_ranking(t, columns=["a", "b"]),
+                lambda t: categorical.crosstab_percent(t, [("a", "b"), ("c", "a")])):
+        counted, seen = counting(spark, df, "a")
+        assert run(counted).collect()
+        assert seen.value == 3_000
+
+
+def test_grouping_columns_found_while_counting(spark):
+    """Levels beyond the limit show in one task or only over all; long texts, gaps and booleans group too."""
+    long = F.repeat(F.lit("x"), 100)
+    i = F.col("id")
+    df = spark.range(0, 2_400, 1, 8).select(
+        (i % 10).cast("string").alias("ten"), (i % 11).cast("string").alias("eleven"),
+        F.floor(i / 200).cast("string").alias("spread"), F.concat(long, (i % 3).cast("string")).alias("long"),
+        (i % 5 == 0).alias("flag"), F.lit("one").alias("one"), F.expr("IF(id % 2 = 0, NULL, string(id % 6))").alias("gaps"),
+        F.lit(None).cast("string").alias("gone"), i.cast("string").alias("unique"), (i % 2).cast("string").alias("out"))
+    names = columns.grouping_names(df, columns.CAT_CAT_LEVELS, ["out"])
+    assert list(names) == ["ten", "long", "flag", "gaps"]
+    want = categorical.cramers_ranking(df, columns=names).collect()
+    assert categorical.cramers_ranking(df, id_cols=["out"]).collect() == want and len(want) == 6
+
+
+def test_counting_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(METHOD_LIMIT)
+    categorical.cramers_ranking(spark.createDataFrame([("a", "x"), ("b", "y")] * 5, "a string, b string")).collect()
+    assert spark.conf.get(METHOD_LIMIT) == before
