@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def skewness(value: Column) -> Column:
-    """Bias-corrected skewness; NULL below 3 values and 0 for a constant."""
-    n = F.count(value).cast("double")
-    corrected = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when(n < 3, None).when(F.min(value) == F.max(value), 0.0).otherwise(corrected)
-
-
-def kurtosis(value: Column) -> Column:
-    """Bias-corrected excess kurtosis; NULL below 4 values and 0 for a constant."""
-    n = F.count(value).cast("double")
-    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6)
-    return F.when(n < 4, None).when(F.min(value) == F.max(value), 0.0).otherwise(corrected)
+def skewness_of(n: Column, m2: Column, m3: Column, lo: str = "lo", hi: str = "hi") -> Column:
+    """Bias-corrected skewness from the sums of powers about the mean; NULL below 3 values and 0 for a
+    constant."""
+    n = n.cast("double")
+    plain = F.try_divide(F.sqrt(n) * m3, F.sqrt(m2 * m2 * m2))
+    corrected = plain * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n < 3, None).when(F.col(lo) == F.col(hi), 0.0).otherwise(corrected)
+
+
+def kurtosis_of(n: Column, m2: Column, m4: Column, lo: str = "lo", hi: str = "hi") -> Column:
+    """Bias-corrected excess kurtosis from the sums of powers about the mean; NULL below 4 values and 0
+    for a constant."""
+    n = n.cast("double")
+    plain = F.try_divide(n * m4, m2 * m2) - 3
+    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * plain + 6)
+    return F.when(n < 4, None).when(F.col(lo) == F.col(hi), 0.0).otherwise(corrected)
+
+
+def std_of(n: Column, m2: Column, lo: str = "lo", hi: str = "hi") -> Column:
+    """Sample standard deviation from the sum of squares about the mean, 0 for a constant."""
+    return F.when(n < 2, None).when(F.col(lo) == F.col(hi), 0.0).otherwise(F.sqrt(m2 / (n - 1)))
 
 
 def std(value: Column) -> Column:

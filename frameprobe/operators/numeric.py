@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from frameprobe.functions import moments
 from frameprobe.functions.columns import as_double, kind, melt, melt_numeric, round_half_even
-from frameprobe.operators.quantiles import Span, exact_quantiles
+from frameprobe.operators.quantiles import RESIDUE_ROWS, Span, Wide, counted_quantiles, exact_quantiles
+from frameprobe.session import ensure_checkpoint_dir, short_methods
 
 # Columns that the analysis charts; the operators themselves take all unless told otherwise.
 MAX_COLUMNS = 50
@@ -24,6 +26,8 @@ KERNEL_BOXES = 4
 KERNEL_TERMS = 36
 # Boxes that a task holds before it hands their sums on.
 HELD_BOXES = 50_000
+# A column with up to so many distinct values in each task is counted by value while its moments are taken.
+FEW_VALUES = 4_096
 
 
 @dataclass(frozen=True)
@@ -54,18 +58,103 @@ def numeric_columns(df: DataFrame, max_cols: int | None = None) -> list[str]:
     return names if max_cols is None else names[:max_cols]
 
 
-def moments_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position, n, mean, std, lo, hi, skewness, kurtosis): one scan, one row per column."""
-    v = F.col("v")
-    return melt_numeric(df, columns).groupBy("position").agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        moments.std(v).alias("std"),
-        F.min(v).alias("lo"),
-        F.max(v).alias("hi"),
-        moments.skewness(v).alias("skewness"),
-        moments.kurtosis(v).alias("kurtosis"),
-    )
+class _Surveyed:
+    """Moments of one column over a task's rows, and its values with their counts while they are few."""
+
+    def __init__(self):
+        self.n, self.total, self.mean, self.sums = 0, 0.0, 0.0, np.zeros(3)
+        self.lo, self.hi = math.inf, -math.inf
+        self.counts: list[tuple[np.ndarray, np.ndarray]] | None = []
+        self.held = 0
+
+    def add(self, v: np.ndarray) -> None:
+        """Values, at least one: their sum in the order of the rows, their moments by those about their own mean."""
+        with np.errstate(all="ignore"):
+            self.total = float(np.cumsum(np.concatenate([[self.total], v]))[-1])
+        v = np.sort(v)
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        values, counts = v[first], np.diff(np.append(first, len(v)))
+        with np.errstate(all="ignore"):
+            n, mean = len(v), float((values * counts).sum() / len(v))
+            off = values - mean
+            square = counts * off * off
+            added = np.array([square.sum(), (square * off).sum(), (square * off * off).sum()])
+            total = self.n + n
+            apart = mean - self.mean if self.n else 0.0
+            old, new = -apart * n / total, apart * self.n / total
+            self.sums = _moved(self.n, self.sums, old) + _moved(n, added, new)
+            self.mean = self.mean + apart * n / total if self.n else mean
+        self.n = total
+        self.lo, self.hi = min(self.lo, float(v[0])), max(self.hi, float(v[-1]))
+        if self.counts is not None:
+            self.counts.append((values, counts))
+            self.held += len(values)
+            if self.held > 4 * FEW_VALUES or len(values) > FEW_VALUES:
+                self.counts = [self.counted()]
+                self.held = len(self.counts[0][0])
+                if self.held > FEW_VALUES:
+                    self.counts = None
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([v for v, _ in self.counts]), return_inverse=True)
+        return values, np.bincount(at, np.concatenate([n for _, n in self.counts]), len(values)).astype(np.int64)
+
+
+def _moved(n: int, sums: np.ndarray, d: float) -> np.ndarray:
+    """Sums of the second to fourth powers of the distances to a mean, ``d`` away from that mean."""
+    m2, m3, m4 = sums
+    return np.array([m2 + n * d * d, m3 + 3 * d * m2 + n * d ** 3, m4 + 4 * d * m3 + 6 * d * d * m2 + n * d ** 4])
+
+
+SURVEY_SCHEMA = ("position int, part int, v double, n long, total double, mean double, m2 double, m3 double, m4 double, "
+                 "lo double, hi double, few boolean")
+
+
+def _survey(rows: DataFrame, columns: int) -> DataFrame:
+    """SURVEY_SCHEMA from one scan: a row with the moments for each task and column (``part`` from 0), and
+    the counts of the values (``part`` -1) of tasks that found few of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Surveyed] = {}
+        for batch in batches:
+            if batch.num_rows:
+                wide = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, columns)
+                for i in range(columns):
+                    v = wide[:, i]
+                    v = v[~np.isnan(v)]
+                    if len(v):
+                        held.setdefault(i, _Surveyed()).add(v)
+        part = TaskContext.get().partitionId()
+        rows = [(i, part, None, s.n, s.total, s.mean, *s.sums.tolist(), s.lo, s.hi, s.counts is not None) for i, s in held.items()]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), *[pa.float64()] * 7, pa.bool_()]
+        names = [field.split()[0] for field in SURVEY_SCHEMA.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+        for i, s in held.items():
+            if s.counts is not None:
+                values, counts = s.counted()
+                size = len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, i), pa.int32()), pa.array(np.full(size, -1), pa.int32()), pa.array(values),
+                     pa.array(counts), *(pa.nulls(size, kind) for kind in kinds[4:])], names=names)
+
+    rest = ("total", "mean", "m2", "m3", "m4", "lo", "hi", "few")
+    return rows.mapInArrow(run, SURVEY_SCHEMA).groupBy("position", "part", "v").agg(
+        F.sum("n").alias("n"), *[F.max(c).alias(c) for c in rest])
+
+
+def _merged_moments(survey: DataFrame) -> DataFrame:
+    """(position, n, mean, std, lo, hi, skewness, kurtosis, few): one row per column."""
+    parts = survey.filter("part >= 0")
+    n, d = F.col("n"), F.col("mean") - F.col("centre")
+    m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
+    centres = parts.groupBy("position").agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("centre"))
+    merged = parts.join(F.broadcast(centres), "position").groupBy("position").agg(
+        (F.sum("total") / F.sum(n)).alias("mean"), F.sum(m2 + n * d * d).alias("m2"), F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("m3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("m4"),
+        F.sum(n).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("few").alias("few"))
+    return merged.select(
+        "position", "n", "mean", moments.std_of(n, m2).alias("std"), "lo", "hi",
+        moments.skewness_of(n, m2, m3).alias("skewness"), moments.kurtosis_of(n, m2, m4).alias("kurtosis"), "few")
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
@@ -77,11 +166,23 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
     names = numeric_columns(df) if columns is None else list(columns)
     if not names:
         return []
-    found = {r.position: r for r in moments_table(df, names).collect()}
+    rows = df.select(F.array().cast("array<int>").alias("codes"), F.array(*[as_double(df, n) for n in names]).alias("v"))
+    ensure_checkpoint_dir(df.sparkSession)
+    with short_methods(df.sparkSession):
+        survey = _survey(rows, len(names)).checkpoint()
+    found = {r.position: r for r in _merged_moments(survey).collect()}
     points: dict[int, list] = {}
     if quartiles:
+        counts = survey.filter("part < 0").select("position", "v", "n")
+        sizes = {r.position: r["count"] for r in counts.groupBy("position").count().collect()}
+        few = {i for i, r in found.items() if r.few and sizes[i] <= RESIDUE_ROWS}
         spans = {i: Span(i, r.lo, r.hi, 0, r.n) for i, r in found.items()}
-        points = exact_quantiles(melt_numeric(df, names), spans, QUARTILES)
+        points = counted_quantiles(counts, {i: spans[i] for i in few}, QUARTILES)
+        many = sorted(set(spans) - few)
+        if many:
+            wide = Wide(rows.select("codes", F.array(*[F.get("v", F.lit(i)) for i in many]).alias("v")),
+                        {i: (None, 0, k) for k, i in enumerate(many)})
+            points |= exact_quantiles(wide, {i: spans[i] for i in many}, QUARTILES)
     out = []
     for i, name in enumerate(names):
         r = found.get(i)

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from frameprobe.operators import numeric
 
 
@@ -137,3 +139,46 @@ def test_density_far_from_all_values(spark, rows):
     direct = np.exp(-0.5 * ((found["x"].to_numpy()[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
     assert found["density"].to_numpy() == pytest.approx(direct, rel=1e-10, abs=0)
     assert direct.min() < 1e-30
+
+
+def test_moments_and_quartiles_of_few_values_take_one_scan(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(value):
+        seen.add(1)
+        return float(value % 7)
+
+    df = spark.range(0, 1_000, 1, 4).select(F.udf(through, "double")("id").alias("x"), (F.col("id") % 3).alias("y"))
+    found = {s.column: s for s in numeric.column_stats(df)}
+    assert (found["x"].q50, found["y"].q75, found["x"].count) == (3.0, 2.0, 1_000)
+    assert seen.value == 1_000
+
+
+@pytest.mark.parametrize("few, residue", [(4_096, 50_000), (5, 50_000), (4_096, 3)])
+def test_statistics_equal_those_of_spark_and_numpy(spark, monkeypatch, few, residue):
+    """Few values or many, in all tasks or in some; far from zero, endless, constant, missing."""
+    monkeypatch.setattr(numeric, "FEW_VALUES", few)
+    monkeypatch.setattr(numeric, "RESIDUE_ROWS", residue)
+    rng = np.random.default_rng(2)
+    n = 1_500
+    frame = pd.DataFrame({
+        "few": rng.integers(0, 4, n).astype(float), "many": rng.normal(size=n), "far": 1e9 + rng.normal(size=n),
+        "tail": np.exp(rng.normal(0, 5, n)), "sorted": np.repeat(np.arange(n // 5), 5).astype(float), "same": np.full(n, 0.1),
+        "gaps": np.where(rng.uniform(size=n) < 0.9, np.nan, rng.integers(0, 9, n)), "gone": np.full(n, np.nan),
+        "endless": np.where(np.arange(n) == 77, np.inf, rng.integers(0, 3, n))})
+    df = spark.createDataFrame(frame)
+    df = df.unionAll(df.limit(0)).coalesce(3)
+    found = {s.column: s for s in numeric.column_stats(df)}
+    for name in frame.columns:
+        data, s = frame[name].dropna().to_numpy(), found[name]
+        assert s.count == len(data)
+        if not len(data):
+            continue
+        own = df.filter(~F.isnan(name)).agg(F.avg(name), F.stddev_samp(name), F.skewness(name), F.kurtosis(name)).first()
+        n = len(data)
+        want = [own[0], *([0.0, 0.0, 0.0] if name == "same" else
+                          [own[1], own[2] * math.sqrt(n * (n - 1)) / (n - 2),
+                           (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * own[3] + 6)])]
+        assert [s.mean, s.std, s.skewness, s.kurtosis] == pytest.approx(want, rel=1e-6, abs=1e-6, nan_ok=True), name
+        assert [s.min, s.q25, s.q50, s.q75, s.max] == pytest.approx(
+            [data.min(), *np.quantile(data, [0.25, 0.5, 0.75]), data.max()], rel=1e-12), name

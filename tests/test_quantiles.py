@@ -1,8 +1,13 @@
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from frameprobe.operators import quantiles
-from frameprobe.operators.quantiles import Span, exact_quantiles, select_ranks, spans_of
+from frameprobe.operators.quantiles import Span, Wide, exact_quantiles, select_ranks, spans_of
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -63,3 +68,28 @@ def test_tiny_magnitudes_take_few_passes(spark, monkeypatch):
     values = table(spark, {0: raw})
     found = exact_quantiles(values, spans_of(values), (0.5,), residue_rows=50)
     assert found[0] == pytest.approx([np.median(raw)], rel=1e-12) and len(passes) <= 6
+
+
+def test_numbers_beside_each_other_are_counted_where_they_stand(spark):
+    """Groups of wide rows give what the long form gives: hot values, long tails, the largest numbers, gaps."""
+    rng = np.random.default_rng(11)
+    n = 4_000
+    table = pd.DataFrame({
+        "tail": np.exp(rng.normal(0, 60, n)) * rng.choice([-1, 1], n), "hot": np.where(rng.uniform(size=n) < 0.7, 5.0, rng.normal(size=n)),
+        "far": np.where(rng.uniform(size=n) < 0.3, rng.choice([np.inf, -np.inf, 1.7e308, -1.7e308, 0.0], n), rng.normal(size=n)),
+        "gaps": np.where(rng.uniform(size=n) < 0.5, np.nan, rng.uniform(size=n))})
+    table["code"] = rng.integers(0, 3, n)
+    df = spark.createDataFrame(table).repartition(5)
+    names = ["tail", "hot", "far", "gaps"]
+    v = F.array(*[F.when(~F.isnan(c), F.col(c)) for c in names])
+    groups = {k: (None, 0, k) for k in range(4)} | {4 + 4 * c + k: (0, c, k) for c in (1, 2) for k in range(4)}
+    wide = Wide(df.select(F.array(F.col("code").cast("int")).alias("codes"), v.alias("v")), groups)
+    parts = [df.filter("true" if by is None else f"code = {level}").select(F.lit(g).alias("position"), F.col(names[k]).alias("v"))
+             for g, (by, level, k) in groups.items()]
+    long = reduce(type(df).unionAll, parts).filter(~F.isnan("v"))
+    spans = spans_of(long)
+    want = exact_quantiles(long, spans, PROBS, residue_rows=50)
+    assert len(want) == 12
+    for residue in (50, 100_000):
+        got = exact_quantiles(wide, spans, PROBS, residue_rows=residue)
+        assert {g: list(map(str, x)) for g, x in got.items()} == {g: list(map(str, x)) for g, x in want.items()}
