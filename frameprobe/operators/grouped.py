@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from frameprobe.functions.columns import as_double, as_text, melt
 from frameprobe.functions.moments import clip01, ranked
 from frameprobe.operators.columns import CAT_NUM_LEVELS, grouping_names
 from frameprobe.operators.numeric import QUARTILES, WHISKER_REACH, numeric_columns
-from frameprobe.operators.quantiles import Span, exact_quantiles
+from frameprobe.operators.quantiles import Span, Wide, exact_quantiles, sorted_groups
 
 MAX_CAT_NUM_PAIRS = 60
 TOP_CATEGORIES = 8
@@ -125,11 +127,7 @@ def grouped_box(df: DataFrame, pairs: Sequence[tuple[str, str]], top: int = TOP_
     chosen = (group_moments(df, cat_names, num_names).join(F.broadcast(wanted), ["cat", "num"])
               .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
               .select("pair", "value", "rank", "n", "lo", "hi").orderBy("pair", "rank").collect())
-    keys = spark.createDataFrame([(i, r.pair, r.value) for i, r in enumerate(chosen)],
-                                 "position int, pair int, value string")
-    records = [(F.lit(k), as_text(df, c), as_double(df, n)) for k, (c, n) in enumerate(pairs)]
-    values = (melt(df, records, ("pair", "value", "v")).filter(F.col("v").isNotNull())
-              .join(F.broadcast(keys), ["pair", "value"]).select("position", "v"))
+    values = _leveled(df, cat_names, num_names, pairs, chosen)
     points = exact_quantiles(
         values, {i: Span(i, r.lo, r.hi, 0, r.n) for i, r in enumerate(chosen)}, QUARTILES)
     rows = []
@@ -140,11 +138,46 @@ def grouped_box(df: DataFrame, pairs: Sequence[tuple[str, str]], top: int = TOP_
     boxes = spark.createDataFrame(
         rows, "position int, cat_col string, num_col string, value string, rank int, count long, "
               "q25 double, q50 double, q75 double, lower_fence double, upper_fence double")
-    v, lower, upper = F.col("v"), F.col("lower_fence"), F.col("upper_fence")
-    reached = (values.join(F.broadcast(boxes.select("position", "lower_fence", "upper_fence")), "position")
-               .groupBy("position").agg(
-                   F.min(F.when(v >= lower, v)).alias("whisker_lo"),
-                   F.max(F.when(v <= upper, v)).alias("whisker_hi"),
-                   F.count_if((v < lower) | (v > upper)).alias("outliers")))
-    return reached.join(F.broadcast(boxes), "position").orderBy("position").select(
+    fences = {r[0]: r[-2:] for r in rows}
+    return _reached(values, fences).join(F.broadcast(boxes), "position").orderBy("position").select(
         *[part.split()[0] for part in schema.split(", ")])
+
+
+def _leveled(df: DataFrame, cats: Sequence[str], nums: Sequence[str], pairs: Sequence[tuple[str, str]],
+             chosen: Sequence) -> Wide:
+    """The numbers of each row and the place of its categories among those ``chosen`` of any pair."""
+    levels: list[dict[str, int]] = [{} for _ in cats]
+    groups = {}
+    for i, r in enumerate(chosen):
+        cat, num = pairs[r.pair]
+        known = levels[cats.index(cat)]
+        groups[i] = (cats.index(cat), known.setdefault(r.value, len(known) + 1), nums.index(num))
+    codes = [F.coalesce(F.array_position(F.array(*map(F.lit, known)), as_text(df, cat)), F.lit(0)).cast("int") if known
+             else F.lit(0) for cat, known in zip(cats, levels)]
+    return Wide(df.select(F.array(*codes).alias("codes"), F.array(*[as_double(df, n) for n in nums]).alias("v")), groups)
+
+
+def _reached(values: Wide, fences: dict[int, tuple[float, float]]) -> DataFrame:
+    """(position, whisker_lo, whisker_hi, outliers) of each group: extreme values inside its fences."""
+    groups = values.groups
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for group, v in sorted_groups(batch, groups) if batch.num_rows else ():
+                lower, upper = fences[group]
+                first, end = np.searchsorted(v, lower, "left"), np.searchsorted(v, upper, "right")
+                # a NaN fence lies above all values, as Spark compares
+                lo = v[first] if first < len(v) else None
+                hi = v[end - 1] if end else None
+                old = found.setdefault(group, [None, None, 0])
+                old[0] = lo if old[0] is None or (lo is not None and lo < old[0]) else old[0]
+                old[1] = hi if old[1] is None or (hi is not None and hi > old[1]) else old[1]
+                old[2] += int(first + len(v) - end)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.int32()), *(pa.array([x[k] for x in found.values()], kind)
+                                                  for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64())))],
+            names=["position", "whisker_lo", "whisker_hi", "outliers"])
+
+    return values.rows.mapInArrow(run, "position int, whisker_lo double, whisker_hi double, outliers long").groupBy("position").agg(
+        F.min("whisker_lo").alias("whisker_lo"), F.max("whisker_hi").alias("whisker_hi"), F.sum("outliers").alias("outliers"))

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from frameprobe.operators import categorical, columns, grouped
 from frameprobe.session import METHOD_LIMIT
@@ -222,3 +222,27 @@ def test_counting_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(METHOD_LIMIT)
     categorical.cramers_ranking(spark.createDataFrame([("a", "x"), ("b", "y")] * 5, "a string, b string")).collect()
     assert spark.conf.get(METHOD_LIMIT) == before
+
+
+def test_boxes_of_pairs_hand_each_row_on_once(spark, rows):
+    """All pairs are counted from the rows as they stand; their levels, gaps and endless values stay apart."""
+    rng = np.random.default_rng(8)
+    n = 1_200
+    frame = pd.DataFrame({"a": rng.choice(list("pqr"), n), "flag": rng.uniform(size=n) < 0.4, "x": rng.normal(size=n),
+                          "y": np.where(rng.uniform(size=n) < 0.5, np.nan, rng.integers(0, 5, n)),
+                          "z": np.where(np.arange(n) % 50 == 0, np.inf, rng.exponential(size=n))})
+    frame.loc[frame["a"] == "r", "y"] = np.nan
+    df = spark.createDataFrame(frame).repartition(4)
+    pairs = [(c, v) for c in ("a", "flag") for v in ("x", "y", "z")]
+    found = {(r["cat_col"], r["num_col"], r["value"]): r for r in rows(grouped.grouped_box(df, pairs, top=2))}
+    assert len(found) == 12
+    for (cat, num, value), r in found.items():
+        data = np.sort(frame.loc[frame[cat].astype(str) == value, num].dropna().to_numpy())
+        q25, q50, q75 = np.quantile(data, [0.25, 0.5, 0.75])
+        inside = data[(data >= q25 - 1.5 * (q75 - q25)) & (data <= q75 + 1.5 * (q75 - q25))]
+        assert (r["count"], r["outliers"]) == (len(data), len(data) - len(inside))
+        assert (r["q25"], r["q50"], r["q75"]) == pytest.approx((q25, q50, q75))
+        assert (r["whisker_lo"], r["whisker_hi"]) == (inside.min(), inside.max())
+    chosen = [Row(pair=k, value=v) for k, (c, _) in enumerate(pairs) for v in (("p", "q") if c == "a" else ("True", "False"))]
+    values = grouped._leveled(df, ["a", "flag"], ["x", "y", "z"], pairs, chosen)
+    assert values.rows.count() == n and len(values.groups) == 12
