@@ -29,6 +29,15 @@ REACH = 0.97
 #: Entries of an index block, queries of a query block, and index entries that meet a query block together.
 BLOCK_ROWS, QUERY_ROWS, GROUP_ROWS = 8192, 256, 1 << 19
 
+#: Groups of buckets of a length at least, as far as there are buckets: a query is copied to each that it visits.
+GROUPS = 64
+
+#: A search over more than one in so many entries sorts all cells; a narrower one takes them from a heap.
+WIDE = 16
+
+#: Query blocks whose least scores a task remembers.
+REMEMBERED = 2048
+
 
 def usable(vector: str = "embedding") -> Column:
     """Whether a vector takes part: not null or empty, all components finite, not all zero."""
@@ -57,6 +66,37 @@ def k_means(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) ->
     return centroids
 
 
+def _popped(near: np.ndarray, far: np.ndarray, held: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the cells with entries in both sorted lists of distances, by their sum, until they hold ``wanted``.
+
+    The multi-sequence walk: the pair with the least sum leaves the heap and its two successors
+    enter it once both their predecessors are out.
+    """
+    near, far, held = near.tolist(), far.tolist(), held.tolist()
+    heap, seen, cells = [(near[0] + far[0], 0, 0)], 0, []
+    out = [-1] * len(near)  # the last column that left the heap, of each row
+    while heap and seen < wanted:
+        _, r, c = heapq.heappop(heap)
+        out[r] = c
+        if held[r][c]:
+            seen += held[r][c]
+            cells.append((r, c))
+        if c + 1 < len(far) and (r == 0 or out[r - 1] > c):
+            heapq.heappush(heap, (near[r] + far[c + 1], r, c + 1))
+        if r + 1 < len(near) and out[r + 1] == c - 1:
+            heapq.heappush(heap, (near[r + 1] + far[c], r + 1, c))
+    rows, columns = np.array(cells, np.int64).reshape(-1, 2).T
+    return rows, columns
+
+
+def _sorted(near: np.ndarray, far: np.ndarray, held: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_popped``, by one sort of all cells with entries."""
+    held = held.ravel()
+    some = np.flatnonzero(held)
+    order = some[np.argsort((near[:, None] + far).ravel()[some], kind="stable")]
+    return np.divmod(order[:np.searchsorted(np.cumsum(held[order]), wanted) + 1], len(far))
+
+
 @dataclass
 class Codebook:
     """Centroids of both halves of the vectors of one length, and the share of all entries that a search visits."""
@@ -84,30 +124,19 @@ class Codebook:
         vectors, half = vectors / self.scale, self.first.shape[1]
         return _squares(vectors[:, :half], self.first), _squares(vectors[:, half:], self.second)
 
-    def visits(self, vectors: np.ndarray, counts: np.ndarray, wanted: float) -> Iterator[list[tuple[int, int]]]:
-        """For each vector its cells in the order of summed distance, until they hold ``wanted`` entries.
-
-        The multi-sequence walk: both lists of centroids are sorted by distance; the pair with the
-        least sum leaves the heap and its two successors enter it once both their predecessors are out.
-        """
+    def walks(self, vectors: np.ndarray, counts: np.ndarray, wanted: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector its cells, as two arrays, in the order of summed distance until they hold ``wanted`` entries."""
         one, two = self._halves(vectors)
         left, right = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
+        ordered = _sorted if wanted * WIDE > counts.sum() else _popped
         for a, b, x, y in zip(left, right, one, two):
-            near, far = x[a].tolist(), y[b].tolist()
-            held = counts[a][:, b].tolist()
-            heap, seen, cells = [(near[0] + far[0], 0, 0)], 0, []
-            out = [-1] * len(near)  # the last column that left the heap, of each row
-            while heap and seen < wanted:
-                _, r, c = heapq.heappop(heap)
-                out[r] = c
-                if held[r][c]:
-                    seen += held[r][c]
-                    cells.append((int(a[r]), int(b[c])))
-                if c + 1 < len(far) and (r == 0 or out[r - 1] > c):
-                    heapq.heappush(heap, (near[r] + far[c + 1], r, c + 1))
-                if r + 1 < len(near) and out[r + 1] == c - 1:
-                    heapq.heappush(heap, (near[r + 1] + far[c], r + 1, c))
-            yield cells
+            r, c = ordered(x[a], y[b], counts[np.ix_(a, b)], wanted)
+            yield a[r], b[c]
+
+    def visits(self, vectors: np.ndarray, counts: np.ndarray, wanted: float) -> Iterator[list[tuple[int, int]]]:
+        """``walks`` as a list of cells for each vector."""
+        for i, j in self.walks(vectors, counts, wanted):
+            yield list(zip(i.tolist(), j.tolist()))
 
     def _needed(self, sample: np.ndarray, k: int, reach: float) -> float:
         """The share of the sample's entries within which ``reach`` of the neighbours of TRIALS rows lie."""
@@ -172,19 +201,49 @@ def _fitted(rows: DataFrame, vector: str, k: int, reach: float) -> dict[int, Cod
     return books
 
 
-def _packed(k: int, groups: dict[int, list[int]], vector: str):
-    """Sorted rows to index blocks of one bucket. Of equal vectors the k + 1 first stay: the others cannot be among k."""
-    names = ["dim", "i", "part", "j", "ids", "rows", "vectors"]
+@dataclass
+class Groups:
+    """Runs of buckets (first centroids) of one length whose entries meet a query together: where each
+    begins, and the end of the last; the second centroids; the parts that the entries of each come in."""
 
-    def made(dim, i, block, held):
-        j, ids, rows, vectors = (np.concatenate(x) for x in zip(*held))
+    begins: np.ndarray
+    width: int
+    parts: list[int]
+
+    @classmethod
+    def fitted(cls, counts: np.ndarray) -> "Groups":
+        held = counts.sum(axis=1)
+        most = min(GROUP_ROWS, -(-int(held.sum()) // GROUPS))
+        begins, size = [], 0
+        for i, n in enumerate(held.tolist()):
+            if not begins or size + n > most:
+                begins.append(i)
+                size = 0
+            size += n
+        sizes = np.add.reduceat(held, begins)
+        return cls(np.array([*begins, len(held)]), counts.shape[1], (1 + sizes // GROUP_ROWS).tolist())
+
+    def of(self, i: int) -> int:
+        return int(np.searchsorted(self.begins, i, "right")) - 1
+
+
+#: Of a length without a codebook.
+ALONE = Groups(np.array([0, 1]), 1, [1])
+
+
+def _packed(k: int, groups: dict[int, Groups], kind: type, vector: str):
+    """Sorted rows to index blocks of one group. Of equal vectors the k + 1 first stay: the others cannot be among k."""
+    names = ["dim", "g", "part", "cells", "ids", "rows", "vectors"]
+
+    def made(dim, g, block, held):
+        cells, ids, rows, vectors = (np.concatenate(x) for x in zip(*held))
         return pa.RecordBatch.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([i], pa.int32()), pa.array([block % groups.get(dim, [1])[i]], pa.int32()),
-             *(pa.array([x.tobytes()], pa.binary()) for x in (j.astype(np.int32), ids, rows, vectors))], names=names)
+            [pa.array([dim], pa.int32()), pa.array([g], pa.int32()), pa.array([block % groups.get(dim, ALONE).parts[g]], pa.int32()),
+             *(pa.array([x.tobytes()], pa.binary()) for x in (cells.astype(np.int32), ids, rows, vectors.astype(kind)))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, key, held, size = TaskContext.get().partitionId(), None, [], 0
-        last, copies = None, 0
+        bucket, last, copies = None, None, 0
         for batch in batches:
             where = np.stack([batch.column(c).to_numpy() for c in ("dim", "i")], axis=1)
             j, ids, rows = (batch.column(c).to_numpy() for c in ("j", "id", ROW))
@@ -194,11 +253,16 @@ def _packed(k: int, groups: dict[int, list[int]], vector: str):
                 if a == b:
                     continue
                 dim, i = where[a].tolist()
-                if (dim, i) != key:
+                group = groups.get(dim, ALONE)
+                g = group.of(i)
+                if (dim, g) != key:
                     if held:
                         yield made(*key, block, held)
                         block += 1
-                    key, held, size, last = (dim, i), [], 0, None
+                    key, held, size = (dim, g), [], 0
+                if (dim, i) != bucket:
+                    bucket, last = (dim, i), None
+                cells = (i - int(group.begins[g])) * group.width + j[a:b]
                 values = flat[begins[a]:begins[b - 1] + dim].reshape(-1, dim).astype(float) + 0.0
                 number = np.zeros(b - a, np.int64)  # place of a row among those with its vector
                 same = np.empty(b - a, bool)
@@ -211,7 +275,7 @@ def _packed(k: int, groups: dict[int, list[int]], vector: str):
                 stay = np.flatnonzero(number <= k)
                 while len(stay):
                     some, stay = stay[:BLOCK_ROWS - size], stay[BLOCK_ROWS - size:]
-                    held.append((j[a:b][some], ids[a:b][some], rows[a:b][some], values[some]))
+                    held.append((cells[some], ids[a:b][some], rows[a:b][some], values[some]))
                     size += len(some)
                     if size == BLOCK_ROWS:
                         yield made(*key, block, held)
@@ -222,82 +286,80 @@ def _packed(k: int, groups: dict[int, list[int]], vector: str):
     return run
 
 
-def _asked(books: dict[int, Codebook], counts: dict[int, np.ndarray], groups: dict[int, list[int]], k: int, vector: str):
-    """Queries to one row for each bucket, and part of it, that their walk visits: with the visited cells as bits."""
-    names = ["dim", "i", "part", "q_row", "q_id", "q_vector", "visited"]
+def _asked(books: dict[int, Codebook], counts: dict[int, np.ndarray], groups: dict[int, Groups], k: int, kind: type, vector: str):
+    """Queries to blocks of them, one for each group, and part of it, that their walks visit: with the visited cells as bits."""
+    names = ["dim", "g", "part", "q_rows", "q_ids", "q_vectors", "visited"]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column("id").to_pylist(), batch.column(ROW).to_pylist()
+            ids, rows = batch.column("id").to_numpy(), batch.column(ROW).to_numpy()
             for dim, at, values in _by_size(batch.column(vector)):
-                for n in range(0, len(at), 64):
-                    some, out = at[n:n + 64], []
-                    book = books.get(dim)
-                    walks = [[(0, 0)]] * len(some)
+                book, group = books.get(dim), groups.get(dim, ALONE)
+                for n in range(0, len(at), QUERY_ROWS):
+                    some, asked = at[n:n + QUERY_ROWS], values[n:n + QUERY_ROWS]
+                    bits = np.full((len(some), int(group.begins[-1]), group.width), 0 if book else 1, np.uint8)
                     if book:
-                        walks = book.visits(values[n:n + 64], counts[dim], max(k + 1, np.ceil(book.share * counts[dim].sum())))
-                    for place, value, walk in zip(some.tolist(), values[n:n + 64], walks):
-                        bits = np.zeros((len(book.first), len(book.second)) if book else (1, 1), np.uint8)
-                        bits[tuple(np.array(walk).T)] = 1
-                        packed = np.packbits(bits, axis=1, bitorder="little")
-                        own = rows[place], ids[place], value.tobytes()
-                        out += [(dim, i, part, *own, packed[i].tobytes())
-                                for i in np.flatnonzero(bits.any(axis=1)).tolist() for part in range(groups.get(dim, [1])[i])]
-                    kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.binary()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        wanted = max(k + 1, np.ceil(book.share * counts[dim].sum()))
+                        for own, cells in zip(bits, book.walks(asked, counts[dim], wanted)):
+                            own[cells] = 1
+                    for g, parts in enumerate(group.parts):
+                        own = bits[:, group.begins[g]:group.begins[g + 1]].reshape(len(some), -1)
+                        met = np.flatnonzero(own.any(axis=1))
+                        if len(met):
+                            block = [x.tobytes() for x in (rows[some[met]], ids[some[met]], asked[met].astype(kind),
+                                                           np.packbits(own[met], axis=1, bitorder="little"))]
+                            columns = [[dim] * parts, [g] * parts, list(range(parts)), *([x] * parts for x in block)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return run
 
 
-def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to blocks of queries of one bucket."""
-    names = ["dim", "i", "part", "q_rows", "q_ids", "q_vectors", "visited"]
-    key, held = None, []
-
-    def made():
-        rows, ids, vectors, visited = zip(*held)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([x], pa.int32()) for x in key),
-             *(pa.array([x], pa.binary()) for x in (np.array(rows, np.int64).tobytes(), np.array(ids, np.int64).tobytes(),
-                                                    b"".join(vectors), b"".join(visited)))], names=names)
-
-    for batch in batches:
-        for *where, row, id_, value, visited in zip(*(c.to_pylist() for c in batch.columns)):
-            if where != key or len(held) == QUERY_ROWS:
-                if held:
-                    yield made()
-                key, held = where, []
-            held.append((row, id_, value, visited))
-    if held:
-        yield made()
-
-
-def _ranked(k: int):
-    """Pairs of an index block and a query block to the k nearest visited entries of each query."""
+def _ranked(k: int, kind: type):
+    """Pairs of an index block and a query block to the nearest visited entries of each query, k at most, without
+    those farther off than k others that the task has met."""
     names = ["q_row", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, bytes], np.ndarray] = {}  # the k least scores of each query of a block
         for batch in batches:
-            for dim, j, ids, rows, vectors, q_rows, q_ids, q_vectors, visited in zip(*(c.to_pylist() for c in batch.columns)):
-                j, ids, rows = np.frombuffer(j, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
-                vectors, queries = (np.frombuffer(x, float).reshape(-1, dim) for x in (vectors, q_vectors))
+            for dim, cells, ids, rows, vectors, q_rows, q_ids, q_vectors, visited in zip(*(c.to_pylist() for c in batch.columns)):
+                block = dim, q_rows
+                cells, ids, rows = np.frombuffer(cells, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
+                vectors, queries = (np.frombuffer(x, kind).reshape(-1, dim).astype(float) for x in (vectors, q_vectors))
                 q_rows, q_ids = np.frombuffer(q_rows, np.int64), np.frombuffer(q_ids, np.int64)
                 bits = np.unpackbits(np.frombuffer(visited, np.uint8).reshape(len(q_rows), -1), axis=1, bitorder="little")
+                known = least.get(block)
+                if known is None:
+                    known = np.full((len(q_rows), k), np.inf)
                 scale = max(np.abs(vectors).max(), np.abs(queries).max())
-                x, q = vectors / scale, queries / scale
-                near = _squares(q, x)
-                near[(bits[:, j] == 0) | (q_rows[:, None] == rows)] = np.inf
+                near = _squares(queries / scale, vectors / scale)
+                near[(bits[:, cells] == 0) | (q_rows[:, None] == rows)] = np.inf
                 # squared distances of scaled vectors are at most 4 * dim and wrong by a few units of the last place of that
                 error = 64 * dim * (dim + 8) * 2.0 ** -52
-                out = []
-                for n in range(len(q_rows)):
-                    some = np.flatnonzero(near[n] < np.inf)
-                    if len(some) > k:
-                        limit = np.partition(near[n][some], k - 1)[k - 1] + error
-                        some = some[near[n][some] <= limit]
-                    score = distances(vectors[some], queries[n])
-                    best = np.lexsort((ids[some], score))[:k]
-                    out.append((np.full(len(best), n), ids[some[best]], score[best]))
+                with np.errstate(over="ignore"):
+                    limit = (known[:, -1] / scale) ** 2
+                if len(ids) > k:
+                    limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
+                close = (near <= limit[:, None] + error) & (near < np.inf)
+                total, first, out, fresh = np.cumsum(close.sum(axis=1)), 0, [], np.full(known.shape, np.inf)
+                while first < len(q_rows):  # a run of queries with about BLOCK_ROWS entries
+                    before = total[first - 1] if first else 0
+                    end = max(first + 1, int(np.searchsorted(total, before + BLOCK_ROWS, "right")))
+                    at, entry = np.nonzero(close[first:end])
+                    at += first
+                    score = distances(vectors[entry], queries[at])
+                    order = np.lexsort((ids[entry], score, at))
+                    at, entry, score = at[order], entry[order], score[order]
+                    place = np.arange(len(at)) - np.searchsorted(at, at)
+                    stay = np.flatnonzero((place < k) & (score <= known[at, -1]))
+                    at, entry, score = at[stay], entry[stay], score[stay]
+                    fresh[at, place[stay]] = score
+                    out.append((at, ids[entry], score))
+                    first = end
+                if block not in least and len(least) >= REMEMBERED:
+                    least.clear()
+                least[block] = np.sort(np.hstack([known, fresh]), axis=1)[:, :k]
                 at, found, score = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(found), pa.array(score)], names=names)
@@ -315,6 +377,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     that the fit found to reach ``reach`` of the sample's neighbours, and its entries are ranked
     by the distances of the original vectors. ``reach`` 1 visits every cell and is exact.
 
+    Index and query blocks meet by a merge join. Its hint keeps Spark from a broadcast of the query
+    blocks, whose size it takes for that of the queries before they are copied to their groups.
+
     Candidates of a query are all rows but itself, also those that share its id or its vector; equal
     scores rank by smaller id. Of equal vectors the index keeps at least the k + 1 with the smallest
     ids, since no other one can be among k. Null, empty and zero vectors, those with null or
@@ -344,21 +409,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     entries = written(rows.mapInArrow(placed, schema), "entries")
     # as many numbers as pairs of centroids, for the lengths with a codebook
     counts = {dim: np.zeros((len(b.first), len(b.second)), np.int64) for dim, b in books.items()}
-    for r in entries.where(F.col("dim").isin(list(books))).groupBy("dim", "i", "j").count().collect():
-        counts[r.dim][r.i, r.j] = r["count"]
-    groups = {dim: (1 + n.sum(axis=1) // GROUP_ROWS).tolist() for dim, n in counts.items()}
+    held = entries.where(F.col("dim").isin(list(books))).groupBy("dim", "i", "j").count().toArrow()
+    for dim, i, j, n in zip(*(c.to_numpy() for c in held.columns)):
+        counts[dim][i, j] = n
+    groups = {dim: Groups.fitted(n) for dim, n in counts.items()}
+    kind = np.float32 if isinstance(element, T.FloatType) else np.float64
 
     index = written(entries.repartitionByRange(parts, "dim", "i", "j", ROW).sortWithinPartitions("dim", "i", "j", "vector", "id").mapInArrow(
-        _packed(k, groups, "vector"), "dim int, i int, part int, j binary, ids binary, rows binary, vectors binary"), "index")
-    asked = entries.where("asked")
-    split = 1 + asked.count() // (16 * QUERY_ROWS)
-    walked = asked.repartition(parts).mapInArrow(
-        _asked(books, counts, groups, k, "vector"), "dim int, i int, part int, q_row long, q_id long, q_vector binary, visited binary")
-    blocks = walked.repartition(parts, "dim", "i", "part", F.pmod(F.xxhash64("q_row"), F.lit(split))).sortWithinPartitions(
-        "dim", "i", "part").mapInArrow(_query_blocks, "dim int, i int, part int, q_rows binary, q_ids binary, q_vectors binary, visited binary")
-    met = index.join(blocks, ["dim", "i", "part"]).select(
-        "dim", "j", "ids", "rows", "vectors", "q_rows", "q_ids", "q_vectors", "visited").mapInArrow(
-        _ranked(k), "q_row long, query_id long, vec_id long, score double")
+        _packed(k, groups, kind, "vector"), "dim int, g int, part int, cells binary, ids binary, rows binary, vectors binary"), "index")
+    blocks = entries.where("asked").repartition(parts).mapInArrow(
+        _asked(books, counts, groups, k, kind, "vector"), "dim int, g int, part int, q_rows binary, q_ids binary, q_vectors binary, visited binary")
+    met = index.join(blocks.hint("merge"), ["dim", "g", "part"]).select(
+        "dim", "cells", "ids", "rows", "vectors", "q_rows", "q_ids", "q_vectors", "visited").mapInArrow(
+        _ranked(k, kind), "q_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("q_row").orderBy("score", "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -90,6 +90,44 @@ def test_walk_goes_by_summed_distance():
     assert sum(counts[c] for c in few) >= 50 > sum(counts[c] for c in few[:-1])
 
 
+def test_heap_and_sort_give_one_walk():
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 1), (1, 7), (9, 1), (16, 12), (32, 32)]:
+        near, far = (np.sort(rng.integers(0, 9, size)).astype(float) for size in (n, m))  # many equal sums
+        held = rng.integers(0, 3, (n, m))
+        for wanted in (1, held.sum() // 3, held.sum(), held.sum() + 5):
+            one, two = (np.stack(f(near, far, held, wanted)) for f in (neighbours._popped, neighbours._sorted))
+            assert one.tolist() == two.tolist()
+
+
+def test_groups_hold_all_buckets_and_few_entries(monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 50)
+    monkeypatch.setattr(neighbours, "GROUPS", 4)
+    counts = np.zeros((12, 3), np.int64)
+    counts[:, 1] = [0, 9, 10, 0, 30, 5, 120, 0, 0, 8, 8, 0]
+    groups = neighbours.Groups.fitted(counts)
+    assert groups.begins[0] == 0 and groups.begins[-1] == 12 and (np.diff(groups.begins) > 0).all() and groups.width == 3
+    for a, b, parts in zip(groups.begins, groups.begins[1:], groups.parts):
+        held = counts[a:b].sum()
+        assert parts == 1 + held // 50 and (held <= 50 or (counts[a:b].sum(axis=1) > 0).sum() == 1)
+        assert {groups.of(i) for i in range(a, b)} == {groups.begins.tolist().index(a)}
+    counts[:, 1] = 1
+    assert neighbours.Groups.fitted(counts).parts == [1] * 4
+
+
+def test_query_blocks_are_never_broadcast(spark, monkeypatch):
+    """They outgrow the driver: Spark takes their size for that of the queries before these are copied to the groups."""
+    monkeypatch.setattr(neighbours, "REMEMBERED", 2, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(1200))]
+    found = neighbours.nearest(table(spark, rows, "array<float>"), F.col("vec_id") % 3 == 0, reach=1.0)
+    got = results(found)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    assert {i: [r[1] for r in x] for i, x in got.items()} == {i: [j for _, j in near] for i, near in brute(rows, 10, 3)}
+
+
 def test_table_without_rows(spark):
     assert neighbours.nearest(table(spark, [(1, [1.0])]).limit(0), F.lit(True)).count() == 0
     assert neighbours.nearest(table(spark, [(0, [1])], "array<int>"), F.lit(True)).count() == 0
